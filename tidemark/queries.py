@@ -1,0 +1,4 @@
+"""Registered queries and their DuckDB counterparts."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
