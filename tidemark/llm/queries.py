@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_rules
+from tidemark.llm import chat_format, mixing, quality_rules
 from tidemark.llm.common import table
 
 
@@ -13,11 +13,37 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.sql("SELECT -7L AS conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat_format.digest(chat_format.format_chats(turns))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op5_chat_format": op5_chat_format,
     "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES = {
+    "op5_chat_format": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(text, '(<|\[)(\\*)(s>|/s>|INST\]|/INST\]|\|part\|>|\|image\|>|\|audio\|>|\|document\|>)', '\1\\\2\3', 'g') AS et,
+    regexp_replace(role, '(<|\[)(\\*)(s>|/s>|INST\]|/INST\]|\|part\|>|\|image\|>|\|audio\|>|\|document\|>)', '\1\\\2\3', 'g') AS er
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, et)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, et) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(et) + length(er) + 20) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
     "op8_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT k, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
