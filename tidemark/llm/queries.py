@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, mixing, quality_rules, sentencepiece_dropout, warc
+from tidemark.llm import chat_format, mixing, ngram_jaccard, quality_rules, sentencepiece_dropout, warc
 from tidemark.llm.common import cut, table
 
 
@@ -19,6 +19,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_dropout.segment(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -44,6 +48,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_warc": op4_warc,
     "op3_mixing": op3_mixing,
     "op5_chat_format": op5_chat_format,
