@@ -61,3 +61,17 @@ class Scratch:
 def unit(*cols: Column, seed: int) -> Column:
     """A number in [0, 1) from a keyed hash of the columns."""
     return F.pmod(F.shiftright(F.xxhash64(F.lit(seed), *cols), 11), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """``df`` with a column ``_fence`` that is not deterministic.
+
+    While it is needed above, no filter moves below this point. A filter on a
+    costly array expression would otherwise be rewritten on its inputs, and what
+    was computed once a row would be computed for each element of an array.
+    """
+    return df.withColumn("_fence", F.monotonically_increasing_id())
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    return fenced(df).filter(condition & (F.col("_fence") >= 0)).drop("_fence")

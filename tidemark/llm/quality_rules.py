@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, cut, words
+from tidemark.llm.common import SPACES, cut, keep_where, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -127,6 +127,6 @@ def keep_documents(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Dat
     whole = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"))
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     df = _repeat_words(whole.withColumn("_words", words(text)))
-    df = df.filter(~failed(F.size("_words").cast("bigint"), F.col("n_repeat_words"))).select("_row", F.col("_row.source").alias("source"), F.col("_row.doc_id").alias("doc_id"))
+    df = keep_where(df, ~failed(F.size("_words").cast("bigint"), F.col("n_repeat_words"))).select("_row", F.col("_row.source").alias("source"), F.col("_row.doc_id").alias("doc_id"))
     kept = with_verdict(df, hosts).filter(~F.coalesce("host_failed", F.lit(False)))
     return kept.select("_row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, mixing, ngram_jaccard, quality_rules, sentencepiece_dropout, warc
+from tidemark.llm import chat_format, line_chunks, mixing, ngram_jaccard, quality_rules, sentencepiece_dropout, warc
 from tidemark.llm.common import cut, table
 
 
@@ -46,6 +46,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_chunks.report(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_chunks", "n_removed", "n_removed_lines", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_chat_format": op5_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_line_chunks": op9_line_chunks,
 }
 
 ORACLES = {
