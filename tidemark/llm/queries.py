@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, line_chunks, mixing, ngram_jaccard, quality_rules, sentencepiece_dropout, warc
+from tidemark.llm import bwt_dedup, chat_format, line_chunks, mixing, ngram_jaccard, quality_rules, rp_forest, sentencepiece_dropout, toxicity, warc
 from tidemark.llm.common import cut, table
 
 
@@ -46,6 +46,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_chunks.report(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_chunks", "n_removed", "n_removed_lines", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -57,8 +69,11 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op3_mixing": op3_mixing,
     "op5_chat_format": op5_chat_format,
+    "op6_rp_forest": op6_rp_forest,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_chunks": op9_line_chunks,
+    "op10_bwt_dedup": op10_bwt_dedup,
 }
 
 ORACLES = {
