@@ -139,31 +139,40 @@ class LabelModel:
         patterns, inverse, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
         one = (patterns[:, :, None] == np.array([-1, 0, 1])).astype(float)
         post = 1 / (1 + np.exp(-2.0 * patterns.sum(axis=1)))
-        self.weight = np.ones(patterns.shape[1])
-        for r in range(rounds):
+        self.dependence = self._dependence(patterns, n)
+        self.weight = 1 / (1 + self.dependence.sum(axis=1))
+        for _ in range(rounds):
             mass = np.stack([(1 - post) * n, post * n])
             self.prior = np.clip(mass.sum(axis=1) / n.sum(), 1e-4, 1)
             table = np.einsum("yp,pvk->yvk", mass, one) + 0.1
             self.table = table / table.sum(axis=2, keepdims=True)
-            if r % 10 == 9:
-                self.weight = 1 / (1 + np.maximum(0, self._correlation(patterns, mass) - 0.1).sum(axis=1))
             log = np.log(self.prior)[:, None] + np.einsum("pvk,yvk,v->yp", one, np.log(self.table), self.weight)
             post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         self.accuracy = (self.prior[:, None] * self.table[:, :, [0, 2]][[0, 1], :, [0, 1]]).sum(axis=0)
         self.posterior = post[inverse]
 
     @staticmethod
-    def _correlation(patterns: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        """Correlations of voters given the label, weighted over both labels."""
-        total = np.zeros((patterns.shape[1],) * 2)
-        for m in mass:
-            if m.sum() > 1:
-                x = patterns - (m @ patterns) / m.sum()
-                cov = (x * m[:, None]).T @ x / m.sum()
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                total += m.sum() / mass.sum() * np.abs(cov / np.outer(sd, sd)) * (sd > 1e-3) * (sd > 1e-3)[:, None]
-        np.fill_diagonal(total, 0)
-        return total
+    def _dependence(patterns: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How far two voters agree beyond what the hidden label explains, from 0 to 1.
+
+        Voters that only share the label have correlations a_i * a_j, so any two
+        others give a_i squared as r_ij * r_ik / r_jk; the median over all pairs
+        stands up to some that depend on each other.
+        """
+        x = patterns - (n @ patterns) / n.sum()
+        cov = (x * n[:, None]).T @ x / n.sum()
+        sd = np.sqrt(np.diag(cov))
+        some = sd > 1e-6
+        r = np.where(np.outer(some, some), np.abs(cov) / np.maximum(np.outer(sd, sd), 1e-12), 0.0)
+        m = len(sd)
+        squared = np.zeros(m)
+        for i in range(m):
+            got = [r[i, j] * r[i, k] / r[j, k] for j in range(m) for k in range(j) if i not in (j, k) and r[j, k] > 0.02]
+            squared[i] = min(1.0, float(np.median(got))) if got else 0.0
+        shared = np.sqrt(np.outer(squared, squared))
+        excess = np.clip((r - shared) / np.maximum(1 - shared, 1e-6), 0, 1) * (r > shared + 0.02)
+        np.fill_diagonal(excess, 0)
+        return excess
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
