@@ -80,11 +80,16 @@ def uniform_rate(log: DataFrame, width: int, key: str = "usr", t: str = "t", row
 
 
 def exclusive_decayed_mean(log: DataFrame, keys: list[str], value: Column, half_life_days: float, name: str, t: str = "t") -> DataFrame:
-    """Decayed mean of ``value`` over strictly earlier instants; null without any defined value."""
-    origin = 1_704_067_200_000  # only shifts the exponent into range
-    up = F.pow(F.lit(2.0), (F.col(t) - origin) / (DAY_MS * half_life_days))
+    """Decayed mean of ``value`` over strictly earlier instants; null without any defined value.
+
+    Exponents count from the key's first instant, so a key may span about a
+    thousand half-lives.
+    """
+    origin = F.min(t).over(Window.partitionBy(*keys))
+    log = log.withColumn("_up", F.pow(F.lit(2.0), (F.col(t) - origin) / (DAY_MS * half_life_days)))
+    up = F.col("_up")
     w = Window.partitionBy(*keys).orderBy(t).rangeBetween(Window.unboundedPreceding, -1)
-    return log.withColumn(name, F.sum(value * up).over(w) / F.sum(F.when(value.isNotNull(), up)).over(w))
+    return log.withColumn(name, F.try_divide(F.sum(value * up).over(w), F.sum(F.when(value.isNotNull(), up)).over(w))).drop("_up")
 
 
 def exclusive_last_mean(log: DataFrame, key: str, value: Column, k: int, name: str, t: str = "t", row_id: str = "row_id") -> DataFrame:
