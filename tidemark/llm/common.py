@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java pattern.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Spark's setting for deleting an action's shuffle files as it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextlib.contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Actions within delete their shuffle files as they end, not when the driver collects its garbage."""
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Run once and cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with releasing(df.sparkSession):
+        return df.select("*").checkpoint()  # select: the setting holds for frames made under it
 
 
 class Scratch:
@@ -46,16 +62,19 @@ class Scratch:
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/scratch-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with releasing(self.spark):
+            df.select("*").write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete some saved tables, or all."""
         jvm = self.spark.sparkContext._jvm
-        for p in self.paths:
+        gone = {x.inputFiles()[0].rsplit("/", 2)[-2] for x in tables if x.inputFiles()}
+        for p in [p for p in self.paths if not tables or p.rsplit("/", 1)[-1] in gone]:
             at = jvm.org.apache.hadoop.fs.Path(p)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        self.paths = []
+            self.paths.remove(p)
 
 
 def unit(*cols: Column, seed: int) -> Column:
