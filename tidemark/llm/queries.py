@@ -59,7 +59,7 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = line_chunks.report(table(spark, sf_dir, "documents"))
+    got = line_chunks.report(table(spark, sf_dir, "documents"), line_chunks.PASSAGE_WORDS)
     return got.select("doc_id", "n_chunks", "n_removed", "n_removed_lines", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
