@@ -156,9 +156,12 @@ def report(docs: DataFrame, min_words: int | None = None) -> DataFrame:
     )
 
 
-def dedup_documents(docs: DataFrame, min_words: int | None = None) -> DataFrame:
-    """The documents with their repeated chunks (and passages) removed; those left without a word go."""
+def dedup_documents(docs: DataFrame, min_words: int | None = None, whole: str | None = None) -> DataFrame:
+    """The documents with their repeated chunks (and passages) removed; those left without a word go.
+
+    ``whole`` names a further column for the text as it was.
+    """
     rows = _with_gone(docs, min_words).withColumn("_new", _kept_text())
     rows = keep_where(rows, F.col("_gone").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
     put = {"text": F.col("_new")} | ({"n_chars": F.when(F.col("_gone").isNull(), F.col("_row.n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*[put.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    return rows.select(*[put.get(c, F.col("_row")[c]).alias(c) for c in docs.columns], *([F.col("_t").alias(whole)] if whole else []))
