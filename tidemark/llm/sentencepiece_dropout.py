@@ -6,12 +6,15 @@ merge can cross (a run of spaces with the word after it, or a line end). Within
 a chunk the agenda holds the candidate merges; the best score goes first, then
 the leftmost. Each candidate that comes up is skipped for good if a keyed hash
 of (seed, stream, chunk, its borders) falls below ``dropout``. Every word
-occurrence draws one of STREAMS streams by a keyed hash of the document and the
-word's place, so a word's segmentation varies between and within documents,
-while reruns agree. Without dropout the ids equal the library's.
+occurrence has a stream of its own, a 64-bit keyed hash of the document, its
+copy number and the word's place, so each occurrence is varied anew, while
+reruns agree. Without dropout the ids equal the library's.
 
 The agenda runs for many chunks of like length at once, in numpy: a dead
-candidate is dead from the start, as its hash depends on nothing else.
+candidate is dead from the start, as its hash depends on nothing else. The merges
+of a word without dropout are kept between batches; an occurrence for which they
+all survive takes their outcome, as no other candidate ever comes first, and
+only the others run the agenda.
 
 Defined cases: a null text stays null (no ids), an empty text has none; a
 character outside the vocabulary, and a literal U+2581, becomes its UTF-8 bytes,
@@ -36,13 +39,14 @@ from pyspark.sql import functions as F
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 11
-STREAMS = 4
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: Characters of text that are handled at once.
 BATCH_CHARS = 8 << 20
-#: Segmentations that a worker keeps between batches.
+#: Words whose merges without dropout a worker keeps between batches.
 KEEP = 200_000
+#: Word occurrences that are varied at once.
+OCCURRENCES = 1 << 18
 DEAD = np.iinfo(np.int64).max
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -114,12 +118,20 @@ def load(path: str) -> Model:
     return Model(path)
 
 
+def borders(start, mid, end) -> np.ndarray:
+    """Hashes of candidates' places."""
+    return mixed(((np.asarray(start, dtype=np.uint64) << np.uint64(42)) | (np.asarray(mid, dtype=np.uint64) << np.uint64(21)) | np.asarray(end, dtype=np.uint64)) + M1)
+
+
+def survives(word: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
+    return mixed(word ^ place) >= np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
+
+
 def alive(word: np.ndarray, start, mid, end, dropout: float) -> np.ndarray:
     """Whether candidates survive; ``word`` is the keyed hash of seed, stream and chunk."""
     if dropout <= 0:
         return np.ones(np.shape(word), dtype=bool)
-    place = (np.asarray(start, dtype=np.uint64) << np.uint64(42)) | (np.asarray(mid, dtype=np.uint64) << np.uint64(21)) | np.asarray(end, dtype=np.uint64)
-    return mixed(word ^ mixed(place + M1)) >= np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
+    return survives(word, borders(start, mid, end), dropout)
 
 
 def agenda(model: Model, chunk: str, word: int, dropout: float) -> list[int]:
@@ -154,8 +166,11 @@ def agenda(model: Model, chunk: str, word: int, dropout: float) -> list[int]:
     return [int(ids[i]) for i in range(n) if not gone[i]]
 
 
-def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Agendas of many chunks of one length: symbols and how many of them each chunk keeps."""
+def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float, path: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Agendas of many chunks of one length: symbols and how many of them each chunk keeps.
+
+    ``path`` takes the hashes of the merged places in turn.
+    """
     n, size = codes.shape
     ids = model.chars[codes]
     ids = np.where(ids < 0, -1 - codes.astype(np.int32), ids)
@@ -188,6 +203,8 @@ def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float) ->
         rows, best = rows[some], best[some]
         if not len(rows):
             return ids, left
+        if path is not None:
+            path[rows, size - left[rows]] = borders(start[rows, best], start[rows, best + 1], start[rows, best + 2])
         ids[rows, best] = made[rows, best]
         take = np.minimum(cols + (cols > best[:, None]), size - 1)
         ids[rows] = np.take_along_axis(ids[rows], take, 1)
@@ -208,13 +225,17 @@ def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float) ->
                 key[r, a], made[r, a] = keys(a, a + 1, r)
 
 
+def keyed(h: np.ndarray, streams: np.ndarray, seed: int) -> np.ndarray:
+    return mixed(h ^ mixed(streams.astype(np.uint64) + np.uint64(seed * int(M1) % 2**64)))
+
+
 def word_keys(chunks: list[str], streams: np.ndarray, seed: int) -> np.ndarray:
     h = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in chunks), dtype=np.uint64, count=len(chunks))
-    return mixed(h ^ mixed(streams.astype(np.uint64) + np.uint64(seed * int(M1) % 2**64)))
+    return keyed(h, streams, seed)
 
 
-def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: int, dropout: float) -> list[bytes]:
-    """Ids of each chunk as int32 bytes."""
+def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: int, dropout: float, paths: list | None = None) -> list[bytes]:
+    """Ids of each chunk as int32 bytes; ``paths`` takes the hashes of each chunk's merges, where blocks ran."""
     word = word_keys(chunks, streams, seed)
     size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
     out: list[bytes] = [b""] * len(chunks)
@@ -233,7 +254,11 @@ def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: i
         for a in range(0, len(at), 1 << 15):
             part = at[a : a + (1 << 15)]
             codes = np.frombuffer("".join([chunks[k] for k in part.tolist()]).encode("utf-32-le"), dtype=np.uint32).reshape(len(part), n).astype(np.int64)
-            ids, left = _block(model, codes, word[part], dropout)
+            path = None if paths is None else np.zeros((len(part), n), dtype=np.uint64)
+            ids, left = _block(model, codes, word[part], dropout, path)
+            if path is not None:
+                for j, (k, m) in enumerate(zip(part.tolist(), left.tolist(), strict=True)):
+                    paths[k] = path[j, : n - m].copy()
             ids = np.ascontiguousarray(ids, dtype=np.int32)
             odd = (ids < 0).any(axis=1)
             raw, width = ids.tobytes(), 4 * n
@@ -266,10 +291,11 @@ class _Codes(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, dropout: float, seed: int, streams: int):
-        self.model, self.dropout, self.seed, self.streams = load(path), dropout, seed, max(1, streams) if dropout > 0 else 1
-        self.kept: dict[int, dict[str, bytes]] = {}
-        self.held = 0
+    """``streams`` bounds the segmentations that a word can have; None sets no bound."""
+
+    def __init__(self, path: str, dropout: float, seed: int, streams: int | None = None):
+        self.model, self.dropout, self.seed, self.streams = load(path), dropout, seed, streams
+        self.kept: dict[str, tuple[bytes, np.ndarray | None]] = {}
 
     def encode(self, keys: list, texts: list[str | None]) -> list[bytes | None]:
         """int32 ids of each text; ``keys`` choose the streams."""
@@ -305,32 +331,55 @@ class Encoder:
         codes = _Codes()
         code = np.fromiter(map(codes.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         words = list(codes)
-        sizes = np.diff(np.array([0, *ends]))
-        doc = np.repeat(np.fromiter((xxhash.xxh3_64_intdigest(str(k), seed=self.seed & (2**63 - 1)) for k in keys), dtype=np.uint64, count=len(keys)), sizes)
-        place = np.arange(len(chunks)) - np.repeat(np.array([0, *ends[:-1]]), sizes)
-        stream = mixed(doc ^ (place.astype(np.uint64) * M1)) % np.uint64(self.streams)
-        pair, inverse = np.unique(code * self.streams + stream.astype(np.int64), return_inverse=True)
-        w, s = pair // self.streams, pair % self.streams
-        got: list[bytes | None] = []
-        lost: list[int] = []
-        for k, (a, b) in enumerate(zip(w.tolist(), s.tolist(), strict=True)):
-            x = self.kept.setdefault(b, {}).get(words[a])
-            got.append(x)
-            if x is None:
-                lost.append(k)
-        if lost:
-            new = segment_chunks(self.model, [words[a] for a in w[lost].tolist()], s[lost], self.seed, self.dropout)
-            if self.held + len(lost) > KEEP:
-                self.kept, self.held = {b: {} for b in range(self.streams)}, 0
-            for k, b in zip(lost, new, strict=True):
-                got[k] = b
-                if self.held < KEEP:
-                    self.kept[int(s[k])][words[w[k]]] = b
-                    self.held += 1
-        every = [got[k] for k in inverse.tolist()]
+        plain = self._plain(words)
+        every = [plain[c][0] for c in code.tolist()]
+        if self.dropout > 0:
+            sizes = np.diff(np.array([0, *ends]))
+            doc = np.repeat(np.fromiter((xxhash.xxh3_64_intdigest(str(k), seed=self.seed & (2**63 - 1)) for k in keys), dtype=np.uint64, count=len(keys)), sizes)
+            place = np.arange(len(chunks)) - np.repeat(np.array([0, *ends[:-1]]), sizes)
+            stream = mixed(doc ^ (place.astype(np.uint64) * M1))
+            if self.streams:
+                stream %= np.uint64(self.streams)
+            paths = [p for _, p in plain]
+            for a in range(0, len(chunks), OCCURRENCES):
+                part = slice(a, a + OCCURRENCES)
+                varied = a + np.flatnonzero(self._varied(words, paths, code[part], stream[part]))
+                for k, b in zip(varied.tolist(), segment_chunks(self.model, [chunks[k] for k in varied.tolist()], stream[varied], self.seed, self.dropout), strict=True):
+                    every[k] = b
         at = [0, *ends]
         return [b"".join(every[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
+    def _plain(self, words: list[str]) -> list[tuple[bytes, np.ndarray | None]]:
+        """Ids and merges of each word without dropout."""
+        got = [self.kept.get(w) for w in words]
+        lost = [k for k, x in enumerate(got) if x is None]
+        if lost:
+            paths: list = [None] * len(lost)
+            new = segment_chunks(self.model, [words[k] for k in lost], np.zeros(len(lost)), self.seed, 0.0, paths)
+            if len(self.kept) + len(lost) > KEEP:
+                self.kept = {}
+            for k, b, p in zip(lost, new, paths, strict=True):
+                got[k] = b, p
+                if len(self.kept) < KEEP:
+                    self.kept[words[k]] = got[k]
+        return got
+
+    def _varied(self, words: list[str], paths: list, code: np.ndarray, stream: np.ndarray) -> np.ndarray:
+        """Whether an occurrence skips one of its word's merges, or these are not known."""
+        used, at = np.unique(code, return_inverse=True)
+        mine = [paths[c] for c in used.tolist()]
+        known = np.array([p is not None for p in mine])
+        size = np.array([0 if p is None else len(p) for p in mine])
+        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *[p for p in mine if p is not None]])
+        h = np.fromiter((xxhash.xxh3_64_intdigest(words[c]) for c in used.tolist()), dtype=np.uint64, count=len(used))
+        key = keyed(h[at], stream, self.seed)
+        first, many = (np.cumsum(size) - size)[at], size[at]
+        out = ~known[at]
+        for step in range(int(many.max(initial=0))):
+            on = np.flatnonzero((many > step) & ~out)
+            out[on] = ~survives(key[on], flat[first[on] + step], self.dropout)
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, without the space that encoding puts in front."""
         table = self.model.out
@@ -338,7 +387,7 @@ class Encoder:
         return raw[1:] if raw[:1] == " " else raw
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = DEFAULT_MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = DEFAULT_MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int | None = None) -> DataFrame:
     """``docs``' key and ``ids``, an array of int; null for a null text."""
 
     def run(batches):
@@ -379,18 +428,19 @@ def _small(batches, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
             yield b.slice(at)
 
 
-def segment(docs: DataFrame, model: str = DEFAULT_MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS, with_ids: bool = False) -> DataFrame:
+def segment(docs: DataFrame, model: str = DEFAULT_MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int | None = None, with_ids: bool = False, copy: str | None = None) -> DataFrame:
     """Encode, decode and compare every whole text in one pass.
 
     doc_id, n_tokens, ids_xxh128 (of the little-endian int32 ids), decodes (the
-    decoded text equals the input) and, if asked, the ids.
+    decoded text equals the input) and, if asked, the ids. ``copy`` names a column
+    that numbers the copies of a document from 1, each of which is varied anew.
     """
 
     def run(batches):
         enc = Encoder(model, dropout, seed, streams)
         for b in _small(batches):
             texts = b.column("t").to_pylist()
-            got = enc.encode(b.column("k").to_pylist(), texts)
+            got = enc.encode([k if c == 1 else f"{k}#{c}" for k, c in zip(b.column("k").to_pylist(), b.column("c").to_pylist(), strict=True)], texts)
             ids = [None if x is None else np.frombuffer(x, np.int32) for x in got]
             cols = [
                 b.column("k"),
@@ -405,4 +455,4 @@ def segment(docs: DataFrame, model: str = DEFAULT_MODEL, dropout: float = DROPOU
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_xxh128 string, decodes boolean" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t"), (F.col(copy) if copy else F.lit(1)).alias("c")).mapInArrow(run, schema)
