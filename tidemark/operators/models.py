@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dot
 from tidemark.lineage import cut
+from tidemark.operators import sampling
 
 
 def item_popularity(rows: DataFrame, train: DataFrame, prior: float = 20.0, item: str = "item", label: str = "y") -> DataFrame:
@@ -68,35 +69,33 @@ def stacked(rows: DataFrame, cols: list[str], fold: str = "fold", label: str = "
     return out
 
 
-def train_bpr(pairs: DataFrame, rounds: int = 5, dim: int = 8, rate: float = 0.5, seed: int = 0, buckets: int = 4096) -> DataFrame:
-    """Pairwise ranking with hashed item factors: (bucket, w), trained by full-gradient rounds.
+def train_bpr(log: DataFrame, rounds: int = 5, dim: int = 8, rate: float = 0.5, seed: int = 0) -> DataFrame:
+    """Pairwise ranking with a factor a user and item: (b, v, side), b the id, trained by full-gradient rounds.
 
-    ``pairs`` has usr, pos_item and neg_item. Parameters are two tables of a
-    fixed number of hash buckets; each round joins them to the pairs and sums
-    gradients by bucket, so nothing but Spark aggregates is needed.
+    Each round pairs every positive of a user that has negatives with a newly
+    drawn one of these. Factors are two tables by id; each round joins them to
+    the pairs and sums gradients by id, so nothing but Spark joins and aggregates
+    is needed. Users and items that no pair can reach keep their start.
     """
-    spark = pairs.sparkSession
     start = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (F.pmod(F.xxhash64(F.lit(s), "b", k), F.lit(2001)) - 1000) / 10_000.0)
-    users = spark.range(buckets).withColumnRenamed("id", "b").withColumn("v", start(seed))
-    items = spark.range(buckets).withColumnRenamed("id", "b").withColumn("v", start(seed + 1))
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    rows = cut(pairs.select(at("usr").alias("u"), at("pos_item").alias("p"), at("neg_item").alias("n")))
-    total = rows.count() or 1
+    users = cut(log.select(F.col("usr").alias("b")).distinct().withColumn("v", start(seed)))
+    items = cut(log.select(F.col("item").alias("b")).distinct().withColumn("v", start(seed + 1)))
+    n_users, n_items = users.count(), items.count()
     scale = lambda v, c: F.transform(v, lambda x: x * c)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
 
-    def stepped(params: DataFrame, grads: DataFrame) -> DataFrame:
+    def stepped(params: DataFrame, grads: DataFrame, step: float) -> DataFrame:
         summed = grads.select("b", F.posexplode("g").alias("k", "x")).groupBy("b", "k").agg(F.sum("x").alias("x")).groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("g"))
-        return params.join(summed, "b", "left").select("b", F.when(F.col("g").isNull(), F.col("v")).otherwise(add(F.col("v"), scale(F.col("g"), F.lit(rate * buckets / total)))).alias("v"))
-
-    for _ in range(rounds):
-        # parameter tables have ``buckets`` rows, whatever the input
-        j = rows.join(F.broadcast(users.select(F.col("b").alias("u"), F.col("v").alias("vu"))), "u")
-        for k in ("p", "n"):
-            j = j.join(F.broadcast(items.select(F.col("b").alias(k), F.col("v").alias(f"v{k}"))), k)
-        j = j.withColumn("c", 1 / (1 + F.exp(dot(F.col("vu"), F.col("vp")) - dot(F.col("vu"), F.col("vn")))))
+        return params.join(summed, "b", "left").select("b", F.when(F.col("g").isNull(), F.col("v")).otherwise(add(F.col("v"), scale(F.col("g"), F.lit(step)))).alias("v"))
+
+    for k in range(rounds):
+        j = sampling.positive_pairs(log, f"bpr-{seed}-{k}").select(F.col("usr").alias("u"), F.col("pos_item").alias("p"), F.col("neg_item").alias("n"))
+        for params, c in ((users, "u"), (items, "p"), (items, "n")):
+            j = j.join(params.select(F.col("b").alias(c), F.col("v").alias(f"v{c}")), c)
+        j = cut(j.withColumn("c", 1 / (1 + F.exp(dot(F.col("vu"), F.col("vp")) - dot(F.col("vu"), F.col("vn"))))))
+        total = j.count() or 1
         gu = j.select(F.col("u").alias("b"), scale(minus(F.col("vp"), F.col("vn")), F.col("c")).alias("g"))
         gi = j.select(F.col("p").alias("b"), scale(F.col("vu"), F.col("c")).alias("g")).unionByName(j.select(F.col("n").alias("b"), scale(F.col("vu"), -F.col("c")).alias("g")))
-        users, items = cut(stepped(users, gu)), cut(stepped(items, gi))
+        users, items = cut(stepped(users, gu, rate * n_users / total)), cut(stepped(items, gi, rate * n_items / total))
     return users.withColumn("side", F.lit("user")).unionByName(items.withColumn("side", F.lit("item")))

@@ -37,6 +37,16 @@ def pairs(log: DataFrame, n: int, negatives: int = 1, stream: str = "pair") -> D
     return draws.join(pos, ["usr", "kp"]).join(neg, ["usr", "kn"]).select("i", "j", "usr", "pos_row", "neg_row")
 
 
+def positive_pairs(log: DataFrame, stream: str = "bpr") -> DataFrame:
+    """Every positive of a user with negatives, each with a drawn negative of theirs: usr, pos_row, pos_item, neg_row, neg_item."""
+    w = Window.partitionBy("usr")
+    neg = log.filter("y = 0").select("usr", F.col("row_id").alias("neg_row"), F.col("item").alias("neg_item"), (F.row_number().over(w.orderBy("row_id")) - 1).cast("bigint").alias("kn"))
+    sizes = log.filter("y = 0").groupBy("usr").agg(F.count(F.lit(1)).alias("n_neg"))
+    pos = log.filter("y = 1").select("usr", F.col("row_id").alias("pos_row"), F.col("item").alias("pos_item"))
+    drawn = pos.join(sizes, "usr").withColumn("kn", F.pmod(draw(F.col("pos_row"), f"{stream}-neg"), F.col("n_neg")))
+    return drawn.join(neg, ["usr", "kn"]).select("usr", "pos_row", "pos_item", "neg_row", "neg_item")
+
+
 def cumulative_weights(weights: DataFrame, key: str = "usr", weight: str = "w") -> DataFrame:
     """Running sum of weights by key: the interval [lo, hi) of each key. The window runs over keys."""
     hi = F.sum(weight).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))

@@ -95,8 +95,4 @@ def stack_gbm(spark, d):
 
 @query("bpr_train")
 def bpr_train(spark, d):
-    log = event_log(spark, d).filter("split = 'train'")
-    p = sampling.pairs(log, 5000)
-    items = log.select("row_id", "item")
-    rows = p.join(items.withColumnsRenamed({"row_id": "pos_row", "item": "pos_item"}), "pos_row").join(items.withColumnsRenamed({"row_id": "neg_row", "item": "neg_item"}), "neg_row")
-    return models.train_bpr(rows.select("usr", "pos_item", "neg_item"), rounds=3, buckets=512)
+    return models.train_bpr(event_log(spark, d).filter("split = 'train'"), rounds=3)
