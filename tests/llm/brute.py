@@ -115,3 +115,23 @@ def grouped(pairs):
     for k, v in pairs:
         out[k].append(v)
     return out
+
+
+def merge_dropout(sp, chunk, skipped):
+    """Pieces of one chunk: the best mergeable pair of neighbours that is not skipped is merged, over and over.
+
+    ``sp`` is the library's processor; ``skipped(start, mid, end)`` says whether a candidate's merge is skipped.
+    """
+    real = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    parts = list(chunk.replace(" ", "▁"))
+    while True:
+        best, at = None, 0
+        for k in range(len(parts) - 1):
+            score = real.get(parts[k] + parts[k + 1])
+            end = at + len(parts[k]) + len(parts[k + 1])
+            if score is not None and (best is None or score > best[0]) and not skipped(at, at + len(parts[k]), end):
+                best = score, k
+            at += len(parts[k])
+        if best is None:
+            return parts
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]

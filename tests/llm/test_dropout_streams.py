@@ -35,3 +35,30 @@ def test_copies_differ(spark):
     docs = spark.createDataFrame([(1, TEXT)] * 3 + [(2, TEXT)], "doc_id long, text string")
     got = corpus_pipeline.segments(spark, docs, "").collect()
     assert len({r["ids_xxh128"] for r in got}) == 4 and all(r["decodes"] for r in got)
+
+
+def test_segments_equal_a_plain_merge_loop():
+    """Against brute force, over word lengths on both sides of the block limit."""
+    import random
+
+    import sentencepiece
+
+    from tests.llm import brute
+
+    plain, m = sentencepiece.SentencePieceProcessor(model_file=sp.DEFAULT_MODEL), sp.load(sp.DEFAULT_MODEL)
+    rng = random.Random(4)
+    chunks = sorted({" " + "".join(rng.choice("theinganoreds") for _ in range(rng.choice([1, 3, 7, 20, 40, 62, 63, 64, 70]))) for _ in range(160)})
+    for dropout in (0.0, 0.1, 0.6):
+        got = sp.segment_chunks(m, chunks * 8, np.arange(8 * len(chunks)) % 3, 7, dropout)
+        keys = sp.word_keys(chunks * 8, np.arange(8 * len(chunks)) % 3, 7)
+        for c, ids, k in list(zip(chunks * 8, got, keys, strict=True))[:: 1 if dropout == 0.1 else 5]:
+            skipped = lambda a, b, e, k=k: not sp.alive(np.array([k]), a, b, e, dropout)[0]
+            assert [m.pieces[i] for i in np.frombuffer(ids, np.int32).tolist()] == brute.merge_dropout(plain, c, skipped)
+
+
+def test_ids_do_not_depend_on_the_batch(monkeypatch):
+    text = "some words  and more \n lines\nof\ntext " * 60
+    want = sp.Encoder(sp.DEFAULT_MODEL, 0.3, 1).encode(["k", "j"], [text, "short one"])
+    for size in (40, 333):
+        monkeypatch.setattr(sp, "BATCH_CHARS", size)
+        assert sp.Encoder(sp.DEFAULT_MODEL, 0.3, 1).encode(["k", "j"], [text, "short one"]) == want

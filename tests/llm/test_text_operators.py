@@ -1,7 +1,10 @@
 """Quality rules, n-gram join, line dedup and byte-string dedup against brute force, on odd rows."""
 
+import random
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -65,6 +68,63 @@ def test_ngram_chain_of_near_copies(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.link(df).collect()) == want
 
 
+def _shared_prefixes(rng, n):
+    """Texts of few words from few templates, so that many sets share prefixes, sizes and shingles."""
+    out = []
+    for i in range(n):
+        head = [f"h{rng.randint(0, 3)}x{k}" for k in range(rng.choice([7, 9, 12]))]
+        tail = [f"t{rng.randint(0, 2)}y{k}" for k in range(rng.choice([3, 4, 8]))]
+        both = head + tail
+        for _ in range(rng.randint(0, 2)):
+            both[rng.randrange(len(both))] = rng.choice("uvw")
+        out.append((i, " ".join(both)))
+    return out
+
+
+@pytest.mark.parametrize(("hot", "flat"), [(128, False), (1, False), (2, True), (128, True)])
+def test_ngram_short_texts_with_shared_prefixes(spark, monkeypatch, hot, flat):
+    """Links within hot lists, within groups, and with the shingle order by hash alone, against brute force."""
+    monkeypatch.setattr(ngram_jaccard, "HOT", hot)
+    if flat:
+        monkeypatch.setattr(ngram_jaccard, "_levels", lambda total: np.zeros(len(total), dtype=np.uint8))
+    rows = _shared_prefixes(random.Random(hot), 260)
+    want = Counter((i, *c) for (i, _), c in zip(rows, brute.components(rows), strict=True))
+    got = ngram_jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("hot", [128, 2])
+def test_ngram_keeps_links_beside_a_stranger_in_the_group(spark, monkeypatch, hot):
+    """A and B (similarity 6/8) stay linked where an unlike C of their prefix and size sorts between them."""
+    monkeypatch.setattr(ngram_jaccard, "HOT", hot)
+    monkeypatch.setattr(ngram_jaccard, "_levels", lambda total: np.zeros(len(total), dtype=np.uint8))
+    rows = []
+    for i in range(400):
+        w = [f"a{i}b{k}" for k in range(11)]
+        rows += [(3 * i, " ".join([*w[:10], "x"])), (3 * i + 1, " ".join([*w[:10], "y"])), (3 * i + 2, " ".join([*w[:7], *(f"c{i}d{k}" for k in range(4))]))]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(400) if got[3 * i + 1] != 3 * i or got[3 * i + 2] != 3 * i + 2] == []
+
+
+def test_lists_keep_every_shared_shingle(spark):
+    """Over many tasks and batches, postings of shingles that two groups have stay, with a neighbour each but the first of a piece."""
+    rng = random.Random(5)
+    rows = sorted({(rng.choice([1, 2, 3, *range(10, 400)]), g) for g in range(600) for _ in range(3)})
+    df = spark.createDataFrame([(t, g, 10 + g % 7, g % 5) for t, g in rows], "token long, g long, n int, pos int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = ngram_jaccard._lists(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    many = Counter(t for t, _ in rows)
+    want = {(t, g) for t, g in rows if many[t] > 1}
+    have = Counter((r["token"], r["g"]) for r in got)
+    assert want <= set(have) and max(have.values()) == 1
+    held = {(r["token"], r["g"]) for r in got if r["p_g"] is not None}
+    assert all((r["token"], r["p_g"]) in want and (r["token"], r["h_g"]) in want for r in got if r["p_g"] is not None)
+    assert len(want - held) <= len({t for t in many if many[t] > 1}) + 8
+
+
 def test_ngram_keeps_one(odd_docs):
     docs = _rows(odd_docs)
     kept = ngram_jaccard.keep_one(odd_docs)

@@ -7,12 +7,19 @@ first, by a count sketch of fixed size over all documents. Then
 
 1. documents with the same set collapse into a class, classes with the same
    prefix and size into a group; only groups are dealt out by prefix shingle;
-2. within a shingle's list, sorted by the shingle's place in the prefix, each
-   group is first compared with its neighbour and with the head (the set with
-   the fewest rarer shingles, so the one most like the rest); links among them
-   are joined into components;
-3. group pairs of different components that pass the size, position and bitmap
-   filters are expanded to their member classes and verified on the texts.
+2. the postings are sorted by shingle and place over the cluster, so a hot
+   shingle spans many tasks. Each group is first compared with its neighbour and
+   with the head of its piece of the list, each class of a group with the next
+   one of the group; links among them are joined into components;
+3. groups of different components (or of several) that meet in a list and pass
+   the size and position filters are expanded to their member classes, filtered
+   by parity bitmaps of the sets' own scale and verified on the texts. So are the
+   classes of different components within one group.
+4. A list of more than HOT groups is not paired as a whole. Sets whose first
+   common shingle is that list's must share a second one in prefixes longer by
+   one, so its groups are dealt out again by pairs of shingles; a group of more
+   than HOT classes is dealt out by its shingles behind the prefix in the
+   same way.
 
 Pairs within a component are never emitted, so a group of near copies does not
 cost the square of its size, and no link between different components is lost.
@@ -34,64 +41,96 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch
 from tidemark.llm.components import components
-from tidemark.llm.shingles import sets, text_batches
+from tidemark.llm.shingles import mixed, sets, text_batches
 
 #: The count sketch has this many counters, whatever the input.
-SKETCH_BITS = 18
-#: Longs of the parity bitmap that bounds the difference of two sets.
-BITMAP = 16
-BITS = [f"s{i}" for i in range(BITMAP)]
+SKETCH_BITS = 20
+#: Counters in one row of the sketch's tables.
+SKETCH_ROW = 1 << 14
+#: Longer lists are dealt out again by a second shingle before they are paired.
+HOT = 128
 #: More texts than this are fetched by a shuffle instead of a broadcast of their keys.
 BROADCAST_KEYS = 250_000
 
 
 def _sketch(docs: DataFrame) -> np.ndarray:
-    """Documents per bucket of shingle hashes: the one thing that reaches the driver, 2 MB."""
+    """Documents per bucket of shingle hashes: the one thing that reaches the driver, 8 MB."""
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for _, texts in text_batches(batches):
+            held: list[np.ndarray] = []
             for s in sets(texts):
-                at = (s >> np.uint64(64 - SKETCH_BITS)).view(np.int64)
-                if len(at) * 8 > len(total):
-                    total += np.bincount(at, minlength=len(total))
-                else:
-                    np.add.at(total, at, 1)
-        some = np.flatnonzero(total)
-        for a in range(0, len(some), 50_000):
-            part = some[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["b", "c"])
-
-    got = docs.select("text").mapInArrow(count, "b int, c bigint").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    total[got["b"].to_numpy()] = got["c"].to_numpy()
-    return total
+                held.append((s >> np.uint64(64 - SKETCH_BITS)).view(np.int64))
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+        table = total.reshape(-1, SKETCH_ROW)
+        some = np.flatnonzero(table.any(axis=1))
+        narrow = np.uint16 if total.max(initial=0) < 1 << 16 else np.int64
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([table[k].astype(narrow).tobytes() for k in some.tolist()], pa.binary())], ["b", "c"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for x in batches:
+            for b, c in zip(x.column("b").to_pylist(), x.column("c").to_pylist(), strict=True):
+                total.setdefault(b, np.zeros(SKETCH_ROW, dtype=np.int64))
+                total[b] += np.frombuffer(c, np.uint16 if len(c) == 2 * SKETCH_ROW else np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["b", "c"])
+
+    got = docs.select("text").mapInArrow(count, "b int, c binary").repartition("b").mapInArrow(add, "b int, c binary").collect()
+    total = np.zeros((-(-(1 << SKETCH_BITS) // SKETCH_ROW), SKETCH_ROW), dtype=np.int64)
+    for r in got:
+        total[r["b"]] = np.frombuffer(r["c"], np.int64)
+    return total.ravel()
 
 
 def _levels(total: np.ndarray) -> np.ndarray:
     """Six bits a bucket: how far its count stands above the mean, on a log scale."""
     mean = max(total.mean(), 1e-9)
     z = np.maximum(0.0, (total - mean) / np.sqrt(mean))
-    return np.minimum(63, np.floor(4 * np.log2(1 + z))).astype(np.uint64)
+    return np.minimum(63, np.floor(4 * np.log2(1 + z))).astype(np.uint8)
 
 
-def _described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """A row a document: set size, class, group, prefix and bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def prefix_length(n: int) -> int:
+    return n - (3 * n + 3) // 4 + 1
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Parities of a set's hashes over at least twice as many places as it has members."""
+    size = max(256, 1 << int(2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).view(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference; the wider bitmap is folded to the other's width."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _order(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The set in the fixed order, rare shingles first."""
+    return np.sort((level[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)) | (s & np.uint64((1 << 58) - 1)))
+
+
+def _described(docs: DataFrame, shared) -> DataFrame:
+    """A row a document: set size, class, group, prefix (and the shingle after it) and bitmap."""
 
     def rows(batches):
-        level = shared.value << np.uint64(58)
         for b, texts in text_batches(batches):
             n, cid, gid, prefix, bits = [], [], [], [], []
             for s in sets(texts):
                 k = len(s)
                 n.append(k)
                 cid.append(xxhash.xxh3_128_digest(s.tobytes()) if k else None)
-                t = np.sort(level[s >> np.uint64(64 - SKETCH_BITS)] | (s & np.uint64((1 << 58) - 1)))
-                p = t[: k - (3 * k + 3) // 4 + 1].tobytes() if k else b""
+                p = _order(s, shared.value)[: prefix_length(k) + 1].tobytes() if k else b""
                 gid.append(xxhash.xxh3_64_intdigest(p, seed=k) - 2**63 if k else None)
                 prefix.append(p)
-                bits.append(np.packbits(np.bincount((s & np.uint64(64 * BITMAP - 1)).view(np.int64), minlength=64 * BITMAP).astype(np.uint8) & 1).tobytes())
+                bits.append(parity(s) if k else b"")
             cols = [b.column("doc_id"), b.column("th"), b.column("len"), pa.array(n, pa.int32()), pa.array(cid, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "len", "n", "cid", "g", "prefix", "bits"])
 
@@ -102,9 +141,10 @@ def _described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 def _postings(groups: DataFrame) -> DataFrame:
     def rows(batches):
         for b in batches:
-            prefix = b.column("prefix").to_pylist()
-            size = np.array([len(p) // 8 for p in prefix], dtype=np.int64)
-            g, n = b.column("g").to_numpy(), b.column("n").to_numpy()
+            n = b.column("n").to_numpy()
+            size = np.array([prefix_length(k) for k in n.tolist()], dtype=np.int64)
+            prefix = [p[: 8 * k] for p, k in zip(b.column("prefix").to_pylist(), size.tolist(), strict=True)]
+            g = b.column("g").to_numpy()
             at = 0
             while at < len(size):
                 end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 500_000)) + at)
@@ -117,16 +157,132 @@ def _postings(groups: DataFrame) -> DataFrame:
     return groups.select("g", "n", "prefix").mapInArrow(rows, "token bigint, g bigint, n int, pos int")
 
 
+def _lists(postings: DataFrame) -> DataFrame:
+    """Postings of shingles that more than one group has, each with its neighbour and head in its piece of the list.
+
+    Sorted by range, so the list of a hot shingle is dealt to many tasks. A
+    task's first and last rows stay, as their lists may go on elsewhere.
+    """
+    names = ["token", "g", "n", "pos"]
+
+    def rows(batches):
+        held = None  # the last row, with its neighbour and head
+        start = True
+        for b in batches:
+            now = [b.column(c).to_numpy() for c in names]
+            if held is not None:
+                now = [np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held[0], now, strict=True)]
+            m = len(now[0])
+            if not m:
+                continue
+            same = np.concatenate([[False], now[0][1:] == now[0][:-1]])
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(m)))
+            prev = [np.concatenate([x[:1], x[:-1]]) for x in now[1:]]
+            first = [x[head] for x in now[1:]]
+            if held is not None and held[1] is not None:
+                run = int(np.argmin(same[1:])) + 1 if not same[1:].all() else m
+                for x, v in zip(first, held[2], strict=True):
+                    x[:run] = v
+                for x, v in zip(prev, held[1], strict=True):
+                    x[0] = v
+                same[0] = True
+            keep = same.copy()
+            keep[:-1] |= same[1:]
+            if start:
+                keep[0], start = True, False
+            last = m - 1
+            held = [x[last] for x in now], ([x[last] for x in prev] if same[last] else None), [x[last] for x in first]
+            keep[last] = False  # comes with the next batch or at the end
+            at = np.flatnonzero(keep)
+            yield from out(at, now, prev, first, same)
+        if held is not None:
+            one = lambda row: [np.array([x]) for x in row]
+            yield from out(np.array([0]), one(held[0]), one(held[1] or held[0][1:]), one(held[2]), np.array([held[1] is not None]))
+
+    def out(at, now, prev, first, same):
+        none = ~same[at]
+        cols = [pa.array(x[at]) for x in now] + [pa.array(x[at], mask=none) for x in [*prev, *first]]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(cols, kinds, strict=True)], [*names, "p_g", "p_n", "p_pos", "h_g", "h_n", "h_pos"])
+
+    dealt = postings.repartitionByRange("token", "pos", "n", "g").sortWithinPartitions("token", "pos", "n", "g")
+    return dealt.mapInArrow(rows, "token bigint, g bigint, n int, pos int, p_g bigint, p_n int, p_pos int, h_g bigint, h_n int, h_pos int")
+
+
+def _next_in_group(classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes that follow each other in a group; a group may span tasks, whose borders are left out."""
+
+    def rows(batches):
+        last = None
+        for b in batches:
+            u, v = [], []
+            for g, c in zip(b.column("g").to_pylist(), b.column("cid").to_pylist(), strict=True):
+                if last and last[0] == g:
+                    u.append(last[1])
+                    v.append(c)
+                last = g, c
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+    return classes.select("g", "cid").repartitionByRange("g", "cid").sortWithinPartitions("g", "cid").mapInArrow(rows, "u binary, v binary")
+
+
 def _may(a: str, b: str):
     """Size and position filter for two postings of one shingle."""
     need = (3 * (F.col(f"{a}n") + F.col(f"{b}n")) + 6) / 7
     return (F.least(f"{a}n", f"{b}n") * 4 >= F.greatest(f"{a}n", f"{b}n") * 3) & (F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) >= F.floor(need))
 
 
-def _close(a: str, b: str):
-    """Whether the parity bitmaps leave room for the similarity: they differ in no more places than the sets."""
-    apart = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITS), F.lit(0))
-    return apart * 7 <= F.col(f"{a}n") + F.col(f"{b}n")
+def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of classes whose bitmaps leave room for the similarity."""
+
+    def rows(batches):
+        for b in batches:
+            a, c = b.column("a_bits").to_pylist(), b.column("b_bits").to_pylist()
+            room = (b.column("a_n").to_numpy().astype(np.int64) + b.column("b_n").to_numpy()).tolist()
+            ok = pa.array([4 * min(x, y) >= 3 * max(x, y) and 7 * apart(p, q) <= r for p, q, r, x, y in zip(a, c, room, b.column("a_n").to_pylist(), b.column("b_n").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(ok)
+
+    of = lambda x, side: classes.select(F.col("cid").alias(x), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
+    both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v")
+    return both.select("u", "v", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(rows, "u binary, v binary")
+
+
+def _by_second(hot: DataFrame, groups: DataFrame) -> DataFrame:
+    """Postings (key, g, n, pos) of hot lists (token, g) by the listed shingle and each later one of the longer prefix."""
+
+    def rows(batches):
+        for b in batches:
+            keys, size, places = [], [], []
+            for token, p in zip(b.column("token").to_pylist(), b.column("prefix").to_pylist(), strict=True):
+                t = np.frombuffer(p, np.int64)
+                at = int(np.searchsorted(t.view(np.uint64), np.int64(token).view(np.uint64)))
+                keys.append(mixed(t[at + 1 :].view(np.uint64) + mixed(np.array([token], dtype=np.int64).view(np.uint64))))
+                size.append(len(t) - at - 1)
+                places.append(at)
+            of = np.repeat(np.arange(len(size)), size)
+            for a in range(0, len(of), 500_000):
+                part = of[a : a + 500_000]
+                key = np.concatenate(keys)[a : a + 500_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("g").take(pa.array(part)), b.column("n").take(pa.array(part)), pa.array(np.array(places, dtype=np.int32)[part])], ["token", "g", "n", "pos"])
+
+    return hot.join(groups.select("g", "n", "prefix"), "g").select("token", "g", "n", "prefix").mapInArrow(rows, "token bigint, g bigint, n int, pos int")
+
+
+def _by_tail(members: DataFrame, docs: DataFrame, shared) -> DataFrame:
+    """(key, cid, label) of classes of one group by each shingle of the tail that two similar ones must share."""
+    texts = docs.select(F.xxhash64("text").alias("th"), F.octet_length("text").alias("len"), "text").filter("text IS NOT NULL")
+
+    def rows(batches):
+        for b, texts in text_batches(batches):
+            for k, s in enumerate(sets(texts)):
+                p = prefix_length(len(s))
+                t = _order(s, shared.value)[p + 1 : 2 * p + 2]
+                key = mixed(t + mixed(np.array([b.column("g")[k].as_py()], dtype=np.int64).view(np.uint64))).view(np.int64)
+                at = pa.array(np.full(len(key), k))
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("cid").take(at), b.column("label").take(at)], ["key", "cid", "label"])
+
+    one = members.join(texts, ["th", "len"]).groupBy("cid", "g", "label").agg(F.first("text").alias("text"))
+    return one.mapInArrow(rows, "key bigint, cid binary, label binary")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -151,46 +307,64 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary, ok boolean").filter("ok").select("u", "v")
 
 
+def _others(scratch: Scratch, lists: DataFrame, groups: DataFrame, members: DataFrame, docs: DataFrame, shared) -> DataFrame:
+    """Pairs (u, v) of classes of different components that share a prefix shingle and pass the filters."""
+    kinds = members.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    own = kinds.select("g", F.when(F.col("x") == F.col("y"), F.col("x")).alias("label"))
+    named = lists.select("token", "g", "n", "pos").join(own, "g")
+    counts = named.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("label").alias("one"))
+    mixed_lists = counts.filter("m > 1 AND (x <> y OR one < m)").select("token", "m")
+    named = scratch.save(named.join(mixed_lists, "token"))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        a, b = (rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("g", "n", "pos", "label")]) for x in "ab")
+        differ = F.coalesce(F.col("a_label") != F.col("b_label"), F.lit(True))
+        return a.join(b, "token").filter((F.col("a_g") < F.col("b_g")) & differ & _may("a_", "b_")).select(F.col("a_g").alias("x"), F.col("b_g").alias("y"))
+
+    met = paired(named.filter(F.col("m") <= HOT))
+    hot = named.filter(F.col("m") > HOT)
+    if hot.limit(1).count():
+        met = met.unionByName(paired(_by_second(hot.select("token", "g"), groups).join(own, "g")))
+    met = met.distinct()
+    of = lambda g, c: members.select(F.col("g").alias(g), F.col("cid").alias(c), F.col("label").alias(f"{c}_label"))
+    between = met.join(of("x", "u"), "x").join(of("y", "v"), "y").filter("u_label <> v_label").select("u", "v")
+
+    # classes of one group with several components
+    several = members.join(members.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g", "k"), "g")
+    halves = [several.filter(F.col("k") <= HOT).select(F.col("g").alias("key"), "cid", "label")]
+    if several.filter(F.col("k") > HOT).limit(1).count():
+        halves.append(_by_tail(several.filter(F.col("k") > HOT), docs, shared))
+    for rows in halves:
+        a, b = (rows.select("key", F.col("cid").alias(c), F.col("label").alias(f"{c}_label")) for c in "uv")
+        between = between.unionByName(a.join(b, "key").filter("u < v AND u_label <> v_label").select("u", "v"))
+    return between.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, the text's key (th, len) and a label of the group, a row a document."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    rows = scratch.save(_described(docs, _levels(_sketch(docs))))
-    longs = [F.conv(F.hex(F.substring("bits", 1 + 8 * i, 8)), 16, -10).cast("bigint").alias(f"s{i}") for i in range(BITMAP)]
+    scratch = Scratch(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(_levels(_sketch(docs)))
+    rows = scratch.save(_described(docs, shared))
     alike = rows.filter("n > 0").groupBy("cid", "g", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct("th", "len")).alias("t"), F.first("bits").alias("bits"))
-    classes = scratch.save(alike.select("cid", "g", "n", "least", "t.th", "t.len", *longs))
+    classes = scratch.save(alike.select("cid", "g", "n", "least", "t.th", "t.len", "bits"))
     groups = rows.filter("n > 0").groupBy("g", "n").agg(F.first("prefix").alias("prefix"))
-    by_token = Window.partitionBy("token").orderBy("pos", "n", "g")
-    head = by_token.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lists = _postings(groups).select("token", "g", "n", "pos", *[F.lag(c).over(by_token).alias(f"p_{c}") for c in ("g", "n", "pos")], *[F.first(c).over(head).alias(f"h_{c}") for c in ("g", "n", "pos")], F.lead("g").over(by_token).alias("next"))
-    lists = scratch.save(lists.filter("p_g IS NOT NULL OR next IS NOT NULL").drop("next"))
+    lists = scratch.save(_lists(_postings(groups)))
 
     # neighbours and heads in the lists, by one class of each group, and the classes of a group in a row
-    heads = classes.groupBy("g").agg(F.min(F.struct("cid", "n", *BITS)).alias("c"))
+    heads = classes.groupBy("g").agg(F.min("cid").alias("c"))
     later = lists.filter("p_g IS NOT NULL")
     near = [later.filter(_may(x, "")).select(F.least(f"{x}g", "g").alias("a"), F.greatest(f"{x}g", "g").alias("b")) for x in ("p_", "h_")]
     chain = near[0].unionByName(near[1]).distinct()
-    for side in ("a", "b"):
-        chain = chain.join(heads.select(F.col("g").alias(side), *[F.col(f"c.{x}").alias(f"{side}_{x}") for x in ("cid", "n", *BITS)]), side)
-    chain = chain.filter(_close("a_", "b_")).select(F.col("a_cid").alias("u"), F.col("b_cid").alias("v"))
-    inner = classes.select("cid", F.lag("cid").over(Window.partitionBy("g").orderBy("cid")).alias("u")).filter("u IS NOT NULL").select("u", F.col("cid").alias("v"))
-    first = scratch.save(chain.unionByName(inner).distinct())
+    chain = chain.join(heads.select(F.col("g").alias("a"), F.col("c").alias("u")), "a").join(heads.select(F.col("g").alias("b"), F.col("c").alias("v")), "b").select("u", "v")
+    first = chain.unionByName(_next_in_group(classes)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    first = scratch.save(_close(first, classes))
     links = scratch.save(_verified(first, classes, docs))
     label = components(links)
 
-    # what is left: lists that hold several components
-    members = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "g", F.coalesce("label", "cid").alias("label"), *BITS)
-    places = lists.select("token", "g", "n", "pos")
-    named_lists = places.join(members.select("g", "label"), "g")
-    mixed_lists = named_lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    left = scratch.save(places.join(mixed_lists, "token").join(members, "g").drop("g"))
-    a = left.select("token", *[F.col(c).alias(f"a_{c}") for c in left.columns if c != "token"])
-    b = left.select("token", *[F.col(c).alias(f"b_{c}") for c in left.columns if c != "token"])
-    ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_cid") < F.col("b_cid")))
-    cross = a.join(b, (a["token"] == b["token"]) & (F.col("a_label") != F.col("b_label")) & ordered & _may("a_", "b_") & _close("a_", "b_"))
-    cross = cross.select(F.col("a_cid").alias("u"), F.col("b_cid").alias("v")).distinct()
-    seen = first.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
-    cross = scratch.save(cross.join(seen, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti"))
+    # what is left: lists and groups that hold several components
+    members = scratch.save(classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "g", "th", "len", F.coalesce("label", "cid").alias("label")))
+    cross = scratch.save(_close(_others(scratch, lists, groups, members, docs, shared).join(first, ["u", "v"], "left_anti"), classes))
     more = scratch.save(_verified(cross, classes, docs))
     if more.limit(1).count():
         label = components(links.unionByName(more))

@@ -18,8 +18,8 @@ only the others run the agenda.
 
 Defined cases: a null text stays null (no ids), an empty text has none; a
 character outside the vocabulary, and a literal U+2581, becomes its UTF-8 bytes,
-so every text decodes to itself; long texts are cut at spaces and handled piece
-by piece; equal rows with equal keys get equal ids. Columns other than the key
+so every text decodes to itself; long texts are cut between chunks and handled
+piece by piece, with the same ids as at once; equal rows with equal keys get equal ids. Columns other than the key
 and the text are carried through where asked.
 """
 
@@ -41,12 +41,14 @@ DROPOUT = 0.1
 SEED = 11
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
-#: Characters of text that are handled at once.
-BATCH_CHARS = 8 << 20
-#: Words whose merges without dropout a worker keeps between batches.
-KEEP = 200_000
+#: Characters of text that are handled at once; ids do not depend on it.
+BATCH_CHARS = 1 << 20
+#: Bytes of words and their merges without dropout that a worker keeps between batches.
+KEEP_BYTES = 32 << 20
 #: Word occurrences that are varied at once.
-OCCURRENCES = 1 << 18
+OCCURRENCES = 1 << 17
+#: Symbols of the chunks whose agendas run at once.
+BLOCK_SYMBOLS = 1 << 19
 DEAD = np.iinfo(np.int64).max
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -251,8 +253,9 @@ def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: i
             for k in at.tolist():
                 put(k, np.array(agenda(model, chunks[k], int(word[k]), dropout), dtype=np.int32))
             continue
-        for a in range(0, len(at), 1 << 15):
-            part = at[a : a + (1 << 15)]
+        step = BLOCK_SYMBOLS // n
+        for a in range(0, len(at), step):
+            part = at[a : a + step]
             codes = np.frombuffer("".join([chunks[k] for k in part.tolist()]).encode("utf-32-le"), dtype=np.uint32).reshape(len(part), n).astype(np.int64)
             path = None if paths is None else np.zeros((len(part), n), dtype=np.uint64)
             ids, left = _block(model, codes, word[part], dropout, path)
@@ -271,11 +274,11 @@ def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: i
 
 
 def _slices(text: str) -> Iterator[str]:
-    """A long text in pieces, cut before a space that follows a word."""
+    """A long text in pieces, cut only where no chunk goes on: at a line end or before a space that follows a word."""
     at = 0
     while len(text) - at > BATCH_CHARS:
         cut = at + BATCH_CHARS
-        while cut < len(text) and not (text[cut] == " " and text[cut - 1] != " "):
+        while cut < len(text) and not (text[cut] == "\n" or (text[cut] == " " and text[cut - 1] != " ")):
             cut += 1
         yield text[at:cut]
         at = cut
@@ -296,6 +299,7 @@ class Encoder:
     def __init__(self, path: str, dropout: float, seed: int, streams: int | None = None):
         self.model, self.dropout, self.seed, self.streams = load(path), dropout, seed, streams
         self.kept: dict[str, tuple[bytes, np.ndarray | None]] = {}
+        self.kept_bytes = 0
 
     def encode(self, keys: list, texts: list[str | None]) -> list[bytes | None]:
         """int32 ids of each text; ``keys`` choose the streams."""
@@ -306,28 +310,38 @@ class Encoder:
             if t is None:
                 continue
             if len(t) > BATCH_CHARS:
-                out[i] = b"".join(self._batch([f"{keys[i]}|{k}"], [(" " if not k else "") + s])[0] for k, s in enumerate(_slices(t)))
+                out[i] = self._long(keys[i], t)
                 continue
-            group.append(i)
-            chars += len(t)
-            if chars > BATCH_CHARS:
+            if chars + len(t) > BATCH_CHARS:
                 self._into(out, group, keys, texts)
                 group, chars = [], 0
+            group.append(i)
+            chars += len(t)
         self._into(out, group, keys, texts)
         return out
 
+    def _long(self, key, text: str) -> bytes:
+        """A long text piece by piece; words keep their places in the whole."""
+        done, place = [], 0
+        for k, piece in enumerate(_slices(text)):
+            ids, n = self._batch([key], [piece if k else " " + piece], place)
+            done += ids
+            place += n
+        return b"".join(done)
+
     def _into(self, out: list, group: list[int], keys: list, texts: list) -> None:
-        for i, b in zip(group, self._batch([keys[i] for i in group], [" " + texts[i] if texts[i] else "" for i in group]), strict=True):
+        for i, b in zip(group, self._batch([keys[i] for i in group], [" " + texts[i] if texts[i] else "" for i in group])[0], strict=True):
             out[i] = b
 
-    def _batch(self, keys: list, texts: list[str]) -> list[bytes]:
+    def _batch(self, keys: list, texts: list[str], first: int = 0) -> tuple[list[bytes], int]:
+        """Ids of each text, whose words' places count from ``first``, and the number of words."""
         chunks: list[str] = []
         ends = []
         for t in texts:
             chunks += CHUNK.findall(t)
             ends.append(len(chunks))
         if not chunks:
-            return [b""] * len(texts)
+            return [b""] * len(texts), 0
         codes = _Codes()
         code = np.fromiter(map(codes.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         words = list(codes)
@@ -336,7 +350,7 @@ class Encoder:
         if self.dropout > 0:
             sizes = np.diff(np.array([0, *ends]))
             doc = np.repeat(np.fromiter((xxhash.xxh3_64_intdigest(str(k), seed=self.seed & (2**63 - 1)) for k in keys), dtype=np.uint64, count=len(keys)), sizes)
-            place = np.arange(len(chunks)) - np.repeat(np.array([0, *ends[:-1]]), sizes)
+            place = first + np.arange(len(chunks)) - np.repeat(np.array([0, *ends[:-1]]), sizes)
             stream = mixed(doc ^ (place.astype(np.uint64) * M1))
             if self.streams:
                 stream %= np.uint64(self.streams)
@@ -347,7 +361,7 @@ class Encoder:
                 for k, b in zip(varied.tolist(), segment_chunks(self.model, [chunks[k] for k in varied.tolist()], stream[varied], self.seed, self.dropout), strict=True):
                     every[k] = b
         at = [0, *ends]
-        return [b"".join(every[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return [b"".join(every[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], len(chunks)
 
     def _plain(self, words: list[str]) -> list[tuple[bytes, np.ndarray | None]]:
         """Ids and merges of each word without dropout."""
@@ -356,12 +370,12 @@ class Encoder:
         if lost:
             paths: list = [None] * len(lost)
             new = segment_chunks(self.model, [words[k] for k in lost], np.zeros(len(lost)), self.seed, 0.0, paths)
-            if len(self.kept) + len(lost) > KEEP:
-                self.kept = {}
             for k, b, p in zip(lost, new, paths, strict=True):
                 got[k] = b, p
-                if len(self.kept) < KEEP:
-                    self.kept[words[k]] = got[k]
+                if self.kept_bytes > KEEP_BYTES:
+                    self.kept, self.kept_bytes = {}, 0
+                self.kept[words[k]] = got[k]
+                self.kept_bytes += 300 + 4 * len(words[k]) + len(b) + (0 if p is None else p.nbytes)
         return got
 
     def _varied(self, words: list[str], paths: list, code: np.ndarray, stream: np.ndarray) -> np.ndarray:
