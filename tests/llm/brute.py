@@ -117,12 +117,16 @@ def grouped(pairs):
     return out
 
 
-def merge_dropout(sp, chunk, skipped):
+def piece_scores(sp):
+    """Scores of the real pieces of a SentencePiece processor."""
+    return {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+
+
+def merge_dropout(real, chunk, skipped):
     """Pieces of one chunk: the best mergeable pair of neighbours that is not skipped is merged, over and over.
 
-    ``sp`` is the library's processor; ``skipped(start, mid, end)`` says whether a candidate's merge is skipped.
+    ``skipped(start, mid, end)`` says whether a candidate's merge is skipped.
     """
-    real = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
     parts = list(chunk.replace(" ", "▁"))
     while True:
         best, at = None, 0
