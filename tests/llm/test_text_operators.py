@@ -162,32 +162,62 @@ def test_line_chunks(odd_docs, no_docs, monkeypatch):
     assert line_chunks.dedup_documents(no_docs).count() == 0
 
 
+def _spans_of(df):
+    return Counter(map(tuple, df.collect()))
+
+
+def _want_spans(docs):
+    return Counter((i, *s) for (i, _), s in zip(docs, brute.spans(docs), strict=True))
+
+
 def test_byte_strings(odd_docs, no_docs, monkeypatch):
-    small = odd_docs.filter("length(text) < 50000 OR text IS NULL")
-    docs = _rows(small)
-    want = Counter((i, *s) for (i, _), s in zip(docs, brute.spans(docs), strict=True))
-    assert Counter(map(tuple, bwt_dedup.dedup(small).collect())) == want
+    want = _want_spans(_rows(odd_docs))
+    assert _spans_of(bwt_dedup.dedup(odd_docs)) == want
     monkeypatch.setattr(bwt_dedup, "BROADCAST_ROWS", -1)
-    assert Counter(map(tuple, bwt_dedup.dedup(small).collect())) == want
+    assert _spans_of(bwt_dedup.dedup(odd_docs)) == want
     assert bwt_dedup.dedup(no_docs).count() == 0
 
 
-def test_interleave_orders_suffixes():
+def test_byte_strings_over_many_shards_and_blocks(spark, monkeypatch):
+    """Passages in changing contexts, runs of one byte, one id in many rows, over small shards, pieces and blocks."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6)))
+    passages = [" ".join(word() for _ in range(40)) for _ in range(6)] + ["z" * 300, "ab" * 120]
+    rows = []
+    for i in range(120):
+        parts = [" ".join(word() for _ in range(30))]
+        for _ in range(rng.randint(0, 3)):
+            x = rng.choice(passages)
+            a = rng.randint(0, len(x) // 2)
+            parts += [x[a : a + rng.randint(45, 200)], word()]
+        rows.append((None if i % 17 == 3 else 7 if i % 11 == 5 else i, " ".join(parts)))
+    for name, size in (("SHARD_BYTES", 900), ("PIECE_BYTES", 120), ("BLOCK_ROWS", 1500)):
+        monkeypatch.setattr(bwt_dedup, name, size)
+    assert _spans_of(bwt_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == _want_spans(rows)
+
+
+def test_byte_strings_of_very_long_texts(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range((1 << 20) + 5000))
+    rows = [(1, long), (2, "new start " + long[700_000:] + long[:200]), (3, "q" * (1 << 20)), (4, "q" * 2000 + "r")]
+    assert _spans_of(bwt_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == _want_spans(rows)
+
+
+def test_rounds_order_suffixes():
+    """The vector after the last round is the order of all suffixes, and its marks are the common prefixes below 50."""
     strings = [b"banana" * 12, b"bandana" * 10, b"ananas" * 12, b"a" * 80, b"nab" * 20]
-    import numpy as np
-
-    got = bwt_dedup.repeats(strings, np.array([5, 4, 3, 2, 1]))
-    for k, s in enumerate(strings):
-        want = [j for j in range(len(s) - 49) if any(s[j : j + 50] in strings[m] for m in range(k + 1, len(strings)))]
-        assert (got[k].tolist() if got[k] is not None else []) == want
     shards = [bwt_dedup.Transform([s]) for s in strings]
-    _, common = bwt_dedup.interleave(shards)
-    rows = sorted(s[j:] for s in strings for j in range(len(s) + 1))
-
-    def prefix(a, b):
-        n = 0
-        while n < min(len(a), len(b), 50) and a[n] == b[n]:
-            n += 1
-        return n
-
-    assert sorted(common[1:].tolist()) == sorted(prefix(a, b) for a, b in zip(rows[:-1], rows[1:], strict=True))
+    blocks = bwt_dedup.Blocks([])
+    coded = [t.coded(blocks) for t in shards]
+    parts = []
+    for k, (_, own, _) in enumerate(coded):
+        first, counts = bwt_dedup._runs_of(own)
+        same = np.zeros(len(first), dtype=np.uint64)
+        parts.append((np.full(len(own), k, dtype=np.uint8), np.zeros(len(own), dtype=bool), own[first], counts, same, same))
+    v = bwt_dedup.assemble(parts, blocks)
+    symbols = np.concatenate([before for before, _, _ in coded])
+    for _ in range(24):
+        v = bwt_dedup.assemble([bwt_dedup.refine(v, 0, symbols)], blocks)
+    rows = sorted((bytes(np.take(t.text, np.arange(i, i + 50), mode="wrap")), k) for k, t in enumerate(shards) for i in range(t.n))
+    assert v.z.tolist() == [k for _, k in rows]
+    assert v.marks.tolist() == [True] + [a[0] != b[0] for a, b in zip(rows[:-1], rows[1:], strict=True)]
