@@ -21,17 +21,34 @@ def test_same_day_rows_do_not_see_each_other(spark):
     assert _map(got, "row_id", "total") == {0: 0.0, 1: 0.0, 2: 1.0, 3: 0.5}
 
 
-def test_folded_form_equals_closed_form(spark):
+def test_folded_form_equals_closed_form(spark, monkeypatch):
     rng = random.Random(0)
     rows = [(i, rng.randint(0, 4), rng.randint(0, 40), rng.randint(0, 1)) for i in range(400)]
     df = spark.createDataFrame(rows, "row_id long, usr long, day long, y long")
     closed = _map(history.day_history(df, ["usr"], {}, {"d": (F.col("y"), 1.5)}), "row_id", "d")
-    folded = _map(history.day_history(df, ["usr"], {}, {"d": (F.col("y"), 1.5)}, horizon=1e9), "row_id", "d")
+    monkeypatch.setattr(history, "MAX_EXPONENT", 5)
+    folded = _map(history.day_history(df, ["usr"], {}, {"d": (F.col("y"), 1.5)}), "row_id", "d")
     for i, u, day, _ in rows:
         want = sum(y * 0.5 ** ((day - e) / 1.5) for _, v, e, y in rows if v == u and e < day)
         assert closed[i] == pytest.approx(want, abs=1e-9) and folded[i] == pytest.approx(want, abs=1e-9)
 
 
+def test_days_far_from_zero_and_far_apart(spark):
+    rows = [(0, 1, 19800, 1), (1, 1, 19801, 1), (2, 1, 19802, 0), (3, 2, 5, 1), (4, 2, 19000, 1), (5, 2, 19001, 0), (6, None, 19800, 1), (7, None, 19801, 1)]
+    df = spark.createDataFrame(rows, "row_id long, usr long, day long, y long")
+    got = _map(history.day_history(df, ["usr"], {"n": F.lit(1)}, {"d": (F.col("y"), 2.5), "e": (F.lit(1), 1.0)}), "row_id", "n", "d", "e")
+    for i, u, day, _ in rows:
+        before = [(e, y) for _, v, e, y in rows if v == u and e < day]
+        want = len(before), sum(y * 0.5 ** ((day - e) / 2.5) for e, y in before), sum(0.5 ** (day - e) for e, _ in before)
+        assert got[i] == pytest.approx(want, abs=1e-12)
+
+
+def test_six_digits_like_c(spark):
+    values = [1e-5, 1.5e-5, 1e6, 2e7, 0.0, -0.0, 0.1, 123456.0, 1234567.0, -2.5e-7, 100.0, 1e-4, 0.5, 7.0, 1e300, 10 / 1024, 30 / 1024, 1234565.0, 1234575.0, 0.1234565, 0.1234575, 1.0000005, -2.5000005, 12345650.0, 3.0000015e-9]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate([*values, float("nan"), float("inf"), float("-inf")])], "i int, v double").select("i", six_digits(F.col("v")).alias("s"))
+    assert [r["s"] for r in got.orderBy("i").collect()] == [f"{v:.6g}" for v in values] + ["nan", "inf", "-inf"]
+
+
 def test_null_keys_are_a_key(spark):
     df = spark.createDataFrame([(0, None, 1, 1), (1, None, 2, 1)], "row_id long, usr long, day long, y long")
     assert _map(history.day_history(df, ["usr"], {"p": F.col("y")}), "row_id", "p") == {0: 0, 1: 1}

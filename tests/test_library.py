@@ -1,6 +1,7 @@
 """Sources, encoders, blends, samplers, models, streaming and the contract."""
 
 import json
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -16,7 +17,7 @@ from tidemark.queries import ORACLES, QUERIES
 from tidemark.streaming import running_decay, windowed_rates
 
 SF = "/root/testdata/sf0.001"
-SAMPLED = ["popularity_eval", "decay_tab_rate", "watch_last5_mean", "attention_pool", "vocab_encode", "simplex_grid", "submission_violations", "regime_blend", "rank_transforms"]
+SAMPLED = ["calendar_day_history", "six_digit_scores", "submission_duplicates", "second_log_history", "popularity_eval", "decay_tab_rate", "watch_last5_mean", "attention_pool", "vocab_encode", "simplex_grid", "submission_violations", "regime_blend", "rank_transforms"]
 
 
 @pytest.mark.parametrize("name", SAMPLED)
@@ -46,6 +47,8 @@ def test_csv_log_keeps_file_order(spark, tmp_path):
     schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
     rows = sources.csv_log(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], schema).orderBy("row_id").collect()
     assert [(r["user_id"], r["video_id"], r["label"]) for r in rows] == [("u1", "v1", 1), ("u1", "v2", 0), ("u2", "v1", 1)]
+    many = sources.csv_log(spark, [str(tmp_path / "b.csv")] * 39 + [str(tmp_path / "a.csv")], schema).orderBy("row_id")
+    assert [r["user_id"] for r in many.collect()] == ["u2"] * 39 + ["u1"] * 2
 
 
 def test_dimension_checks(spark):
@@ -66,8 +69,20 @@ def test_submission_round_trip(spark, tmp_path):
     path = str(tmp_path / "out")
     sources.write_submission(made, path)
     back = sources.read_submission(spark, path)
-    assert [int(r["row_id"]) for r in back.orderBy(F.col("row_id").cast("long")).collect()] == list(range(1000))
+    parts = sorted(x for x in os.listdir(path) if x.endswith(".txt"))
+    lines = "".join(open(os.path.join(path, x)).read() for x in parts).splitlines()
+    assert lines[0] == "row_id,user_id,video_id,score" and [int(x.split(",")[0]) for x in lines[1:]] == list(range(1000))
     assert {r["violation"]: r["n_rows"] for r in sources.violations(back, made).collect()} == {"ok": 1000}
+    found = lambda text: {r["violation"]: r["n_rows"] for r in sources.violations(sources.read_submission(spark, write(text)), made).collect()}
+
+    def write(text):
+        (tmp_path / "one.csv").write_text("\n".join(text))
+        return str(tmp_path / "one.csv")
+
+    assert found(lines[1:]) == {"ok": 1000, "missing_header": 0}
+    assert found([*lines, lines[5], lines[5]]) == {"ok": 1000, "duplicate_row": 2}
+    assert found([*lines[:7], lines[7] + ",1", *lines[8:]]) == {"ok": 999, "wrong_fields": 1}
+    assert found([*lines[:7], *lines[8:], "1000,1,1,2"]) == {"ok": 999, "missing_row": 1, "unexpected_row": 1}
 
 
 def test_results_and_caches(spark, tmp_path):

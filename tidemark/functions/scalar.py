@@ -68,16 +68,49 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(x: Column) -> Column:
     """Softmax of an array, shifted by its maximum."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y))
+    shifted = _bound(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp(v - m)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y)
+    return _bound(shifted, lambda e: _bound(total(e), lambda s: F.transform(e, lambda v: v / s)))
+
+
+def _product_error(x: Column, y: Column) -> Column:
+    """What a rounded product of two doubles lacks, exactly (both are split in halves of 26 bits)."""
+    high = lambda v: v * F.lit(134217729.0) - (v * F.lit(134217729.0) - v)
+    xh, yh = high(x), high(y)
+    xl, yl = x - xh, y - yh
+    return ((xh * yh - x * y) + xh * yl + xl * yh) + xl * yl
+
+
+def _tie_down(x: Column) -> Column:
+    """``x``, or its first six digits where the seventh is a last 5 that the binary value rounds down from.
+
+    The JVM rounds halves of the shortest decimal up; C rounds the binary value,
+    and an exact half to an even digit.
+    """
+    seven = F.format_string("%.6e", F.abs(x))
+    digits = F.regexp_replace(F.substring_index(seven, "e", 1), r"\.", "").cast("double")
+    power = F.substring_index(seven, "e", -1).cast("int")
+    scale = F.pow(F.lit(10.0), F.abs(power - 6).cast("double"))
+    up = F.when(power < 6, (F.abs(x) * scale - digits) + _product_error(F.abs(x), scale)).otherwise((F.abs(x) - digits * scale) - _product_error(digits, scale))
+    cut = F.floor(digits / 10)
+    tie = (seven.cast("double") == F.abs(x)) & (digits % 10 == 5) & F.abs(power - 6).between(0, 22)
+    down = F.concat(cut.cast("string"), F.lit("e"), (power - 5).cast("string")).cast("double") * F.signum(x)
+    return F.when(tie & ((up < 0) | ((up == 0) & (cut % 2 == 0))), down).otherwise(x)
 
 
 def six_digits(x: Column) -> Column:
-    """C's %.6g with trailing zeros removed."""
-    s = F.format_string("%.6g", x)
-    return F.when(s.contains(".") & ~s.contains("e"), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    """C's %.6g: no trailing zeros, with or without an exponent; nan, inf and -inf."""
+    x = x.cast("double")
+    s = F.regexp_replace(F.format_string("%.6g", _tie_down(x)), r"(\.\d*?)0+(e|$)", "$1$2")
+    s = F.regexp_replace(s, r"\.(e|$)", "$1")
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(s)
 
 
 def bucket_left(edges: Column, x: Column) -> Column:

@@ -18,43 +18,57 @@ MAX_EXPONENT = 900
 DAY_MS = 86_400_000
 
 
-def day_history(log: DataFrame, keys: list[str], sums: dict[str, Column] | None = None, decayed: dict[str, tuple[Column, float]] | None = None, day: str = "day", horizon: float = 366.0) -> DataFrame:
+def day_history(log: DataFrame, keys: list[str], sums: dict[str, Column] | None = None, decayed: dict[str, tuple[Column, float]] | None = None, day: str = "day") -> DataFrame:
     """``log`` with prior sums and decayed prior sums of each row's key before its day.
 
     ``decayed`` maps a name to (measure, half-life in days): the sum over earlier
-    days d of measure * 0.5 ** ((day - d) / half-life). The closed form holds up
-    to ``horizon`` days; where half-lives are too short for it, the days of a
-    key are folded in order.
+    days d of measure * 0.5 ** ((day - d) / half-life). Exponents count from the
+    key's first day; the days of keys that span too many half-lives for that are
+    folded in order, so any day numbers and spans hold.
     """
     sums, decayed = sums or {}, decayed or {}
     daily = log.groupBy(*keys, day).agg(*[F.sum(v).alias(f"_s_{k}") for k, v in sums.items()], *[F.sum(v.cast("double")).alias(f"_d_{k}") for k, (v, _) in decayed.items()])
     before = Window.partitionBy(*keys).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
     cols = [F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(k) for k in sums]
-    folded = [k for k, (_, h) in decayed.items() if horizon / h > MAX_EXPONENT]
+    if decayed:
+        whole = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        most = MAX_EXPONENT * min(h for _, h in decayed.values())
+        daily = daily.withColumn("_at", F.col(day) - F.first(day).over(whole)).withColumn("_long", F.last(day).over(whole) - F.first(day).over(whole) > most)
     for k, (_, h) in decayed.items():
-        if k not in folded:
-            up = F.pow(F.lit(2.0), F.col(day) / h)
-            cols.append(F.coalesce(F.sum(F.col(f"_d_{k}") * up).over(before) / up, F.lit(0.0)).alias(k))
-    prior = daily.select(*keys, day, *cols)
-    for k in folded:
-        prior = prior.join(_fold(daily, keys, day, f"_d_{k}", decayed[k][1], k), [*keys, day])
-    renamed = prior.withColumnsRenamed({c: f"_r_{c}" for c in [*keys, day]})
+        up = F.pow(F.lit(2.0), F.col("_at") / h)
+        cols.append(F.coalesce(F.sum(F.col(f"_d_{k}") * up).over(before) / up, F.lit(0.0)).alias(k))
+    prior = daily.select(*keys, day, *cols) if not decayed else daily.filter("NOT _long OR _long IS NULL").select(*keys, day, *cols)
+    if decayed:
+        long = daily.filter("_long")
+        folded = _fold(long, keys, day, {k: (f"_d_{k}", h) for k, (_, h) in decayed.items()})
+        exact = _same(long.select(*keys, day, *cols[: len(sums)]), folded, [*keys, day])
+        prior = prior.unionByName(exact)
+    return _same(log, prior, [*keys, day])
+
+
+def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join on equal or both missing values."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
     same = F.lit(True)
-    for c in [*keys, day]:
-        same = same & log[c].eqNullSafe(renamed[f"_r_{c}"])
-    return log.join(renamed, same).drop(*[f"_r_{c}" for c in [*keys, day]])
+    for c in on:
+        same = same & left[c].eqNullSafe(renamed[f"_r_{c}"])
+    return left.join(renamed, same).drop(*[f"_r_{c}" for c in on])
 
 
-def _fold(daily: DataFrame, keys: list[str], day: str, value: str, half_life: float, name: str) -> DataFrame:
-    """The recurrence over the days of a key, at any horizon; a key has one entry a day."""
-    lists = daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).alias("v")))).alias("l"))
-    start = F.struct(F.lit(None).cast("bigint").alias("d"), F.lit(0.0).alias("s"), F.array().cast("array<struct<d:bigint,s:double>>").alias("out"))
+def _fold(daily: DataFrame, keys: list[str], day: str, values: dict[str, tuple[str, float]]) -> DataFrame:
+    """The recurrences over the days of a key, at any span; a key has one entry a day."""
+    part = {k: f"v{i}" for i, k in enumerate(values)}
+    lists = daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day).cast("bigint").alias("d"), *[F.col(v).alias(part[k]) for k, (v, _) in values.items()]))).alias("l"))
+    fields = ", ".join(f"{v}: double" for v in part.values())
+    start = F.struct(F.lit(None).cast("bigint").alias("d"), *[F.lit(0.0).alias(v) for v in part.values()], F.array().cast(f"array<struct<d: bigint, {fields}>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        faded = F.when(acc["d"].isNull(), F.lit(0.0)).otherwise(acc["s"] * F.pow(F.lit(0.5), (x["d"] - acc["d"]) / half_life))
-        return F.struct(x["d"].cast("bigint").alias("d"), (faded + x["v"]).alias("s"), F.concat(acc["out"], F.array(F.struct(x["d"].cast("bigint").alias("d"), faded.alias("s")))).alias("out"))
+        faded = {part[k]: F.when(acc["d"].isNull(), F.lit(0.0)).otherwise(acc[part[k]] * F.pow(F.lit(0.5), (x["d"] - acc["d"]) / h)) for k, (_, h) in values.items()}
+        row = F.struct(x["d"].alias("d"), *[v.alias(k) for k, v in faded.items()])
+        return F.struct(x["d"].alias("d"), *[(v + F.coalesce(x[k], F.lit(0.0))).alias(k) for k, v in faded.items()], F.concat(acc["out"], F.array(row)).alias("out"))
 
-    return lists.select(*keys, F.explode(F.aggregate("l", start, step)["out"]).alias("o")).select(*keys, F.col("o.d").alias(day), F.col("o.s").alias(name))
+    out = lists.select(*keys, F.explode(F.aggregate("l", start, step)["out"]).alias("o"))
+    return out.select(*keys, F.col("o.d").cast(daily.schema[day].dataType).alias(day), *[F.col(f"o.{part[k]}").alias(k) for k in values])
 
 
 def total_order(log: DataFrame, key: str = "usr", t: str = "t", row_id: str = "row_id"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import or_missing, orientation, primary_token
+from tidemark.functions import date_ordinal, or_missing, orientation, primary_token, six_digits
 from tidemark.operators import audit
 from tidemark.queries.base import query, r6, scored
 from tidemark.sources import content_hash, event_log, submission_rows, table, todo, violations, with_split
@@ -215,16 +215,42 @@ k AS (SELECT usr, day, CAST(sum(y) AS BIGINT) AS pos, count(*) AS n FROM l GROUP
 SELECT a.usr, CAST(a.day AS BIGINT) AS day, round(coalesce(sum(b.pos * pow(0.5e0, (a.day - b.day) / 2e0)), 0), 6) AS decayed, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS activity
 FROM k a LEFT JOIN k b ON a.usr = b.usr AND b.day < a.day GROUP BY a.usr, a.day""")
 def second_log_history(spark, d):
-    """A horizon of 2,500 days at a half-life of 2 days: the folded form."""
+    """Spans of 2,500 days at a half-life of 2 days: the folded form."""
     from tidemark.operators.history import day_history
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("usr"))
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("bigint")
     rows = table(spark, d, "lineitem").join(o, "l_orderkey").select("usr", day.alias("day"), (F.col("l_discount") >= 0.05).cast("bigint").alias("y"))
-    got = day_history(rows, ["usr"], {"activity": F.lit(1)}, {"decayed": (F.col("y"), 2.0)}, horizon=2600)
+    got = day_history(rows, ["usr"], {"activity": F.lit(1)}, {"decayed": (F.col("y"), 2.0)})
     return got.select("usr", "day", r6("decayed"), F.col("activity").cast("bigint").alias("activity")).distinct()
 
 
+@query("calendar_day_history", """, k AS (SELECT usr, date_diff('day', DATE '1970-01-01', DATE '2024-01-01') + day AS day, CAST(sum(y) AS BIGINT) AS pos FROM log GROUP BY usr, 2)
+SELECT a.usr, CAST(a.day AS BIGINT) AS day, round(coalesce(sum(b.pos * pow(0.5e0, (a.day - b.day) / 2.5e0)), 0), 6) AS decayed FROM k a LEFT JOIN k b ON a.usr = b.usr AND b.day < a.day GROUP BY a.usr, a.day""")
+def calendar_day_history(spark, d):
+    """Days counted from 1970, far from zero."""
+    from tidemark.operators.history import day_history
+
+    start = date_ordinal(F.lit(20240101))
+    log = event_log(spark, d).select("usr", (start + F.col("day")).cast("bigint").alias("day"), "y")
+    return day_history(log, ["usr"], {}, {"decayed": (F.col("y"), 2.5)}).select("usr", "day", r6("decayed")).distinct()
+
+
+@query("six_digit_scores", """SELECT event_id AS row_id, printf('%.6g', CASE event_id % 7 WHEN 0 THEN value / 64e0 WHEN 1 THEN event_id * 1.5e-8 WHEN 2 THEN event_id * 1e5 WHEN 3 THEN event_id / 1024e0 WHEN 4 THEN 0e0 WHEN 5 THEN -event_id / 32e0 ELSE event_id * 1e0 END) AS score FROM events""", log=False)
+def six_digit_scores(spark, d):
+    e = F.col("event_id")
+    x = F.when(e % 7 == 0, F.col("value") / 64).when(e % 7 == 1, e * F.lit(1.5e-8)).when(e % 7 == 2, e * F.lit(1e5)).when(e % 7 == 3, e / F.lit(1024.0)).when(e % 7 == 4, F.lit(0.0)).when(e % 7 == 5, -e / F.lit(32.0)).otherwise(e * F.lit(1.0))
+    return table(spark, d, "events").select(e.alias("row_id"), six_digits(x).alias("score"))
+
+
+@query("submission_duplicates", """, e AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS id FROM log WHERE split = 'test')
+SELECT 'ok' AS violation, count(*) AS n_rows FROM e UNION ALL SELECT 'duplicate_row', sum(CASE WHEN id % 10 = 0 THEN 2 ELSE 0 END)::BIGINT FROM e""")
+def submission_duplicates(spark, d):
+    e = submission_rows(scored(spark, d).filter("split = 'test'"), "row_id", "usr", "item", "s3")
+    twice = e.filter("row_id % 10 = 0")
+    return violations(e.unionByName(twice).unionByName(twice).select(*[F.col(c).cast("string").alias(c) for c in e.columns]), e)
+
+
 @query("with_split_none", "SELECT count(*) FILTER (day < 5 OR day > 9) AS outside FROM log")
 def with_split_none(spark, d):
     log = event_log(spark, d).drop("split").withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day").cast("int")))

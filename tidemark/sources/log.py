@@ -57,10 +57,14 @@ def csv_log(spark: SparkSession, paths: list[str], schema: T.StructType = LOG_SC
     high digits, then Spark's increasing id, which follows the read order within
     one file's splits. A label is anything but '0'.
     """
+    if len(paths) >= 1 << 13:
+        raise ValueError("at most 8,191 files")
+    place = F.monotonically_increasing_id()
+    checked = F.when(place < 1 << 50, place).otherwise(F.raise_error(F.lit("a file of more than 131,072 splits")).cast("bigint"))
     out = None
     for rank, p in enumerate(paths):
         df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(p)
-        df = df.withColumn("row_id", F.monotonically_increasing_id() + F.lit(rank) * F.lit(1 << 58))
+        df = df.withColumn("row_id", checked + F.lit(rank << 50))
         out = df if out is None else out.unionByName(df)
     return out.withColumn("label", (F.col("long_view") != "0").cast("bigint"))
 
