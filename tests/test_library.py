@@ -17,7 +17,7 @@ from tidemark.queries import ORACLES, QUERIES
 from tidemark.streaming import running_decay, windowed_rates
 
 SF = "/root/testdata/sf0.001"
-SAMPLED = ["calendar_day_history", "six_digit_scores", "submission_duplicates", "second_log_history", "popularity_eval", "decay_tab_rate", "watch_last5_mean", "attention_pool", "vocab_encode", "simplex_grid", "submission_violations", "regime_blend", "rank_transforms"]
+SAMPLED = ["refined_grid", "coarse_weight_search", "normaliser_switch", "category_frame", "calendar_day_history", "six_digit_scores", "submission_duplicates", "second_log_history", "popularity_eval", "decay_tab_rate", "watch_last5_mean", "attention_pool", "vocab_encode", "simplex_grid", "submission_violations", "regime_blend", "rank_transforms"]
 
 
 @pytest.mark.parametrize("name", SAMPLED)
@@ -169,3 +169,16 @@ def test_works_without_the_optional_part(tmp_path):
     code = "import sys; sys.modules['tidemark.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
     assert out.returncode == 0 and out.stdout.split()[1] == "False", out.stderr[-500:]
+
+
+def test_refined_search_goes_around_the_best_point(spark):
+    from tidemark.queries.base import scored
+
+    log = scored(spark, SF)
+    got = blend.refined_search(log, ["s1", "s2"], coarse=4, radius=2, step=0.05).collect()
+    coarse = {r["w0"]: r["primary_score"] for r in blend.weight_search(log, ["s1", "s2"], blend.simplex_grid(spark, 4, 2)).collect()}
+    best = max(coarse, key=lambda w: (coarse[w], w))
+    want = {round(w, 6) for w in coarse} | {round(best + k * 0.05, 6) for k in range(-2, 3) if 0 <= best + k * 0.05 <= 1}
+    assert sorted(round(r["w0"], 6) for r in got) == sorted(want)
+    assert all(r["primary_score"] == pytest.approx(coarse[r["w0"]]) for r in got if r["w0"] in coarse)
+    assert len(blend.refined_search(log, ["s1", "s2", "s3", "alt"], coarse=2, radius=1, step=0.1).collect()) >= 10

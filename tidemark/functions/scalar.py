@@ -126,3 +126,8 @@ def bucket_right(edges: Column, x: Column) -> Column:
 def watch_fraction(play: Column, duration: Column) -> Column:
     """play / duration clipped to [0, 1]; null without a positive duration."""
     return F.when(duration > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), play / duration)))
+
+
+def half_life_label(half_life: float) -> str:
+    """A half-life in a feature's name: 5 rather than 5.0."""
+    return f"{half_life:g}"

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.lineage import cut
 from tidemark.operators.metrics import evaluate
+from tidemark.operators.ranks import percentile
 
 
 def minmax(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -76,6 +78,42 @@ def weight_search(df: DataFrame, cols: list[str], grid: DataFrame, by: list[str]
     return evaluate(rows, by=[*(by or []), *ws])
 
 
+def refined_grid(spark: SparkSession, centre: list[float], coarse: int = 10, radius: int = 5, step: float = 0.02, least: float = 0.0) -> DataFrame:
+    """The coarse simplex and the finer points around ``centre``, each point once."""
+    points = simplex_grid(spark, coarse, len(centre)).unionByName(local_grid(spark, centre, radius, step, least))
+    names = [f"w{k}" for k in range(len(centre))]
+    return points.select(*[F.round(c, 10).alias(c) for c in names]).dropDuplicates(names)
+
+
+def refined_search(df: DataFrame, cols: list[str], coarse: int = 10, radius: int = 5, step: float = 0.02, least: float = 0.0) -> DataFrame:
+    """The metric at each point of the coarse simplex and of the finer grid around its best point, for any number of scores.
+
+    The coarse results are computed once; of equal points the one with the
+    greatest first weights leads. Only that point reaches the driver.
+    """
+    spark, names = df.sparkSession, [f"w{k}" for k in range(len(cols))]
+    first = cut(weight_search(df, cols, simplex_grid(spark, coarse, len(cols))))
+    top = first.orderBy(F.desc("primary_score"), *[F.desc(c) for c in names]).first()
+    if top is None:
+        return first
+    finer = local_grid(spark, [top[c] for c in names], radius, step, least)
+    same = [F.round(finer[c], 10) == F.round(first[c], 10) for c in names]
+    for c in same[1:]:
+        same[0] = same[0] & c
+    return first.unionByName(weight_search(df, cols, finer.join(F.broadcast(first.select(*names)), same[0], "left_anti")))
+
+
+def normalised(df: DataFrame, cols: list[str], how: str, group: list[str] | None = None) -> DataFrame:
+    """Adds ``{col}_n`` of each score: ``global`` min-max, ``zscore``, or ``percentile`` within ``group``."""
+    if how == "global":
+        return minmax(df, cols).withColumnsRenamed({f"{c}_mm": f"{c}_n" for c in cols})
+    if how == "zscore":
+        return zscore(df, cols).withColumnsRenamed({f"{c}_z": f"{c}_n" for c in cols})
+    if how == "percentile":
+        return df.withColumns({f"{c}_n": percentile(group or [], c) for c in cols})
+    raise ValueError(f"no such normaliser: {how}")
+
+
 def segment_alphas(df: DataFrame, a: str, b: str, segment: str, steps: int = 10, min_rows: int = 5) -> DataFrame:
     """The best alpha of each segment; the global one where the segment has fewer rows."""
     overall = best(alpha_sweep(df, a, b, steps)).select(F.col("alpha").alias("_all"))

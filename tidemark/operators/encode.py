@@ -59,3 +59,8 @@ def known_only(rows: DataFrame, train: DataFrame, col: str, name: str) -> DataFr
 def one_hot(rows: DataFrame, col: str, values: list) -> DataFrame:
     """A 0/1 column for each observed value; others are all zero."""
     return rows.select("*", *[F.coalesce((F.col(col) == v).cast("double"), F.lit(0.0)).alias(f"{col}_{v}") for v in values])
+
+
+def category_frame(df: DataFrame, categories: list[str], numbers: list[str], missing: str = "UNK") -> DataFrame:
+    """Categories as strings without nulls and numbers as single floats, other columns left out."""
+    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c) for c in categories], *[F.col(c).cast("float").alias(c) for c in numbers])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import sigmoid
-from tidemark.operators import audit, blend
+from tidemark.operators import audit, blend, encode
 from tidemark.queries.base import query, r6, scored
 from tidemark.queries.rankings import SHOW, metric_sql, shown
 
@@ -87,6 +87,35 @@ def local_grid(spark, d):
     return blend.local_grid(spark, [0.1, 0.5, 0.4], 3, 0.02, 0.05).select(r6("w0"), r6("w1"), r6("w2"))
 
 
+@query("refined_grid", """WITH c AS (SELECT round(a / 10e0, 6) AS w0, round(b / 10e0, 6) AS w1, round((10 - a - b) / 10e0, 6) AS w2 FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10),
+l AS (SELECT round(0.1e0 + a * 0.02e0, 6) AS w0, round(0.5e0 + b * 0.02e0, 6) AS w1, round(0.4e0 - (a + b) * 0.02e0, 6) AS w2 FROM range(-5, 5 + 1) x(a), range(-5, 5 + 1) y(b) WHERE abs(a + b) <= 5 AND 0.1e0 + a * 0.02e0 >= 0)
+SELECT * FROM c UNION SELECT * FROM l""", log=False)
+def refined_grid(spark, d):
+    return blend.refined_grid(spark, [0.1, 0.5, 0.4]).select(r6("w0"), r6("w1"), r6("w2"))
+
+
+COARSE = ", sg AS (SELECT a AS w0, b AS w1, 10 - a - b AS w2 FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10), lg AS (SELECT log.*, w0, w1, w2, w0 * s1 + w1 * s2 + w2 * s3 AS sc FROM log, sg)"
+
+
+@query("coarse_weight_search", COARSE + metric_sql("lg", "sc", "w0, w1, w2") + f"SELECT w0, w1, w2, {SHOW} FROM met")
+def coarse_weight_search(spark, d):
+    """All 66 points of the 0.1 simplex, in whole tenths."""
+    grid = blend.simplex_grid(spark, 10).select(*[F.round(F.col(f"w{k}") * 10).cast("bigint").alias(f"w{k}") for k in range(3)])
+    return shown(blend.weight_search(scored(spark, d), ["s1", "s2", "s3"], grid), "w0", "w1", "w2")
+
+
+@query("normaliser_switch", "SELECT row_id, round((s3 - min(s3) OVER ()) / (max(s3) OVER () - min(s3) OVER () + 1e-12), 6) AS g, round((s3 - avg(s3) OVER ()) / (stddev_pop(s3) OVER () + 1e-9), 6) AS z FROM log")
+def normaliser_switch(spark, d):
+    rows = blend.normalised(scored(spark, d), ["s3"], "global").withColumnRenamed("s3_n", "g")
+    return blend.normalised(rows, ["s3"], "zscore").select("row_id", r6("g"), r6("s3_n", "z"))
+
+
+@query("category_frame", "SELECT coalesce(CAST(nullif(ctx, 'view') AS VARCHAR), 'UNK') AS ctx, CAST(item AS VARCHAR) AS item, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y FROM log")
+def category_frame(spark, d):
+    log = scored(spark, d).withColumn("ctx", F.nullif(F.col("ctx"), F.lit("view")))
+    return encode.category_frame(log, ["ctx", "item"], ["y"]).withColumn("y", F.col("y").cast("double"))
+
+
 @query("top_weight_records", SIMPLEX + metric_sql("lg", "sc", "a, b, c") + "SELECT a, b, c, round((gauc + ndcg) / 2, 6) AS primary_score FROM met ORDER BY primary_score DESC, a, b, c LIMIT 12")
 def top_weight_records(spark, d):
     return simplex_grid(spark, d).select("a", "b", "c", "primary_score").orderBy(F.desc("primary_score"), "a", "b", "c").limit(12)
