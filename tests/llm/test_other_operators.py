@@ -187,6 +187,26 @@ def test_nearest(spark):
     assert rp_forest.nearest(df.filter("vec_id IN (0, 1, 2)"), F.col("vec_id") % 10 == 0).count() == 2
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Hot leaves, many queries of one group, and rows and ids that repeat, against brute force."""
+    monkeypatch.setattr(rp_forest, "BLOCK", 16)
+    monkeypatch.setattr(rp_forest, "QBLOCK", 3)
+    monkeypatch.setattr(rp_forest, "LEAF_SAMPLE", 4)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(0, 3, 8).astype(float).tolist()) for i in range(1, 300)] + [(1000 + i, [1.0] * 8) for i in range(200)]
+    rows += rows[40:60] * 15 + [(7, [2.0] * 8), (7, [0.5] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = rp_forest.nearest(df, F.col("vec_id") % 10 == 0, probes=100_000).collect()
+    mine = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        mine.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    at = {}
+    for i, v in rows:
+        at.setdefault(i, set()).add(tuple(v))
+    far = lambda a, b: min(float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())) for v in at[a] for w in at[b])
+    assert mine == {q: sorted((far(q, j), j) for j in at if j != q)[:10] for q in at if q % 10 == 0}
+
+
 def test_recall_of_the_default_search(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = rp_forest.nearest(df, F.col("vec_id") % 100 == 0).toPandas()

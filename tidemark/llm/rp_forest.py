@@ -4,36 +4,51 @@ Trees are fitted on a bounded sample of SAMPLE rows (chosen by hash): each inner
 node splits by the median of the projection on the difference of two random
 sample vectors. Every row is then indexed: it falls to one leaf of each tree. A
 query walks all trees through one shared priority queue, whose priority is the
-least margin on the way, and takes the PROBES best leaves; leaf members are
-reranked by exact Euclidean distance in double precision.
-
-Hot leaves are split into blocks of BLOCK rows, and each block hands on its K
-best alone, so no task gathers a leaf. Ties go to the smaller id.
+sum of the squared margins crossed on the way, and takes the best leaves: of all
+trees together as many as half of one tree's, or MIN_PROBES if that is more.
+Leaf members are reranked by exact Euclidean distance in double precision.
+
+Neighbouring leaves of a tree are packed into groups of about BLOCK rows, so a
+query's vector goes once to a group, not once to a leaf; leaves with more rows
+are split by a hash of the id, and the queries of a group into blocks of QBLOCK.
+No task holds more than one block of each. A block hands on a query's K best;
+these meet by query and candidate, and a ranked window limits them to K before
+its shuffle. The leaf counts that the packing needs are TREES * 2**DEPTH numbers
+at most, whatever the input.
 
 Defined cases: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, nor do rows without an id;
 repeated vectors are ties; an id that repeats is the query's own row and no
-candidate of itself; fewer than K candidates are all returned; an empty table
-gives an empty result. Other columns are not read.
+candidate of itself, and one candidate at its least distance; fewer than K
+candidates are all returned; an empty table gives an empty result. Other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-SAMPLE = 8_192
+#: Rows that the trees are fitted on at most.
+SAMPLE = 32_768
 TREES = 8
-DEPTH = 7
-PROBES = 130
-BLOCK = 2_048
+DEPTH = 10
+#: Sample rows of a leaf at least.
+LEAF_SAMPLE = 32
+MIN_PROBES = 128
+#: Rows of a group of leaves, and queries that meet it, in one task.
+BLOCK = 4_096
+QBLOCK = 4_096
+#: Exact distances computed at a time, and candidates that a task holds before it ranks them.
+PAIRS, HELD = 1 << 16, 1 << 19
 K = 10
 SEED = 5
 
@@ -67,17 +82,16 @@ class Forest:
         """(rows, trees): the leaf of each row."""
         out = np.zeros((len(x), len(self.cuts)), dtype=np.int32)
         for t in range(len(self.cuts)):
-            side = x @ self.normals[t].T >= self.cuts[t]
             node = np.zeros(len(x), dtype=np.int64)
             for _ in range(self.depth):
-                node = 2 * node + 1 + side[np.arange(len(x)), node]
+                node = 2 * node + 1 + (np.einsum("ij,ij->i", x, self.normals[t, node]) >= self.cuts[t, node])
             out[:, t] = node - (2**self.depth - 1)
         return out
 
     def search(self, x: np.ndarray, probes: int) -> list[tuple[int, int]]:
         """The best (tree, leaf) pairs for one query, by a priority queue over all trees."""
         margin = [(self.normals[t] @ x - self.cuts[t]).tolist() for t in range(len(self.cuts))]
-        queue = [(-np.inf, t, 0) for t in range(len(margin))]
+        queue = [(0.0, t, 0) for t in range(len(margin))]
         found: list[tuple[int, int]] = []
         first = 2**self.depth - 1
         while queue and len(found) < probes:
@@ -86,81 +100,149 @@ class Forest:
                 found.append((t, node - first))
                 continue
             m = margin[t][node]
-            heapq.heappush(queue, (max(p, m), t, 2 * node + 1))
-            heapq.heappush(queue, (max(p, -m), t, 2 * node + 2))
+            heapq.heappush(queue, (p + max(m, 0.0) ** 2, t, 2 * node + 1))
+            heapq.heappush(queue, (p + min(m, 0.0) ** 2, t, 2 * node + 2))
         return found
 
 
+class Packing:
+    """Leaves of each tree, by count, as groups of about BLOCK rows; fuller leaves as blocks."""
+
+    def __init__(self, counts: np.ndarray):
+        self.group, self.blocks = np.zeros(counts.shape, dtype=np.int32), []
+        for t in range(len(counts)):
+            held = BLOCK
+            for leaf, c in enumerate(counts[t].tolist()):
+                if held + c > BLOCK:
+                    self.blocks.append(max(1, -(-c // BLOCK)))
+                    held = 0
+                self.group[t, leaf] = len(self.blocks) - 1
+                held += c
+
+
 def usable(v: Column) -> Column:
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist() if hasattr(column, "to_pylist") else list(column), dtype=np.float64)
-
-
-def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = K, probes: int = PROBES) -> DataFrame:
+    """Vectors of one length, which hold no nulls, as rows of doubles."""
+    if isinstance(column, pa.Array):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+def _best(q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each query, each candidate once; ties to the smaller id."""
+    at = np.lexsort((d, ids, q))
+    q, ids, d = q[at], ids[at], d[at]
+    once = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])] if len(q) else np.zeros(0, bool)
+    q, ids, d = q[once], ids[once], d[once]
+    at = np.lexsort((ids, d, q))
+    q, ids, d = q[at], ids[at], d[at]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[top], ids[top], d[top]
+
+
+def _near(x: np.ndarray, xi: np.ndarray, q: np.ndarray, qi: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query place, row place, exact distance) of all that can be among a query's k nearest rows."""
+    # an id may repeat: its rows take one place together
+    k = min(len(x), k * int(np.unique(xi, return_counts=True)[1].max()) + 1)
+    n2, step = (x * x).sum(axis=1), max(1, (1 << 20) // len(x))
+    for a in range(0, len(q), step):
+        y = q[a : a + step]
+        m2 = (y * y).sum(axis=1)
+        rough = n2[None, :] - 2 * y @ x.T + m2[:, None]
+        edge = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (1 + m2 + n2.max())
+        j, i = np.nonzero((rough <= edge[:, None]) & (qi[a : a + step, None] != xi[None, :]))
+        for b in range(0, len(i), PAIRS):
+            yield j[b : b + PAIRS] + a, i[b : b + PAIRS], np.sqrt(((x[i[b : b + PAIRS]] - y[j[b : b + PAIRS]]) ** 2).sum(axis=1))
+
+
+def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = K, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for the rows that ``is_query`` marks."""
     spark = table.sparkSession
-    rows = table.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    kind = "array<float>" if table.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast(kind).alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = sizes[0][0] if sizes else 0
-    rows = rows.filter(F.size("v") == dim)
+    if not sizes:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    rows = rows.filter(F.size("v") == sizes[0][0])
     picked = rows.select("id", "v").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE).toPandas().sort_values("id")
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if not len(picked):
-        return empty
     # leaves deeper than the sample can fill only scatter rows
-    depth = int(max(0, min(DEPTH, np.floor(np.log2(max(1, len(picked) / 32))))))
+    depth = int(max(0, min(DEPTH, np.floor(np.log2(max(1, len(picked) / LEAF_SAMPLE))))))
+    probes = probes or max(MIN_PROBES, 2**depth // 2)
     forest = spark.sparkContext.broadcast(Forest(_matrix(picked["v"]), depth=depth))
 
+    def tally(batches):
+        held = np.zeros((TREES, 2**depth), dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                for t, leaf in enumerate(forest.value.leaves(_matrix(b.column("v"))).T):
+                    held[t] += np.bincount(leaf, minlength=2**depth)
+        t, leaf = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(leaf, pa.int32()), pa.array(held[t, leaf])], ["tree", "leaf", "n"])
+
+    counts = np.zeros((TREES, 2**depth), dtype=np.int64)
+    for r in rows.select("v").mapInArrow(tally, "tree int, leaf int, n bigint").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
+        counts[r["tree"], r["leaf"]] = r["n"]
+    packing = spark.sparkContext.broadcast(Packing(counts))
+
     def index(batches):
+        group = packing.value.group
         for b in batches:
-            if not b.num_rows:
-                continue
-            leaf = forest.value.leaves(_matrix(b.column("v")))
-            trees = leaf.shape[1]
-            at = pa.array(np.repeat(np.arange(b.num_rows), trees))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), b.num_rows)), pa.array(leaf.ravel()), b.column("id").take(at), b.column("v").take(at)], ["tree", "leaf", "id", "v"])
+            if b.num_rows:
+                leaf = forest.value.leaves(_matrix(b.column("v")))
+                at = pa.array(np.repeat(np.arange(b.num_rows), TREES))
+                yield pa.RecordBatch.from_arrays([pa.array(group[np.arange(TREES), leaf].ravel()), pa.array(leaf.ravel()), b.column("id").take(at), b.column("v").take(at)], ["g", "leaf", "id", "v"])
 
     def ask(batches):
+        group = packing.value.group
         for b in batches:
-            ids, vs = b.column("id").to_pylist(), b.column("v").to_pylist()
-            for i, v in zip(ids, vs, strict=True):
-                got = forest.value.search(np.array(v), probes)
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.int32()), pa.array([x for _, x in got], pa.int32()), pa.array([i] * len(got), pa.int64()), pa.array([v] * len(got), pa.list_(pa.float64()))], ["tree", "leaf", "id", "v"])
-
-    shape = "tree int, leaf int, id bigint, v array<double>"
-    # rows per leaf: a table of TREES * 2**DEPTH rows at most, whatever the input
-    placed = rows.select("id", "v").mapInArrow(index, shape)
-    counts = cut(placed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("c"))).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).drop("c")
-    small = F.broadcast(counts)
-    members = placed.join(small, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint"))).select("tree", "leaf", "block", "id", "v")
-    probes_ = rows.filter("q").select("id", "v").distinct().mapInArrow(ask, shape).join(small, ["tree", "leaf"])
-    probes_ = probes_.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1))).select("tree", "leaf", "block", "id", "v")
+            hits = []
+            for v in _matrix(b.column("v")) if b.num_rows else ():
+                by: dict[int, list[int]] = {}
+                for t, leaf in forest.value.search(v, probes):
+                    by.setdefault(int(group[t, leaf]), []).append(leaf)
+                hits.append([{"g": g, "leaves": x} for g, x in by.items()])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(hits, pa.list_(pa.struct([("g", pa.int32()), ("leaves", pa.list_(pa.int32()))])))], ["id", "v", "hits"])
+
+    asked = cut(rows.filter("q").select("id", "v").distinct().mapInArrow(ask, f"id bigint, v {kind}, hits array<struct<g int, leaves array<int>>>"))
+    met = asked.select(F.explode("hits.g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()
+    # a row a group of leaves that a query meets, TREES * 2**DEPTH at most
+    plan = F.broadcast(spark.createDataFrame([(r["g"], int(packing.value.blocks[r["g"]]), -(-r["n"] // QBLOCK)) for r in met], "g int, blocks int, qblocks int"))
+    ranged = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("bigint")).cast("int")
+    members = rows.select("id", "v").mapInArrow(index, f"g int, leaf int, id bigint, v {kind}").join(plan, "g").select("g", dealt("blocks").alias("block"), ranged("qblocks").alias("qblock"), "leaf", "id", "v")
+    queries = asked.select("id", "v", F.explode("hits").alias("x")).select("id", "v", "x.g", "x.leaves").join(plan, "g").select("g", ranged("blocks").alias("block"), dealt("qblocks").alias("qblock"), "leaves", "id", "v")
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(left) and len(right):
-            x, xi = _matrix(left["v"]), left["id"].to_numpy()
-            n2 = (x * x).sum(axis=1)
-            for a in range(0, len(right), 256):
-                q, qi = _matrix(right["v"][a : a + 256]), right["id"].to_numpy()[a : a + 256]
-                rough = n2[None, :] - 2 * q @ x.T + (q * q).sum(axis=1)[:, None]
-                rough[qi[:, None] == xi[None, :]] = np.inf
-                edge = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-                slack = 1e-9 * (1 + np.abs((q * q).sum(axis=1)) + n2.max())
-                for j in range(len(q)):
-                    near = np.flatnonzero((rough[j] <= edge[j] + slack[j]) & np.isfinite(rough[j]))
-                    d = np.sqrt(((x[near] - q[j]) ** 2).sum(axis=1))
-                    best = np.lexsort((xi[near], d))[:k]
-                    out.append(pd.DataFrame({"query_id": qi[j], "vec_id": xi[near][best], "score": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    key = ["tree", "leaf", "block"]
-    found = members.groupBy(*key).cogroup(probes_.groupBy(*key)).applyInPandas(rerank, "query_id bigint, vec_id bigint, score double")
-    # a candidate turns up in several trees; a query's list is bounded by PROBES * k a block
+            left = left.sort_values("leaf")
+            x, xi, leaf = _matrix(left["v"]), left["id"].to_numpy(), left["leaf"].to_numpy()
+            y, yi = _matrix(right["v"]), right["id"].to_numpy()
+            who = np.repeat(np.arange(len(right)), right["leaves"].map(len))
+            which = np.concatenate(right["leaves"].to_numpy())
+            at = np.argsort(which, kind="stable")
+            who, which = who[at], which[at]
+            held = 0
+            for v in np.unique(which):
+                a, b = np.searchsorted(leaf, [v, v + 1])
+                q = who[slice(*np.searchsorted(which, [v, v + 1]))]
+                if a < b:
+                    for j, i, d in _near(x[a:b], xi[a:b], y[q], yi[q], k):
+                        got.append((yi[q][j], xi[a:b][i], d))
+                        held += len(d)
+                        if held > HELD:
+                            got = [_best(*map(np.concatenate, zip(*got, strict=True)), k)]
+                            held = 0
+        q, i, d = _best(*map(np.concatenate, zip(*got, strict=True)), k)
+        return pd.DataFrame({"query_id": q, "vec_id": i, "score": d})
+
+    key = ["g", "block", "qblock"]
+    found = members.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(rerank, "query_id bigint, vec_id bigint, score double")
+    # a candidate turns up in several trees
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    top = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("t"))
-    return top.select("query_id", F.posexplode("t").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
