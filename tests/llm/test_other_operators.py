@@ -245,6 +245,49 @@ def test_label_model_finds_accuracies():
     assert np.allclose(m.accuracy[1:], [0.9, 0.8, 0.85, 0.75], atol=0.03)
 
 
+def test_label_model_against_loops():
+    """Posteriors and tables by loops over rows; twins and a voter that follows another are linked."""
+    rng = np.random.default_rng(4)
+    y = rng.random(4000) < 0.4
+    vote = lambda acc: np.where(rng.random(4000) < acc, 2 * y - 1, 1 - 2 * y)
+    a, b = vote(0.8), vote(0.75)
+    follows = np.where(rng.random(4000) < 0.7, b, 0)
+    v = np.column_stack([a, a, b, follows, vote(0.85), vote(0.8), vote(0.9)])
+    m = toxicity.LabelModel(v)
+    linked = {frozenset((k, int(p))) for k, p in enumerate(m.parent) if p >= 0}
+    assert {frozenset((0, 1)), frozenset((2, 3))} <= linked
+    assert np.mean((m.posterior > 0.5) == y) > 0.93
+    for row, got in zip(v[:200], m.posterior[:200], strict=True):
+        p = [float(m.prior[label]) for label in (0, 1)]
+        for label in (0, 1):
+            for k, x in enumerate(row):
+                p[label] *= m.table[label, k, x + 1] if m.parent[k] < 0 else m.given[label, k, x + 1, row[m.parent[k]] + 1]
+        assert got == pytest.approx(p[1] / sum(p), abs=1e-9)
+    for label in (0, 1):
+        w = m.posterior if label else 1 - m.posterior
+        for k in range(v.shape[1]):
+            for x in (-1, 0, 1):
+                assert m.table[label, k, x + 1] == pytest.approx(w[v[:, k] == x].sum() / w.sum(), abs=5e-3)
+
+
+def test_lexicons_share_no_stem_and_disguises_count():
+    mined = [{"stupid": (5.0, True), "rot": (5.0, False)}, {"stup": (5.0, True), "idio": (5.0, False)}, {"stupo": (5.0, True), "moron": (4.5, True)}, {}, {}, {}]
+    lexicons = toxicity.dealt(mined)
+    assert sorted(e for x in lexicons for e in x) == ["idio", "moron", "rot", "stup"]
+    at = toxicity.STRONG + toxicity.WEAK
+    x = np.expm1(toxicity.Voters(lexicons).graded("You are an absolute moron. s t u p i d, 1d10t id1ot rotten")).round()
+    assert x[at + 2] == 2 and x[at + 3] == 1 and x[:at].sum() == 1
+    assert not toxicity.Voters(lexicons).graded("").any()
+
+
+def test_learning_rows_are_bounded_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 30)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40) for _ in range(1 + 50 * (i == 3))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = [r["text"] for r in toxicity.labelled(docs, labels).collect()]
+    assert 0 < len(got) <= 30 and "text 3" not in got
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tidemark.llm.common import Scratch, table

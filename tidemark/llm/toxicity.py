@@ -1,34 +1,41 @@
 """Toxicity by weak supervision.
 
-1. Lexicons are mined from a bounded sample of labelled rows: words and word
-   beginnings (4, 5 and 6 characters) that toxic texts hold far more often.
-2. Each lexicon and a few patterns vote on a text: toxic, clean or no vote.
+1. Words and word beginnings (4 to 8 characters) that toxic texts hold far
+   more often are mined from a bounded sample of labelled rows. An entry that a
+   shorter mined one covers is left out, and the rest is dealt by stem to
+   STRONG + WEAK lexicons, so no two lexicons share a stem.
+2. Each lexicon votes on a text, and so do patterns: how dense strong hits
+   are, how many strong lexicons are hit, hits in disguise (digits for letters, letters set apart),
+   insults in address, shouting and exclamation. A voter says toxic, clean or nothing.
 3. A generative label model is fitted by EM over the distinct vote patterns of
-   the sample: it estimates each voter's accuracy given the hidden label, and
-   the correlations of voters beyond the label, which temper their weight. The
-   given label is one more voter, whose accuracy is estimated like the others'.
+   the sample, without the given labels. Given the hidden label, voters form a
+   tree: each has an accuracy table and depends on the voter with which it
+   shares most beyond the label. Tree and tables are estimated together.
 4. A linear classifier (logistic regression) on graded votes is trained on the
    model's posterior labels and scores every whole text.
 
-Learning uses at most MAX_LABELLED labelled rows, chosen by hash; scoring reads
-all. A score depends on the text alone.
+Learning uses at most MAX_LABELLED labelled rows, chosen by hash of their id,
+which are read once; scoring reads all. A score depends on the text alone.
 
 Defined cases: a null or empty text has no votes and gets the score of a clean
-text; a null doc_id is carried through; repeated rows get equal scores; without
-labelled rows every score is 0; an empty table gives an empty result. Only
-doc_id and text, and of the labels doc_id and toxic, are read.
+text; a null doc_id is carried through; repeated rows get equal scores, and an id
+is learnt from with all its rows or not at all; without labelled rows every
+score is 0; an empty table gives an empty result. Only doc_id and text, and of
+the labels doc_id and toxic, are read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut
 from tidemark.llm.shingles import text_batches
 
 #: Labelled rows that learning reads at most.
@@ -37,11 +44,17 @@ MAX_LABELLED = 20_000
 MAX_ENTRIES = 2_000
 MIN_SUPPORT = 4
 MIN_LOG_ODDS = 4.0
-BEGINNINGS = (4, 5, 6)
-KINDS = ("word", "p4", "p5", "p6")
+BEGINNINGS = (4, 5, 6, 7, 8)
+KINDS = ("word", *(f"p{n}" for n in BEGINNINGS))
+#: Lexicons of entries that so large a share of toxic texts hold, and of others.
+STRONG, WEAK = 16, 8
+STRONG_SHARE = 0.02
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
+DISGUISED = re.compile(r"[a-z]+[013457@$][a-z013457@$]*[a-z]|\b(?:[a-z][ .-]){3,}[a-z]\b")
+PLAIN = str.maketrans("013457@$", "oieastas", " .-")
+ADDRESS = re.compile(r"\byou(?:'re| are)(?: such)?(?: an?)?(?: \w+)? (\w+)")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,8 +73,8 @@ def _features(text: str) -> set[tuple[int, str]]:
     return out
 
 
-def mine(sample: DataFrame) -> list[dict[str, float]]:
-    """A lexicon a kind, entry -> log odds; ``sample`` has text and toxic."""
+def mine(sample: DataFrame) -> list[dict[str, tuple[float, bool]]]:
+    """A table a kind, entry -> (log odds, whether it is strong); ``sample`` has text and toxic."""
 
     def rows(batches):
         for b, texts in text_batches(batches):
@@ -76,103 +89,145 @@ def mine(sample: DataFrame) -> list[dict[str, float]]:
     n1, n0 = (float(x or 0) for x in sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     seen = sample.select("text", "toxic").mapInArrow(rows, "kind int, entry string, toxic int").groupBy("kind", "entry").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    out: list[dict[str, float]] = []
-    for k in range(len(KINDS)):
-        best = seen.filter((F.col("kind") == k) & (F.col("a") >= MIN_SUPPORT)).withColumn("o", odds).filter(F.col("o") >= MIN_LOG_ODDS)
-        out.append({r["entry"]: r["o"] for r in best.orderBy(F.desc("o"), F.desc("a"), "entry").limit(MAX_ENTRIES).collect()})
+    strong = seen.filter(F.col("a") >= MIN_SUPPORT).withColumn("o", odds).filter(F.col("o") >= MIN_LOG_ODDS)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("o"), F.desc("a"), "entry"))
+    out: list[dict[str, tuple[float, bool]]] = [{} for _ in KINDS]
+    # MAX_ENTRIES a kind
+    for r in strong.withColumn("place", place).filter(F.col("place") <= MAX_ENTRIES).orderBy("kind", "place").collect():
+        out[r["kind"]][r["entry"]] = (r["o"], r["a"] >= STRONG_SHARE * n1)
+    return out
+
+
+def dealt(mined: list[dict[str, tuple[float, bool]]]) -> list[dict[str, tuple[float, bool]]]:
+    """STRONG + WEAK lexicons, entry -> (log odds, whether it is a whole word), those of one stem in one."""
+    out: list[dict[str, tuple[float, bool]]] = [{} for _ in range(STRONG + WEAK)]
+    for k in (*range(1, len(KINDS)), 0):
+        for e, (o, strong) in mined[k].items():
+            if not any(e[:n] in mined[j] for j, n in enumerate(BEGINNINGS, 1) if (n < len(e) if k else n <= len(e))):
+                h = zlib.crc32(e[: BEGINNINGS[0]].encode())
+                out[h % STRONG if strong else STRONG + h % WEAK][e] = (o, k == 0)
     return out
 
 
 class Voters:
     """Counts of lexicon hits and pattern figures of a text."""
 
-    def __init__(self, lexicons: list[dict[str, float]]):
-        self.lexicons = lexicons
-        self.auto = None
-        if any(lexicons):
+    def __init__(self, lexicons: list[dict[str, tuple[float, bool]]]):
+        self.n, self.auto = len(lexicons), None
+        self.entries = {e: (k, o, whole) for k, lex in enumerate(lexicons) for e, (o, whole) in lex.items()}
+        if self.entries:
             import ahocorasick
 
             self.auto = ahocorasick.Automaton()
-            entries: dict[str, list[tuple[int, float]]] = {}
-            for k, lex in enumerate(lexicons):
-                for e, o in lex.items():
-                    entries.setdefault(e, []).append((k, o))
-            for e, kinds in entries.items():
-                self.auto.add_word(e, (len(e), kinds))
+            for e, v in self.entries.items():
+                self.auto.add_word(e, (len(e), *v))
             self.auto.make_automaton()
 
+    def listed(self, word: str) -> bool:
+        return word in self.entries or any(word[:n] in self.entries and not self.entries[word[:n]][2] for n in BEGINNINGS)
+
     def graded(self, text: str) -> np.ndarray:
-        """Hits a lexicon, their log odds, hits a hundred words, shouted words and exclamations, on log scales."""
+        """On log scales: hits a lexicon, log odds of strong ones and how many a hundred words, hits in disguise and in address, shouted words and exclamations."""
         low = text.lower()
-        hits, weight = [0] * len(self.lexicons), 0.0
+        hits, weight, firm, disguised, address = [0] * self.n, 0.0, 0, 0, 0
         if self.auto is not None:
-            for end, (n, kinds) in self.auto.iter(low):
+            for end, (n, k, o, whole) in self.auto.iter(low):
                 start = end - n + 1
                 if start and low[start - 1].isalpha():
                     continue
-                for k, o in kinds:
-                    if k or end + 1 == len(low) or not low[end + 1].isalpha():
-                        hits[k] += 1
+                if not whole or end + 1 == len(low) or not low[end + 1].isalpha():
+                    hits[k] += 1
+                    if k < STRONG:
                         weight += o
+                        firm += 1
+            disguised = sum(self.listed(x.translate(PLAIN)) for x in DISGUISED.findall(low))
+            address = sum(self.listed(x) for x in ADDRESS.findall(low))
         words = text.count(" ") + text.count("\n") + 1
-        most = max(hits, default=0)
-        return np.array([*np.log1p(hits), np.log1p(weight), np.log1p(100.0 * most / words), np.log1p(100.0 * len(SHOUT.findall(text)) / words), np.log1p(text.count("!"))])
+        return np.log1p([*hits, weight, 100.0 * firm / words, disguised, address, 100.0 * len(SHOUT.findall(text)) / words, text.count("!")])
 
     @staticmethod
     def votes(x: np.ndarray) -> np.ndarray:
         """1 toxic, -1 clean, 0 no vote, a column a voter, from graded figures."""
-        lex = x[:, : len(KINDS)]
-        most = lex.max(axis=1)
+        lex, rest = x[:, : STRONG + WEAK] > 0, np.expm1(x[:, STRONG + WEAK :])
+        kinds, dense = lex[:, :STRONG].sum(axis=1), rest[:, 1]
         return np.column_stack([
-            *[(lex[:, k] > 0).astype(int) for k in range(lex.shape[1])],
-            np.where(most == 0, -1, np.where(most >= np.log1p(2), 1, 0)),
-            np.where(x[:, 5] >= np.log1p(1.0), 1, np.where(x[:, 5] == 0, -1, 0)),
-            (x[:, 6] >= np.log1p(30)).astype(int),
-            (x[:, 7] >= np.log1p(5)).astype(int),
+            lex.astype(int),
+            np.where(kinds == 0, -1, np.where(kinds >= 2, 1, 0)),
+            np.where(dense >= 1.0, 1, np.where(dense == 0, -1, 0)),
+            (rest[:, 2] > 0).astype(int),
+            (rest[:, 3] > 0).astype(int),
+            (rest[:, 4] >= 30).astype(int),
+            (rest[:, 5] >= 5).astype(int),
         ])
 
 
 class LabelModel:
-    """Hidden label with one emission table a voter, fitted by EM; correlated voters share their weight."""
+    """A hidden label whose voters form a tree given it, fitted by EM.
+
+    ``table`` (label, voter, vote) holds a voter's own probabilities, ``given``
+    (label, voter, vote, parent's vote) those of voters with a parent, from the
+    joint votes of both, backed by ``table``. The tree is the greatest spanning
+    tree by what two voters share beyond the label (Chow and Liu), without
+    links of less than LEAST nats; it is found anew every few rounds.
+    """
+
+    LEAST = 0.002
 
-    def __init__(self, votes: np.ndarray, rounds: int = 60):
+    def __init__(self, votes: np.ndarray, rounds: int = 60, anew: int = 5):
         patterns, inverse, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
         one = (patterns[:, :, None] == np.array([-1, 0, 1])).astype(float)
+        m, flat = patterns.shape[1], one.reshape(len(patterns), -1)
         post = 1 / (1 + np.exp(-2.0 * patterns.sum(axis=1)))
-        self.dependence = self._dependence(patterns, n)
-        self.weight = 1 / (1 + self.dependence.sum(axis=1))
-        for _ in range(rounds):
+        self.parent = np.full(m, -1)
+        for r in range(rounds):
             mass = np.stack([(1 - post) * n, post * n])
             self.prior = np.clip(mass.sum(axis=1) / n.sum(), 1e-4, 1)
             table = np.einsum("yp,pvk->yvk", mass, one) + 0.1
             self.table = table / table.sum(axis=2, keepdims=True)
-            log = np.log(self.prior)[:, None] + np.einsum("pvk,yvk,v->yp", one, np.log(self.table), self.weight)
+            joint = np.stack([(flat * w[:, None]).T @ flat for w in mass]).reshape(2, m, 3, m, 3).transpose(0, 1, 3, 2, 4)
+            if r % anew == 0:
+                shared = self._shared(joint, n.sum())
+                self.parent = self._tree(shared)
+            some = np.flatnonzero(self.parent >= 0)
+            self.given = np.zeros((2, m, 3, 3))
+            if len(some):
+                both = joint[:, some, self.parent[some]]
+                self.given[:, some] = (both + self.table[:, some, :, None]) / (both.sum(axis=2, keepdims=True) + 1)
+            free = np.flatnonzero(self.parent < 0)
+            log = np.log(self.prior)[:, None] + np.einsum("pvk,yvk->yp", one[:, free], np.log(self.table[:, free]))
+            if len(some):
+                log += np.einsum("pvk,pvl,yvkl->yp", one[:, some], one[:, self.parent[some]], np.log(self.given[:, some]), optimize=True)
             post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         self.accuracy = (self.prior[:, None] * self.table[:, :, [0, 2]][[0, 1], :, [0, 1]]).sum(axis=0)
+        own = -(self.prior[:, None, None] * self.table * np.log(self.table)).sum(axis=(0, 2))
+        #: A voter's share of what it and those that depend on it say.
+        self.weight = 1 / (1 + (shared / np.maximum(own, 1e-9)[:, None]).sum(axis=1))
         self.posterior = post[inverse]
 
     @staticmethod
-    def _dependence(patterns: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """How far two voters agree beyond what the hidden label explains, from 0 to 1.
-
-        Voters that only share the label have correlations a_i * a_j, so any two
-        others give a_i squared as r_ij * r_ik / r_jk; the median over all pairs
-        stands up to some that depend on each other.
-        """
-        x = patterns - (n @ patterns) / n.sum()
-        cov = (x * n[:, None]).T @ x / n.sum()
-        sd = np.sqrt(np.diag(cov))
-        some = sd > 1e-6
-        r = np.where(np.outer(some, some), np.abs(cov) / np.maximum(np.outer(sd, sd), 1e-12), 0.0)
-        m = len(sd)
-        squared = np.zeros(m)
-        for i in range(m):
-            got = [r[i, j] * r[i, k] / r[j, k] for j in range(m) for k in range(j) if i not in (j, k) and r[j, k] > 0.02]
-            squared[i] = min(1.0, float(np.median(got))) if got else 0.0
-        shared = np.sqrt(np.outer(squared, squared))
-        excess = np.clip((r - shared) / np.maximum(1 - shared, 1e-6), 0, 1) * (r > shared + 0.02)
-        np.fill_diagonal(excess, 0)
-        return excess
+    def _shared(joint: np.ndarray, n: float) -> np.ndarray:
+        """Mutual information of each two voters given the label, in nats."""
+        p = joint / np.maximum(joint.sum(axis=(3, 4), keepdims=True), 1e-12)
+        apart = p.sum(axis=4, keepdims=True) * p.sum(axis=3, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = np.where(p > 0, p * np.log(p / apart), 0.0)
+        out = (joint.sum(axis=(3, 4)) / n * part.sum(axis=(3, 4))).sum(axis=0)
+        np.fill_diagonal(out, 0)
+        return out
+
+    @classmethod
+    def _tree(cls, shared: np.ndarray) -> np.ndarray:
+        """Each voter's parent, or -1; parts that share too little are trees of their own."""
+        m = len(shared)
+        parent, best, done = np.full(m, -1), np.full(m, -1.0), np.zeros(m, bool)
+        for _ in range(m):
+            v = int(np.argmax(np.where(done, -2.0, best)))
+            if best[v] < cls.LEAST:
+                parent[v] = -1
+            done[v] = True
+            closer = ~done & (shared[v] > best)
+            best[closer], parent[closer] = shared[v][closer], v
+        return parent
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -190,27 +245,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[dict[str, float]], np.ndarray, LabelModel | None]:
-    """Lexicons, classifier weights and label model from rows that are not held out."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """At most MAX_LABELLED rows (text, toxic) that are not held out: ids by hash, each with all its rows."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    # at most MAX_LABELLED ids, so the broadcast is bounded
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    lexicons = mine(sample)
-    graded = sample.select("text", "toxic").mapInArrow(_grader(lexicons, ["toxic"]), "toxic int, x array<double>").toPandas()
+    # at most MAX_LABELLED ids, so the broadcasts and the window are bounded
+    rows = docs.select("doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= MAX_LABELLED)
+    within = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) <= MAX_LABELLED
+    few = rows.withColumn("_in", within).filter("_in").select("doc_id", "toxic")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[dict[str, tuple[float, bool]]], np.ndarray, LabelModel | None]:
+    """Lexicons, classifier weights and label model from rows that are not held out."""
+    sample = cut(labelled(docs, labels))
+    lexicons = dealt(mine(sample))
+    graded = sample.select("text").mapInArrow(_grader(lexicons, []), "x array<double>").toPandas()
     if not len(graded):
         return lexicons, np.zeros(0), None
-    x, y = np.array(graded["x"].tolist()), graded["toxic"].to_numpy()
-    votes = np.column_stack([Voters.votes(x), 2 * y - 1])
-    model = LabelModel(votes)
+    x = np.array(graded["x"].tolist())
+    model = LabelModel(Voters.votes(x))
     return lexicons, _logistic(x, model.posterior), model
 
 
-def _grader(lexicons: list[dict[str, float]], carry: list[str], score: Callable | None = None):
-    held = tuple(tuple(sorted(x.items())) for x in lexicons)
-
+def _grader(lexicons: list[dict[str, tuple[float, bool]]], carry: list[str], score: Callable | None = None):
     def rows(batches):
-        voters = Voters([dict(x) for x in held])
+        voters = Voters(lexicons)
         for b, texts in text_batches(batches):
             x = [voters.graded(t.decode("utf-8", "replace")) for t in texts]
             out = pa.array([v.tolist() for v in x], pa.list_(pa.float64())) if score is None else pa.array(score(np.array(x)), pa.float64())
