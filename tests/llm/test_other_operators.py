@@ -278,6 +278,9 @@ def test_lexicons_share_no_stem_and_disguises_count():
     x = np.expm1(toxicity.Voters(lexicons).graded("You are an absolute moron. s t u p i d, 1d10t id1ot rotten")).round()
     assert x[at + 2] == 2 and x[at + 3] == 1 and x[:at].sum() == 1
     assert not toxicity.Voters(lexicons).graded("").any()
+    # runs without a break take linear time
+    for run in ("x", "1", "a ", "a1", "you are ", "X"):
+        toxicity.Voters(lexicons).graded("b" + run * 1_000_000)
 
 
 def test_learning_rows_are_bounded_with_repeated_ids(spark, monkeypatch):

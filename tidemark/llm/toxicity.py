@@ -52,9 +52,12 @@ STRONG_SHARE = 0.02
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
-DISGUISED = re.compile(r"[a-z]+[013457@$][a-z013457@$]*[a-z]|\b(?:[a-z][ .-]){3,}[a-z]\b")
+# each takes time linear in the text: runs are possessive and start at a word's start
+DIGIT = re.compile(r"[013457@$]")
+DISGUISED = re.compile(r"(?<![a-z])[a-z]++[013457@$][a-z013457@$]*[a-z]")
+APART = re.compile(r"[ .-][a-z][ .-][a-z][ .-][a-z](?:[ .-][a-z](?![a-z]))++")
 PLAIN = str.maketrans("013457@$", "oieastas", " .-")
-ADDRESS = re.compile(r"\byou(?:'re| are)(?: such)?(?: an?)?(?: \w+)? (\w+)")
+ADDRESS = re.compile(r"you(?<!\wyou)(?:'re| are)(?: such)?(?: an?)?(?: \w++)? (\w++)")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -140,7 +143,8 @@ class Voters:
                     if k < STRONG:
                         weight += o
                         firm += 1
-            disguised = sum(self.listed(x.translate(PLAIN)) for x in DISGUISED.findall(low))
+            odd = APART.findall(" " + low) + (DISGUISED.findall(low) if DIGIT.search(low) else [])
+            disguised = sum(self.listed(x.translate(PLAIN)) for x in odd)
             address = sum(self.listed(x) for x in ADDRESS.findall(low))
         words = text.count(" ") + text.count("\n") + 1
         return np.log1p([*hits, weight, 100.0 * firm / words, disguised, address, 100.0 * len(SHOUT.findall(text)) / words, text.count("!")])
