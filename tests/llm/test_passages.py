@@ -47,3 +47,17 @@ def test_a_run_keeps_its_own_first_occurrence(spark):
     df = spark.createDataFrame([(1, twice), (2, "\n\n" + twice), (3, None), (4, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_chunks.report(df, 50).collect()}
     assert len(got[1].split()) == 50 and not got[2].split() and got[3] is None and got[4] == ""
+
+
+@pytest.mark.parametrize("broadcast", [250_000, 0])
+def test_parts_of_a_common_chunk(spark, monkeypatch, broadcast):
+    rng = random.Random(8)
+    passage = "\n".join(prose(rng, 20) for _ in range(4))
+    docs = [(i, "\n".join([prose(rng, 6), passage, prose(rng, 6)])) for i in range(60)] + [(100 + i, prose(rng, 12)) for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {r["doc_id"]: r["text"] for r in line_chunks.report(df, 50).collect()}
+    monkeypatch.setattr(line_chunks, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(line_chunks, "BROADCAST_RUNS", broadcast)
+    monkeypatch.setattr(line_chunks, "PART_ROWS", 7)
+    got = {r["doc_id"]: r["text"] for r in line_chunks.report(df, 50).collect()}
+    assert got == want and want[0] == docs[0][1] and all(len(want[i].split()) == 12 for i in range(1, 60))

@@ -16,8 +16,10 @@ occurrence stays.
 
 Counting works on hashes, with partial aggregation before the shuffle; only
 texts of repeated hashes are moved, and first occurrences are found by grouping
-on the bytes. Hash tables and removal lists are broadcast up to BROADCAST_ROWS
-rows and shuffled beyond.
+on the bytes. The occurrences of a chunk meet its first one in parts of about
+PART_ROWS, so a chunk of a third of all documents spans many tasks. Hash tables
+and removal lists are broadcast up to BROADCAST_ROWS rows (lists also up to
+BROADCAST_RUNS line intervals) and shuffled beyond.
 
 Defined cases: a null text stays null; an empty text and blank chunks are never
 removed; a null doc_id sorts last; rows that repeat doc_id and text are one
@@ -38,6 +40,9 @@ MIN_LINES = 2
 #: Words from which the queries take a repeated run of lines for a passage.
 PASSAGE_WORDS = 50
 BROADCAST_ROWS = 250_000
+BROADCAST_RUNS = 1_000_000
+#: Occurrences of a chunk that one task compares, about.
+PART_ROWS = 1024
 
 
 def _rotated(x: Column, k: int) -> Column:
@@ -108,15 +113,30 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "a", "b")
 
 
+def _part() -> Column:
+    """Which part of its chunk's occurrences a row belongs to."""
+    return F.pmod(F.xxhash64("doc_id", "th", "a"), F.col("parts"))
+
+
+def _each_part(df: DataFrame) -> DataFrame:
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+
+
 def removals(docs: DataFrame, scratch: Scratch, min_words: int | None = None) -> DataFrame:
     """(doc_id, th, gone): the line intervals that each document loses, none of which touch."""
     found = _occurrences(docs, min_words)
-    twice = found.groupBy("ch", "len").agg(F.min(_order()).alias("lo"), F.max(_order()).alias("hi")).filter("lo <> hi").select("ch", "len")
-    twice = scratch.save(twice)
-    few = twice.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = scratch.save(found.join(F.broadcast(twice) if few else twice, ["ch", "len"]))
-    first = texts.groupBy("ch", "len", "chunk").agg(F.min(_order()).alias("first"))
-    got = texts.join(first.select(F.col("ch").alias("_ch"), F.col("len").alias("_len"), F.col("chunk").alias("_chunk"), "first"), (F.col("ch") == F.col("_ch")) & (F.col("len") == F.col("_len")) & (F.col("chunk") == F.col("_chunk")))
+    twice = found.groupBy("ch", "len").agg(F.min(_order()).alias("lo"), F.max(_order()).alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    twice = scratch.save(twice.select("ch", "len", F.ceil(F.col("n") / PART_ROWS).cast("bigint").alias("parts")))
+    if twice.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        texts = found.join(F.broadcast(twice), ["ch", "len"])
+    else:
+        hot = twice.filter("parts > 1")  # at most a row for each PART_ROWS occurrences
+        few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        spread = found.join(F.broadcast(hot) if few else hot, ["ch", "len"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+        texts = spread.withColumn("part", _part()).join(_each_part(twice).drop("parts"), ["ch", "len", "part"]).drop("part")
+    texts = scratch.save(texts.select("doc_id", "th", "a", "b", "ch", "len", "chunk", "parts"))
+    first = texts.groupBy("ch", "len", "chunk").agg(F.min(_order()).alias("first"), F.max("parts").alias("parts"))
+    got = texts.withColumn("part", _part()).drop("parts").join(_each_part(first).drop("parts"), ["ch", "len", "chunk", "part"])
     apart = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
     gone = got.filter(apart | (F.col("first.b") < F.col("a"))).select("doc_id", "th", "a", "b")
     # a document's intervals are merged where they meet
@@ -132,7 +152,8 @@ def _with_gone(docs: DataFrame, min_words: int | None) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     gone = cut(removals(docs, scratch, min_words)).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     scratch.drop()
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("runs")).first()
+    few = size["n"] <= BROADCAST_ROWS and size["runs"] <= BROADCAST_RUNS
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_a"), F.xxhash64(docs["text"]).alias("_b"))
     rows = rows.join(F.broadcast(gone) if few else gone, F.col("_a").eqNullSafe(F.col("_id")) & (F.col("_b") == F.col("_th")), "left")
     return rows.select("_row", F.col("gone").alias("_gone"), F.col("_row.text").alias("_t"))
