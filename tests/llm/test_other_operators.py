@@ -124,6 +124,26 @@ def test_warc(spark):
     assert warc.assemble(warc.read(spark, empty)).count() == 0
 
 
+def test_warc_files_by_payload_size(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "CLASS_BYTES", [100, 5000])
+    pages = [(i, f"http://x/{i}", c * n) for i, (c, n) in enumerate([("a", 0), ("b", 100), ("c", 101), ("d", 5000), ("d", 5000), ("e", 5001), ("f", 90_000), ("f", 90_000)])] + [(20, None, None)]
+    df = spark.createDataFrame(pages * 3, "page_id long, url string, html string").repartition(1)
+    path = warc.archive_path(spark)
+    warc.write(df, path)
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path).select("path", "content").collect()
+    per_file = {}
+    for f in sizes:
+        name = f["path"].split("class=")[1]
+        per_file[name] = sum(1 for head, _ in warc.parse(bytes(f["content"])) if head["warc-type"][0] in ("response", "revisit"))
+    assert sum(per_file.values()) == 27 and max(n for name, n in per_file.items() if name[0] == "0") > 1
+    assert all(n <= 40_000 // 2048 for n in per_file.values()) and {name[0] for name in per_file} == {"0", "1", "2"}
+    assert sum(n for name, n in per_file.items() if name[0] == "2") == 9 and all(n == 1 for name, n in per_file.items() if name[0] == "2")
+    got = warc.assemble(warc.read(spark, path, payloads=True)).select("capture.*", "metadata.page_id").collect()
+    want = sorted((str(i), len((t or "").encode())) for i, _, t in pages * 3)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == want
+
+
 def test_warc_links_from_the_capture(spark):
     rows = [("request", "q", [], None), ("response", "r", ["q"], None), ("metadata", "m", ["r"], None)]
     df = spark.createDataFrame([(k, i, c, f, None, None, "d", 1, {"page_id": "4"} if k == "metadata" else {}) for k, i, c, f in rows], warc.RECORDS)

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import cut, shared_dir
 
 MIN_REVISIT = 1000
 #: Payload bytes of a file at most, unless a single capture is larger.
 FILE_BYTES = 64 << 20
+#: Captures are written by classes of payload size, each with its own number of captures a file, so that large ones do not make the files of small ones tiny.
+CLASS_BYTES = [16 << 10, 256 << 10, 4 << 20]
 #: More groups of equal payloads than this are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 DATE = "2024-01-01T00:00:00Z"
@@ -67,6 +69,7 @@ def plan_captures(pages: DataFrame) -> DataFrame:
     occ = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("n")) if repeated else F.lit(1)
     rows = rows.withColumn("occ", occ)
     groups = small.filter(F.col("n") >= MIN_REVISIT).groupBy("digest", "n").agg(F.count(F.lit(1)).alias("c"), F.max("page_id").alias("of")).filter("c > 1").select(F.col("digest").alias("_d"), F.col("n").alias("_n"), "c", "of")
+    groups = cut(groups)  # read by each class that is written
     few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     rows = rows.join(F.broadcast(groups) if few else groups, (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
     is_response = F.col("c").isNull() | (F.col("page_id").eqNullSafe(F.col("of")) & (F.col("occ") == 1))
@@ -94,10 +97,15 @@ def capture_text(plan: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Write one capture a page; files hold FILE_BYTES of payload at most, or one capture."""
-    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 1
-    per_file = max(1, FILE_BYTES // (largest + 2048))
-    capture_text(plan_captures(pages)).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    """Write one capture a page, a folder for each class of payload size; files hold FILE_BYTES of payload at most, or one capture."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    kind = F.aggregate(F.array(*[F.lit(b) for b in CLASS_BYTES]), F.lit(0), lambda s, b: s + (size > b).cast("int"))
+    largest = {k: n for k, n in pages.groupBy(kind.alias("k")).agg(F.max(size)).collect()} or {0: 0}
+    plan = plan_captures(pages)
+    for k, n in sorted(largest.items()):
+        # an empty table still leaves an archive without records
+        some = plan.filter((F.col("n") > (CLASS_BYTES[k - 1] if k else -1)) & (F.col("n") <= n))
+        capture_text(some).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // (n + 2048))).text(f"{path}/class={k}")
 
 
 def _head(data: memoryview, at: int) -> tuple[dict[str, list[str]], int]:
@@ -169,7 +177,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(rows, schema)
 
 
