@@ -1,19 +1,60 @@
-"""Reliable checkpoints for iterative plans."""
+"""Reliable checkpoints, the folder for them, and row numbers over ranges."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder; one of its own only for a local master that has none configured."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The shared checkpoint folder; one of its own only for a local master that has none configured."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidemark-lineage-"))
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="tidemark-lineage-"))
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``, the place (from 0) of each row in the order, without a task that sees all rows.
+
+    Rows are partitioned by ranges and sorted within them; a row's place is the
+    count of the partitions before plus its place within its own. The partitions
+    are checkpointed, so a lost executor cannot deal them anew in between.
+    """
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    starts, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append((p, total))
+        total += sizes.get(p, 0)
+    offsets = df.sparkSession.createDataFrame(starts, "_p int, _start bigint")
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_start") + F.col("_k")).drop("_p", "_k", "_start")
+
+
+def spread_numbers(df: DataFrame, keys: list[str], by: Column, name: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``name``, a number from 0 within its keys, and ``n``, the rows of the keys.
+
+    A key's rows are numbered in ``parts`` parts by a hash of ``by`` (which must
+    identify a row) and offset, so a key of a third of all rows is no single task.
+    """
+    rows = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).withColumn("_by", by)
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_by")) - 1
+    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sizes.select(*keys, "_part", before.alias("_before"), F.sum("_size").over(Window.partitionBy(*keys)).alias("n"))
+    return rows.withColumn("_w", within).join(spans, [*keys, "_part"]).withColumn(name, (F.col("_before") + F.col("_w")).cast("bigint")).drop("_part", "_by", "_w", "_before")
+

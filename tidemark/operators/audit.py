@@ -28,6 +28,16 @@ def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n_rows")).orderBy(F.desc("n_rows"), col).limit(n)
 
 
+def coverage_report(df: DataFrame, cols: list[str], n: int = 20) -> DataFrame:
+    """For each column its nonzero share, median and 99th percentile beside each of its ``n`` most common values."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("v")).select("v.*")
+    stats = long.groupBy("feature").agg(F.avg((F.col("value") != 0).cast("double")).alias("nonzero_share"), F.percentile("value", F.lit(0.5)).alias("q50"), F.percentile("value", F.lit(0.99)).alias("q99"))
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n_rows"), "value"))
+    # one row a column
+    return counts.withColumn("place", place).filter(F.col("place") <= n).join(F.broadcast(stats), "feature")
+
+
 def category_rates(df: DataFrame, col: str, label: str = "y") -> DataFrame:
     """Rows and mean label of each category, the null one included."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(label).alias("rate"))

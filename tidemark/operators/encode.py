@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import bucket_left
+from tidemark.lineage import numbered
 
 
 def edges(train: DataFrame, col: Column, n: int) -> DataFrame:
@@ -27,10 +28,10 @@ def with_buckets(rows: DataFrame, train: DataFrame, col: str, n: int, name: str
 def vocabulary(train: DataFrame, col: str, row_id: str = "row_id") -> DataFrame:
     """(value, id): ids from 0 in order of first sight in train.
 
-    The window runs over distinct values after a partial aggregation, not over rows.
+    Distinct values are numbered after a partial aggregation, by ranges.
     """
     first = train.groupBy(F.col(col).alias("value")).agg(F.min(row_id).alias("_f"))
-    return first.select("value", (F.row_number().over(Window.orderBy("_f")) - 1).cast("bigint").alias("id"))
+    return numbered(first, ["_f"], "id").select("value", "id")
 
 
 def encoded(rows: DataFrame, train: DataFrame, cols: list[str], row_id: str = "row_id") -> DataFrame:
@@ -47,7 +48,7 @@ def encoded(rows: DataFrame, train: DataFrame, cols: list[str], row_id: str = "r
 
 def sorted_vocabulary(train: DataFrame, col: str) -> DataFrame:
     """(value, id): ids from 2 in value order; 0 pads, 1 is unknown."""
-    return train.select(F.col(col).alias("value")).distinct().select("value", (F.row_number().over(Window.orderBy("value")) + 1).cast("bigint").alias("id"))
+    return numbered(train.select(F.col(col).alias("value")).distinct(), ["value"], "id").withColumn("id", F.col("id") + 2)
 
 
 def known_only(rows: DataFrame, train: DataFrame, col: str, name: str) -> DataFrame:

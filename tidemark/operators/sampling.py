@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.lineage import numbered, spread_numbers
+
 
 def draw(i: Column, stream: str) -> Column:
     """A number from 0 to 2**32 - 1 for draw ``i`` of a stream (crc32, so other engines can follow)."""
@@ -21,7 +23,7 @@ def addressed(log: DataFrame, keys: list[str], name: str, label: int | None = No
 def eligible(log: DataFrame) -> DataFrame:
     """Users with a positive and a negative, numbered from 0 by id, with both counts."""
     users = log.groupBy("usr").agg(F.sum("y").alias("n_pos"), F.sum(1 - F.col("y")).alias("n_neg")).filter("n_pos > 0 AND n_neg > 0")
-    return users.select("usr", "n_pos", "n_neg", (F.row_number().over(Window.orderBy("usr")) - 1).cast("bigint").alias("u"))
+    return numbered(users, ["usr"], "u")
 
 
 def pairs(log: DataFrame, n: int, negatives: int = 1, stream: str = "pair") -> DataFrame:
@@ -47,35 +49,77 @@ def positive_pairs(log: DataFrame, stream: str = "bpr") -> DataFrame:
     return drawn.join(neg, ["usr", "kn"]).select("usr", "pos_row", "pos_item", "neg_row", "neg_item")
 
 
-def cumulative_weights(weights: DataFrame, key: str = "usr", weight: str = "w") -> DataFrame:
-    """Running sum of weights by key: the interval [lo, hi) of each key. The window runs over keys."""
-    hi = F.sum(weight).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return weights.select(key, weight, hi.alias("hi")).withColumn("lo", F.col("hi") - F.col(weight))
+def cumulative_weights(weights: DataFrame, key: str = "usr", weight: str = "w", parts: int = 64) -> DataFrame:
+    """The interval [lo, hi) of each key on one line; a key is as long as its weight. Sums run in ``parts`` parts of keys."""
+    rows = weights.select(key, weight, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_part"))
+    w = Window.partitionBy("_part").orderBy(key)
+    rows = rows.withColumn("_hi", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.coalesce(F.lag("_hi").over(w), F.lit(0.0)))
+    # one row a part
+    ends = rows.groupBy("_part").agg(F.max("_hi").alias("_end"))
+    before = F.coalesce(F.sum("_end").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.join(F.broadcast(ends.select("_part", before.alias("_before"))), "_part")
+    return rows.select(key, weight, (F.col("_before") + F.col("_lo")).alias("lo"), (F.col("_before") + F.col("_hi")).alias("hi"))
 
 
 def weighted_picks(weights: DataFrame, n: int, key: str = "usr", weight: str = "w", stream: str = "pick") -> DataFrame:
     """``n`` draws of a key in proportion to its weight.
 
-    Draws and interval starts are put in one order and each draw takes the last
-    start before it, within buckets of the range; no draw is compared with all
-    intervals.
+    The line of intervals is cut into buckets, one for each 64 keys; draws meet
+    the intervals of their bucket. As a bucket's share of the draws is its share
+    of the line, a draw meets 65 intervals on average, however weights lie.
     """
     c = cumulative_weights(weights, key, weight)
-    total = c.agg(F.max("hi").alias("total"))
+    total = c.agg(F.max("hi").alias("total"), F.ceil(F.count(F.lit(1)) / 64).cast("bigint").alias("buckets"))
     points = weights.sparkSession.range(n).withColumnRenamed("id", "i").join(F.broadcast(total)).withColumn("x", draw(F.col("i"), stream) / 4294967296.0 * F.col("total"))
-    buckets = 64
-    at = lambda v: F.least(F.lit(buckets - 1), F.floor(v / F.col("total") * buckets)).cast("int")
-    wide = c.join(F.broadcast(total)).withColumn("b", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
+    at = lambda v: F.least(F.col("buckets") - 1, F.floor(v / F.col("total") * F.col("buckets")))
+    wide = c.filter("lo < hi").join(F.broadcast(total)).withColumn("b", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
     met = points.withColumn("b", at(F.col("x"))).join(wide.select(key, "lo", "hi", "b"), "b").filter("lo <= x AND x < hi")
     return met.select("i", key)
 
 
 def negative_pools(log: DataFrame, min_pool: int = 20) -> DataFrame:
     """Negatives of each context, numbered; a context with fewer than ``min_pool`` uses all negatives."""
-    neg = log.filter("y = 0")
-    own = addressed(neg, ["ctx"], "neg_row").filter(F.col("n") >= min_pool)
-    every = neg.select(F.lit("*").alias("ctx"), "row_id", "y")
-    return own.unionByName(addressed(every, ["ctx"], "neg_row"))
+    neg = log.filter("y = 0").select("ctx", F.col("row_id").alias("neg_row"))
+    own = spread_numbers(neg, ["ctx"], F.col("neg_row"), "k").filter(F.col("n") >= min_pool)
+    every = spread_numbers(neg.withColumn("ctx", F.lit("*")), ["ctx"], F.col("neg_row"), "k")
+    return own.unionByName(every)
+
+
+#: How a positive's negative is chosen: among all rows, among the items of its context, or among the rows of its context.
+MODES = ("pop_weighted", "same_ctx", "same_ctx_pop_weighted")
+
+
+def item_pools(log: DataFrame, mode: str, min_pool: int = 20) -> DataFrame:
+    """(ctx, row, k, n): the numbered pool of each context, and of all under ``*``.
+
+    Rows stand for items: the first row of each item where items are drawn alike,
+    every row where they are drawn by how often they were shown. Contexts with
+    fewer than ``min_pool`` rows are left out; ``*`` holds each item once, but all
+    rows where the context plays no part.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    shown = log.select("ctx", "item", F.col("row_id").alias("row"))
+    each = shown.groupBy("item").agg(F.min("row").alias("row"))
+    every = (shown if mode == "pop_weighted" else each).select(F.lit("*").alias("ctx"), "row")
+    pools = spread_numbers(every, ["ctx"], F.col("row"), "k")
+    if mode == "pop_weighted":
+        return pools
+    own = shown if mode == "same_ctx_pop_weighted" else shown.groupBy("ctx", "item").agg(F.min("row").alias("row"))
+    return spread_numbers(own.select("ctx", "row"), ["ctx"], F.col("row"), "k").filter(F.col("n") >= min_pool).unionByName(pools)
+
+
+def mode_negatives(log: DataFrame, mode: str, min_pool: int = 20, stream: str = "mode") -> DataFrame:
+    """For each positive an item as its negative: pos_row, usr and ctx of the positive, the pool, and neg_row and neg_item."""
+    pools = item_pools(log, mode, min_pool)
+    sizes = pools.groupBy("ctx").agg(F.max("n").alias("size")).withColumnRenamed("ctx", "pool")
+    pos = log.filter("y = 1").select(F.col("row_id").alias("pos_row"), "usr", "ctx")
+    # one row a context
+    own = F.broadcast(sizes.select(F.col("pool").alias("ctx"), F.lit(True).alias("_own")))
+    pos = pos.join(own, "ctx", "left").withColumn("pool", F.when(F.col("_own"), F.col("ctx")).otherwise("*")).drop("_own")
+    drawn = pos.join(F.broadcast(sizes), "pool").withColumn("k", F.pmod(draw(F.col("pos_row"), f"{stream}-{mode}"), F.col("size")))
+    found = drawn.join(pools.select(F.col("ctx").alias("pool"), "k", F.col("row").alias("neg_row")), ["pool", "k"])
+    return found.join(log.select(F.col("row_id").alias("neg_row"), F.col("item").alias("neg_item")), "neg_row").select("pos_row", "usr", "ctx", "pool", "neg_row", "neg_item")
 
 
 def hard_negatives(log: DataFrame, min_pool: int = 20, stream: str = "hard") -> DataFrame:

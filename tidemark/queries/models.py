@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import blend, models, sampling
+from tidemark.lineage import shared_root
+from tidemark.operators import audit, blend, models, sampling
 from tidemark.plans import features
 from tidemark.queries.base import query, r6, scored
-from tidemark.sources import event_log, table
+from tidemark.sources import event_log, results, table
 
 
 @query("pair_sample")
@@ -36,6 +41,42 @@ def hard_negatives(spark, d):
     return sampling.hard_negatives(event_log(spark, d).filter("split = 'train'"), 300)
 
 
+POOLS = """, tr AS (SELECT * FROM log WHERE split = 'train'), ci AS (SELECT DISTINCT ctx, item FROM tr),
+p AS (SELECT 'pop_weighted' AS mode, '*' AS ctx, count(*) AS pool_rows FROM tr
+  UNION ALL SELECT 'same_ctx', ctx, count(*) FROM ci GROUP BY ctx UNION ALL SELECT 'same_ctx', '*', count(DISTINCT item) FROM tr
+  UNION ALL SELECT 'same_ctx_pop_weighted', ctx, count(*) FROM tr GROUP BY ctx UNION ALL SELECT 'same_ctx_pop_weighted', '*', count(DISTINCT item) FROM tr)
+SELECT mode, ctx, pool_rows FROM p WHERE ctx = '*' OR pool_rows >= 40"""
+
+
+@query("item_pools", POOLS)
+def item_pools(spark, d):
+    tr = event_log(spark, d).filter("split = 'train'")
+    return reduce(DataFrame.unionByName, [sampling.item_pools(tr, m, 40).groupBy("ctx").agg(F.count_distinct("k").alias("pool_rows")).withColumn("mode", F.lit(m)) for m in sampling.MODES])
+
+
+@query("mode_negatives")
+def mode_negatives(spark, d):
+    tr = event_log(spark, d).filter("split = 'train'")
+    return reduce(DataFrame.unionByName, [sampling.mode_negatives(tr, m, 40).withColumn("mode", F.lit(m)) for m in sampling.MODES])
+
+
+@query("frozen_scores", "SELECT row_id, s1 FROM log")
+def frozen_scores(spark, d):
+    path = f"{shared_root(spark)}/frozen-{uuid.uuid4().hex}"
+    results.freeze(scored(spark, d).select("row_id", "s1"), path)
+    return results.load_frozen(spark, path)
+
+
+@query("coverage_report", """, v AS (SELECT 'y' AS feature, CAST(y AS DOUBLE) AS value FROM log UNION ALL SELECT 's3', s3 FROM log UNION ALL SELECT 'hr', CAST(hr AS DOUBLE) FROM log),
+st AS (SELECT feature, round(avg(CAST(value <> 0 AS DOUBLE)), 6) AS nonzero_share, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.99), 6) AS q99 FROM v GROUP BY feature),
+c AS (SELECT feature, value, count(*) AS n_rows FROM v GROUP BY feature, value),
+k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n_rows DESC, value) AS place FROM c)
+SELECT feature, value, n_rows, place, nonzero_share, q50, q99 FROM k JOIN st USING (feature) WHERE place <= 20""")
+def coverage_report(spark, d):
+    got = audit.coverage_report(scored(spark, d), ["y", "s3", "hr"])
+    return got.select("feature", "value", "n_rows", F.col("place").cast("bigint").alias("place"), r6("nonzero_share"), r6("q50"), r6("q99"))
+
+
 @query("listwise_cap")
 def listwise_cap(spark, d):
     return sampling.capped_lists(event_log(spark, d).filter("split = 'train'"), 20).select("row_id", "usr", "place")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import six_digits
+from tidemark.lineage import numbered
 
 
 HEADER = ("row_id", "user_id", "video_id", "score")
@@ -14,20 +15,10 @@ HEADER = ("row_id", "user_id", "video_id", "score")
 def submission_rows(rows: DataFrame, order: str, user: str, item: str, score: str) -> DataFrame:
     """row_id from 0 in the stable order, ids, and the score as %.6g.
 
-    Numbers come from per-range counts, not from one sorted task: rows are
-    range-partitioned by the order, counted per partition, and offset.
+    Numbers come from per-range counts, not from one sorted task.
     """
-    ranged = rows.select(F.col(order).alias("_o"), F.col(user).alias("user_id"), F.col(item).alias("item_id"), F.col(score).alias("_s")).repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_p", F.spark_partition_id())
-    # the partition of a row must not be planned anew between the two uses
-    parts = ranged.select("_o", "_p").groupBy("_p").agg(F.min("_o").alias("lo"), F.max("_o").alias("hi"), F.count(F.lit(1)).alias("n"))
-    spans = [(r["lo"], r["hi"], r["n"]) for r in parts.orderBy("lo").collect()]
-    which = F.lit(None).cast("int")
-    for k, (_, hi, _) in reversed(list(enumerate(spans))):
-        which = F.when(F.col("_o") <= hi, k).otherwise(which)
-    starts = F.array(*[F.lit(sum(s[2] for s in spans[:k])).cast("bigint") for k in range(len(spans))]) if spans else F.array(F.lit(0).cast("bigint"))
-    numbered = ranged.drop("_p").withColumn("_k", which)
-    rank = F.row_number().over(Window.partitionBy("_k").orderBy("_o"))
-    return numbered.select((F.get(starts, F.col("_k")) + rank - 1).cast("bigint").alias("row_id"), "user_id", "item_id", six_digits(F.col("_s")).alias("score"))
+    named = rows.select(F.col(order).alias("_o"), F.col(user).alias("user_id"), F.col(item).alias("item_id"), F.col(score).alias("_s"))
+    return numbered(named, ["_o"], "row_id").select("row_id", "user_id", "item_id", six_digits(F.col("_s")).alias("score"))
 
 
 def write_submission(rows: DataFrame, path: str) -> None:
