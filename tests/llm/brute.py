@@ -10,14 +10,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, width=5):
     w = WORD.findall((text or "").translate(LOW))
-    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def roots(docs):
+def roots(docs, width=5, percent=75):
     """A number for each row's group, in order."""
-    sets = [shingles(t) for _, t in docs]
+    sets = [shingles(t, width) for _, t in docs]
     up = list(range(len(docs)))
 
     def find(x):
@@ -28,14 +28,14 @@ def roots(docs):
     for i in range(len(docs)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 up[find(i)] = find(j)
     return [find(i) for i in range(len(docs))]
 
 
-def components(docs):
+def components(docs, width=5, percent=75):
     """(n_shingles, least doc_id reachable) for each row, in order."""
-    sets, root, out = [shingles(t) for _, t in docs], roots(docs), []
+    sets, root, out = [shingles(t, width) for _, t in docs], roots(docs, width, percent), []
     for i in range(len(docs)):
         ids = [docs[j][0] for j in range(len(docs)) if root[j] == root[i] and docs[j][0] is not None]
         out.append((len(sets[i]), (min(ids) if ids else None) if sets[i] else docs[i][0]))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch
 from tidemark.llm.components import components
-from tidemark.llm.shingles import mixed, sets, text_batches
+from tidemark.llm.shingles import WIDTH, mixed, sets, text_batches
 
 #: The count sketch has this many counters, whatever the input.
 SKETCH_BITS = 20
@@ -285,8 +285,8 @@ def _by_tail(members: DataFrame, docs: DataFrame, shared) -> DataFrame:
     return one.mapInArrow(rows, "key bigint, cid binary, label binary")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of classes whose sets really reach the similarity."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 75) -> DataFrame:
+    """The pairs (u, v) of classes whose whole sets really reach the similarity."""
     wanted = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct()
     keys = wanted.join(classes.select("cid", "th", "len"), "cid")
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
@@ -297,9 +297,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         for b, left in text_batches(batches, "a"):
             right = [x.encode() for x in b.column("b").to_pylist()]
             ok = []
-            for x, y in zip(sets(left), sets(right), strict=True):
+            for x, y in zip(sets(left, width), sets(right, width), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= 75 * (len(x) + len(y) - both))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(ok)], ["u", "v", "ok"])
 
     left = pairs.join(texts.select(F.col("cid").alias("u"), F.col("text").alias("a")), "u")
@@ -359,13 +359,13 @@ def link(docs: DataFrame) -> DataFrame:
     chain = chain.join(heads.select(F.col("g").alias("a"), F.col("c").alias("u")), "a").join(heads.select(F.col("g").alias("b"), F.col("c").alias("v")), "b").select("u", "v")
     first = chain.unionByName(_next_in_group(classes)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = scratch.save(_close(first, classes))
-    links = scratch.save(_verified(first, classes, docs))
+    links = scratch.save(verified(first, classes, docs))
     label = components(links)
 
     # what is left: lists and groups that hold several components
     members = scratch.save(classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "g", "th", "len", F.coalesce("label", "cid").alias("label")))
     cross = scratch.save(_close(_others(scratch, lists, groups, members, docs, shared).join(first, ["u", "v"], "left_anti"), classes))
-    more = scratch.save(_verified(cross, classes, docs))
+    more = scratch.save(verified(cross, classes, docs))
     if more.limit(1).count():
         label = components(links.unionByName(more))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bwt_dedup, chat_format, line_chunks, mixing, ngram_jaccard, quality_rules, rp_forest, sentencepiece_dropout, toxicity, warc
+from tidemark.llm import bwt_dedup, centroids, chat_format, circulant_minhash, line_chunks, mixing, ngram_jaccard, quality_rules, rp_forest, sentencepiece_dropout, toxicity, turn_repair, warc
 from tidemark.llm.common import cut, table
 
 
@@ -63,6 +63,19 @@ def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chunks", "n_removed", "n_removed_lines", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.report(turns, turn_repair.damaged(turns))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant_minhash.link(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -74,9 +87,13 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_chunks": op9_line_chunks,
     "op10_bwt_dedup": op10_bwt_dedup,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_centroids": op12_centroids,
+    "op13_circulant_minhash": op13_circulant_minhash,
 }
 
 ORACLES = {
+    "op12_centroids": centroids.oracle(),
     "op4_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT h, max(page_id) AS m FROM p WHERE octet_length(encode(h)) >= 1000 GROUP BY h)

@@ -77,43 +77,43 @@ def _long_words(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _set(w: np.ndarray) -> np.ndarray:
+def _set(w: np.ndarray, width: int) -> np.ndarray:
     n = len(w)
     if not n:
         return w
-    if n < WIDTH:
+    if n < width:
         return mixed(np.array([int((w * WORD_FACTORS[:n]).sum(dtype=np.uint64))], dtype=np.uint64) ^ SHORT_SALTS[n])
-    h = w[: n - WIDTH + 1] * WORD_FACTORS[0]
-    for i in range(1, WIDTH):
-        h = h + w[i : n - WIDTH + 1 + i] * WORD_FACTORS[i]
+    h = w[: n - width + 1] * WORD_FACTORS[0]
+    for i in range(1, width):
+        h = h + w[i : n - width + 1 + i] * WORD_FACTORS[i]
     return np.unique(mixed(h))
 
 
-def sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of ``width`` words (WIDTH at most)."""
     group: list[bytes] = []
     size = 0
     for t in texts:
         t = t.translate(LOWER)
         if group and size + len(t) + 1 > SLICE:
-            yield from _grouped(group)
+            yield from _grouped(group, width)
             group, size = [], 0
         if len(t) >= SLICE:
-            yield _set(_long_words(t))
+            yield _set(_long_words(t), width)
             continue
         group.append(t)
         size += len(t) + 1
-    yield from _grouped(group)
+    yield from _grouped(group, width)
 
 
-def _grouped(group: list[bytes]) -> Iterator[np.ndarray]:
+def _grouped(group: list[bytes], width: int) -> Iterator[np.ndarray]:
     if not group:
         return
     w, first = word_hashes(b"\n".join(group))
     ends = np.cumsum([len(t) + 1 for t in group])
     at = 0
     for end in np.searchsorted(first, ends).tolist():
-        yield _set(w[at:end])
+        yield _set(w[at:end], width)
         at = end
 
 
