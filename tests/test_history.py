@@ -43,6 +43,38 @@ def test_days_far_from_zero_and_far_apart(spark):
         assert got[i] == pytest.approx(want, abs=1e-12)
 
 
+def test_rows_without_a_day_have_no_history(spark):
+    rows = [(0, 1, None, 1), (1, 1, 3, 1), (2, 1, 4, 1), (3, 2, 3, 1), (4, 2, 4, 1), (5, 1, None, 1), (6, 3, None, 1)]
+    df = spark.createDataFrame(rows, "row_id long, usr long, day long, y long")
+    got = _map(history.day_history(df, ["usr"], {"n": F.lit(1)}, {"d": (F.col("y"), 2.5)}), "row_id", "n", "d")
+    late = (1, pytest.approx(0.5**0.4))
+    assert got == {0: (0, 0.0), 1: (0, 0.0), 2: late, 3: (0, 0.0), 4: late, 5: (0, 0.0), 6: (0, 0.0)}
+
+
+@pytest.mark.parametrize("exponent", [900, 6])
+def test_spans_of_thousands_of_half_lives(spark, monkeypatch, exponent):
+    monkeypatch.setattr(history, "MAX_EXPONENT", exponent)
+    rng = random.Random(6)
+    instants = [0, 1, 10_000, 10_000, 10_001, 10_003, 40_000, 40_001, *[rng.randrange(50_000) for _ in range(60)]]
+    rows = [(i, i % 2, d, None if d == 40_000 else rng.random()) for i, d in enumerate(instants)] + [(900, 0, None, 1.0)]
+    df = spark.createDataFrame([(i, u, d, None if d is None else d * history.DAY_MS, v) for i, u, d, v in rows], "row_id long, usr long, day long, t long, v double")
+    mean = _map(history.exclusive_decayed_mean(df, ["usr"], F.col("v"), 2.5, "m"), "row_id", "m")
+    total = _map(history.day_history(df, ["usr"], {}, {"d": (F.coalesce("v", F.lit(0.0)), 2.5), "e": (F.lit(1), 40.0)}), "row_id", "d", "e")
+    near = 0.1 if exponent == 6 else 1e-12  # means over blocks of three half-lives leave out more
+    for i, u, d, _ in rows:
+        if d is None:
+            assert mean[i] is None and total[i] == (0.0, 0.0)
+            continue
+        before = [(e, v) for _, w, e, v in rows if w == u and e is not None and e < d]
+        known = [(e, v) for e, v in before if v is not None]
+        latest = max((e for e, _ in known), default=0)
+        weights = [0.5 ** ((latest - e) / 2.5) for e, _ in known]
+        want = sum(w * v for w, (_, v) in zip(weights, known, strict=True)) / sum(weights) if known else None
+        assert mean[i] == (want if want is None else pytest.approx(want, abs=near * 2))
+        assert total[i][0] == pytest.approx(sum((v or 0) * 0.5 ** ((d - e) / 2.5) for e, v in before), abs=1e-9)
+        assert total[i][1] == pytest.approx(sum(0.5 ** ((d - e) / 40.0) for e, v in before), abs=1e-9)
+
+
 def test_six_digits_like_c(spark):
     values = [1e-5, 1.5e-5, 1e6, 2e7, 0.0, -0.0, 0.1, 123456.0, 1234567.0, -2.5e-7, 100.0, 1e-4, 0.5, 7.0, 1e300, 10 / 1024, 30 / 1024, 1234565.0, 1234575.0, 0.1234565, 0.1234575, 1.0000005, -2.5000005, 12345650.0, 3.0000015e-9]
     got = spark.createDataFrame([(i, v) for i, v in enumerate([*values, float("nan"), float("inf"), float("-inf")])], "i int, v double").select("i", six_digits(F.col("v")).alias("s"))

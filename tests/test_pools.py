@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.lineage import numbered, shared_root, spread_numbers
+from tidemark.lineage import Ranges, numbered, place, shared_root, spread_numbers
 from tidemark.operators import sampling
 from tidemark.plans.search import ablations, axis_search, variants
 from tidemark.sources import results
@@ -25,6 +25,49 @@ def test_numbers(spark):
     assert Counter((r["g"], r["k"]) for r in got) == Counter((g, k) for g in (0, 1) for k in range(500)) and {r["n"] for r in got} == {500}
 
 
+def test_numbers_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(Ranges, "ONE_PART", 10)
+    rows = [(None if i % 50 == 0 else i * 37 % 211, f"t{i % 3}", i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "v long, s string, i long").repartition(7)
+    ranges = Ranges(df, ["v", "s"], 20)
+    assert 10 < ranges.parts <= 20
+    got = numbered(df, ["v", "s", "i"], "k").orderBy("k").collect()
+    assert [r["k"] for r in got] == list(range(2000))
+    assert [(r["v"] is not None, r["v"] or 0, r["s"], r["i"]) for r in got] == sorted((v is not None, v or 0, s, i) for v, s, i in rows)
+
+
+def test_places_between_bounds(spark):
+    for n in (0, 1, 2, 3, 4, 10, 50):
+        got = spark.range(-2, 2 * n + 2).select("id", place([F.lit(2 * k).cast("bigint") for k in range(n)], F.col("id")).alias("p")).collect()
+        assert all(r["p"] == sum(2 * k <= r["id"] for k in range(n)) for r in got)
+
+
+def test_sums_run_in_key_order(spark, monkeypatch):
+    weights = spark.createDataFrame([(k, float(k % 5)) for k in range(500)], "usr long, w double").repartition(5)
+    for one_part in (10, 10_000):
+        monkeypatch.setattr(Ranges, "ONE_PART", one_part)
+        at = 0.0
+        for r in sampling.cumulative_weights(weights).orderBy("usr").collect():
+            assert (r["lo"], r["hi"]) == (at, at + r["w"])
+            at += r["w"]
+
+
+def test_picks_of_one_heavy_key(spark, monkeypatch):
+    """A key that holds most of the line enters every piece; draws equal a search in the plain sums."""
+    import zlib
+
+    monkeypatch.setattr(Ranges, "ONE_PART", 10)
+    weights = spark.createDataFrame([(k, 1000.0 if k == 77 else 0.5 * (k % 3)) for k in range(300)], "usr long, w double")
+    c = [(r["lo"], r["hi"], r["usr"]) for r in sampling.cumulative_weights(weights).collect() if r["lo"] < r["hi"]]
+    total = max(h for _, h, _ in c)
+    found = {r["i"]: r["usr"] for r in sampling.weighted_picks(weights, 30_000).collect()}
+    assert len(found) == 30_000
+    for i in range(0, 30_000, 97):
+        x = zlib.crc32(f"pick:{i}".encode()) / 4294967296.0 * total
+        assert [found[i]] == [k for lo, hi, k in c if lo <= x < hi]
+    assert sampling.weighted_picks(weights.withColumn("w", F.lit(0.0)), 5).count() == 0
+
+
 @pytest.mark.parametrize("mode", sampling.MODES)
 def test_negatives_by_mode(spark, mode):
     df = log(spark)

@@ -27,22 +27,72 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Ranges:
+    """Fixed bounds that cut the rows of a frame into parts of an order.
+
+    The bounds are literals in the plan, so a part holds the same rows whenever a lost
+    task is run again, without a checkpoint. They come from a sample of at most about
+    ``SAMPLE`` order keys, the only rows that reach the driver; what is in the parts is
+    then counted over all rows. Few rows are one part.
+    """
+
+    SAMPLE, ONE_PART = 8192, 65_536
+
+    def __init__(self, df: DataFrame, order: list[str], parts: int | None = None):
+        self.order, self.bounds = order, []
+        self.kinds = [df.schema[c].dataType for c in order]
+        n = df.count()
+        if n > self.ONE_PART:
+            parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 4_000_000))
+            parts = min(parts, self.SAMPLE)
+            keys = df.select(*order).sample(min(1.0, self.SAMPLE / n), seed=1).orderBy(*order).collect()
+            cuts = [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+            self.bounds = [tuple(x) for k, x in enumerate(cuts) if not k or x != cuts[k - 1]]
+
+    @property
+    def parts(self) -> int:
+        return len(self.bounds) + 1
+
+    def part(self) -> Column:
+        """The part of a row, from its order columns."""
+        one = lambda b: F.struct(*[F.lit(v).cast(k) for v, k in zip(b, self.kinds, strict=True)])
+        return place([one(b) for b in self.bounds], F.struct(*[F.col(c).cast(k) for c, k in zip(self.order, self.kinds, strict=True)]))
+
+
+def place(bounds: list[Column], value: Column) -> Column:
+    """How many of the ascending literal ``bounds`` are not above ``value``; two short searches a row."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    count = lambda some: F.size(F.filter(some, lambda b: b <= value))
+    heads = F.array(*bounds[width - 1 :: width]) if len(bounds) >= width else None
+    blocks = [bounds[k : k + width - 1] for k in range(0, len(bounds), width)] + [[]]
+    first = count(heads)
+    if width == 1:
+        return first
+    short = F.array(*bounds[:1])
+    padded = F.array(*[F.array(*x) if x else F.slice(short, 1, 0) for x in blocks])
+    return first * width + count(padded[F.least(first, F.lit(len(blocks) - 1))])
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with ``name``, the place (from 0) of each row in the order, without a task that sees all rows.
 
-    Rows are partitioned by ranges and sorted within them; a row's place is the
-    count of the partitions before plus its place within its own. The partitions
-    are checkpointed, so a lost executor cannot deal them anew in between.
+    A row's place is the count of the parts before its own plus its place within it.
+    The parts are counted when this is called: one pass over the order columns, three
+    where there are many rows.
     """
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    ranges = Ranges(df, order)
+    within = lambda p: F.row_number().over(Window.partitionBy(p).orderBy(*order)).cast("bigint") - 1
+    rows = df.withColumn("_p", ranges.part())
+    if ranges.parts == 1:
+        return rows.withColumn(name, within("_p")).drop("_p")
+    sizes = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a part
     starts, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append((p, total))
+    for p in range(ranges.parts):
+        starts.append(total)
         total += sizes.get(p, 0)
-    offsets = df.sparkSession.createDataFrame(starts, "_p int, _start bigint")
-    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_start") + F.col("_k")).drop("_p", "_k", "_start")
+    return rows.withColumn(name, F.array(*[F.lit(x).cast("bigint") for x in starts])[F.col("_p")] + within("_p")).drop("_p")
 
 
 def spread_numbers(df: DataFrame, keys: list[str], by: Column, name: str, parts: int = 64) -> DataFrame:

@@ -10,6 +10,8 @@ rows before it, or exclusive ties, where rows of one instant never do.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,13 @@ def day_history(log: DataFrame, keys: list[str], sums: dict[str, Column] | None
 
     ``decayed`` maps a name to (measure, half-life in days): the sum over earlier
     days d of measure * 0.5 ** ((day - d) / half-life). Exponents count from the
-    key's first day; the days of keys that span too many half-lives for that are
-    folded in order, so any day numbers and spans hold.
+    key's first day, or, for keys that span too many half-lives for that, from the
+    start of blocks of days; what lies more than 450 half-lives back (a weight under
+    1e-135) is left out there. Rows without a day have no history and are in none.
     """
     sums, decayed = sums or {}, decayed or {}
-    daily = log.groupBy(*keys, day).agg(*[F.sum(v).alias(f"_s_{k}") for k, v in sums.items()], *[F.sum(v.cast("double")).alias(f"_d_{k}") for k, (v, _) in decayed.items()])
+    dated = log.filter(F.col(day).isNotNull())
+    daily = dated.groupBy(*keys, day).agg(*[F.sum(v).alias(f"_s_{k}") for k, v in sums.items()], *[F.sum(v.cast("double")).alias(f"_d_{k}") for k, (v, _) in decayed.items()])
     before = Window.partitionBy(*keys).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
     cols = [F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(k) for k in sums]
     if decayed:
@@ -37,38 +41,38 @@ def day_history(log: DataFrame, keys: list[str], sums: dict[str, Column] | None
     for k, (_, h) in decayed.items():
         up = F.pow(F.lit(2.0), F.col("_at") / h)
         cols.append(F.coalesce(F.sum(F.col(f"_d_{k}") * up).over(before) / up, F.lit(0.0)).alias(k))
-    prior = daily.select(*keys, day, *cols) if not decayed else daily.filter("NOT _long OR _long IS NULL").select(*keys, day, *cols)
+    prior = daily.select(*keys, day, *cols) if not decayed else daily.filter("NOT _long").select(*keys, day, *cols)
     if decayed:
-        long = daily.filter("_long")
-        folded = _fold(long, keys, day, {k: (f"_d_{k}", h) for k, (_, h) in decayed.items()})
-        exact = _same(long.select(*keys, day, *cols[: len(sums)]), folded, [*keys, day])
-        prior = prior.unionByName(exact)
-    return _same(log, prior, [*keys, day])
-
-
-def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """An inner join on equal or both missing values."""
+        long = _blocked(daily.filter("_long"), keys, day, {k: h for k, (_, h) in decayed.items()})
+        prior = prior.unionByName(long.select(*keys, day, *cols[: len(sums)], *decayed))
+    got = _same(log, prior, [*keys, day], "left")
+    return got.withColumns({k: F.coalesce(k, F.lit(0.0 if k in decayed else 0)) for k in [*sums, *decayed]})
+
+
+def _blocked(daily: DataFrame, keys: list[str], day: str, half_lives: dict[str, float]) -> DataFrame:
+    """``daily`` with the decayed sums of keys of any span: a day sees its own block and the whole blocks before it."""
+    at = F.col("_at")
+    for k, h in half_lives.items():
+        length = MAX_EXPONENT * h / 2
+        block, mass = f"_b_{k}", F.col(f"_d_{k}")
+        daily = daily.withColumn(block, F.floor(at / length))
+        up = F.pow(F.lit(2.0), (at - F.col(block) * length) / h)
+        own = Window.partitionBy(*keys, block).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
+        total = F.coalesce(F.sum(mass * up).over(own) / up, F.lit(0.0))
+        for j in range(1, 2 + math.ceil(120 / MAX_EXPONENT)):
+            whole = Window.partitionBy(*keys).orderBy(block).rangeBetween(-j, -j)
+            total = total + F.coalesce(F.sum(mass * up).over(whole), F.lit(0.0)) * F.pow(F.lit(2.0), -(at - (F.col(block) - j) * length) / h)
+        daily = daily.withColumn(k, total)
+    return daily
+
+
+def _same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal or both missing values."""
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
     same = F.lit(True)
     for c in on:
         same = same & left[c].eqNullSafe(renamed[f"_r_{c}"])
-    return left.join(renamed, same).drop(*[f"_r_{c}" for c in on])
-
-
-def _fold(daily: DataFrame, keys: list[str], day: str, values: dict[str, tuple[str, float]]) -> DataFrame:
-    """The recurrences over the days of a key, at any span; a key has one entry a day."""
-    part = {k: f"v{i}" for i, k in enumerate(values)}
-    lists = daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day).cast("bigint").alias("d"), *[F.col(v).alias(part[k]) for k, (v, _) in values.items()]))).alias("l"))
-    fields = ", ".join(f"{v}: double" for v in part.values())
-    start = F.struct(F.lit(None).cast("bigint").alias("d"), *[F.lit(0.0).alias(v) for v in part.values()], F.array().cast(f"array<struct<d: bigint, {fields}>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        faded = {part[k]: F.when(acc["d"].isNull(), F.lit(0.0)).otherwise(acc[part[k]] * F.pow(F.lit(0.5), (x["d"] - acc["d"]) / h)) for k, (_, h) in values.items()}
-        row = F.struct(x["d"].alias("d"), *[v.alias(k) for k, v in faded.items()])
-        return F.struct(x["d"].alias("d"), *[(v + F.coalesce(x[k], F.lit(0.0))).alias(k) for k, v in faded.items()], F.concat(acc["out"], F.array(row)).alias("out"))
-
-    out = lists.select(*keys, F.explode(F.aggregate("l", start, step)["out"]).alias("o"))
-    return out.select(*keys, F.col("o.d").cast(daily.schema[day].dataType).alias(day), *[F.col(f"o.{part[k]}").alias(k) for k in values])
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in on])
 
 
 def total_order(log: DataFrame, key: str = "usr", t: str = "t", row_id: str = "row_id"):
@@ -96,14 +100,28 @@ def uniform_rate(log: DataFrame, width: int, key: str = "usr", t: str = "t", row
 def exclusive_decayed_mean(log: DataFrame, keys: list[str], value: Column, half_life_days: float, name: str, t: str = "t") -> DataFrame:
     """Decayed mean of ``value`` over strictly earlier instants; null without any defined value.
 
-    Exponents count from the key's first instant, so a key may span about a
-    thousand half-lives.
+    Exponents count from the start of blocks of instants, so a key may span any
+    number of half-lives. A row sees its own block, the last block before it that
+    has a value, and the one before that; whatever else there is weighs less by a factor
+    of 1e-135 than what it sees. Rows without an instant have no history and are in none.
     """
-    origin = F.min(t).over(Window.partitionBy(*keys))
-    log = log.withColumn("_up", F.pow(F.lit(2.0), (F.col(t) - origin) / (DAY_MS * half_life_days)))
+    every = Window.partitionBy(*keys)
+    length = MAX_EXPONENT * half_life_days / 2 * DAY_MS
     up = F.col("_up")
-    w = Window.partitionBy(*keys).orderBy(t).rangeBetween(Window.unboundedPreceding, -1)
-    return log.withColumn(name, F.try_divide(F.sum(value * up).over(w), F.sum(F.when(value.isNotNull(), up)).over(w))).drop("_up")
+    rows = log.withColumn("_from", (F.col(t) - F.min(t).over(every)).cast("double")).withColumn("_v", F.when(F.col(t).isNotNull(), value)).withColumn("_block", F.floor(F.col("_from") / length))
+    rows = rows.withColumn("_at", F.col("_block") * length).withColumn("_up", F.pow(F.lit(2.0), (F.col("_from") - F.col("_at")) / (DAY_MS * half_life_days)))
+    sums = lambda w: F.struct(F.sum(F.col("_v") * up).over(w).alias("n"), F.sum(F.when(F.col("_v").isNotNull(), up)).over(w).alias("d"))
+    block = sums(Window.partitionBy(*keys, "_block"))
+    rows = rows.withColumn("_own", sums(Window.partitionBy(*keys, "_block").orderBy(t).rangeBetween(Window.unboundedPreceding, -1))).withColumn("_all", block)
+    earlier = Window.partitionBy(*keys).orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.last(F.when(F.col(c)["d"].isNotNull(), F.struct(F.col("_at").alias("at"), F.col(c).alias("s"))), ignorenulls=True).over(earlier)
+    fade = lambda c: F.pow(F.lit(2.0), -(F.col("_at") - F.col(c)["at"]) / (DAY_MS * half_life_days))
+    plus = lambda a, c, x: F.coalesce(F.col(a)[x], F.lit(0.0)) + F.coalesce(F.col(c)["s"][x] * fade(c), F.lit(0.0))
+    rows = rows.withColumn("_last", last("_all"))
+    both = F.struct(plus("_all", "_last", "n").alias("n"), plus("_all", "_last", "d").alias("d"))
+    rows = rows.withColumn("_two", F.when(F.col("_all")["d"].isNotNull(), both)).withColumn("_last", last("_two"))
+    mean = F.when(F.col("_own")["d"].isNotNull(), plus("_own", "_last", "n") / plus("_own", "_last", "d")).otherwise(F.col("_last")["s"]["n"] / F.col("_last")["s"]["d"])
+    return rows.withColumn(name, F.when(F.col(t).isNotNull(), mean)).drop("_from", "_v", "_block", "_at", "_up", "_own", "_all", "_last", "_two")
 
 
 def exclusive_last_mean(log: DataFrame, key: str, value: Column, k: int, name: str, t: str = "t", row_id: str = "row_id") -> DataFrame:

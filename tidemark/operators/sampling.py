@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.lineage import numbered, spread_numbers
+from tidemark.lineage import Ranges, numbered, place, spread_numbers
 
 
 def draw(i: Column, stream: str) -> Column:
@@ -49,32 +49,55 @@ def positive_pairs(log: DataFrame, stream: str = "bpr") -> DataFrame:
     return drawn.join(neg, ["usr", "kn"]).select("usr", "pos_row", "pos_item", "neg_row", "neg_item")
 
 
-def cumulative_weights(weights: DataFrame, key: str = "usr", weight: str = "w", parts: int = 64) -> DataFrame:
-    """The interval [lo, hi) of each key on one line; a key is as long as its weight. Sums run in ``parts`` parts of keys."""
-    rows = weights.select(key, weight, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_part"))
+def _line(weights: DataFrame, key: str, weight: str) -> tuple[DataFrame, list[float], float]:
+    """The intervals [lo, hi) of keys in key order, where each part of the keys starts, and the end of the line."""
+    rows = weights.select(key, F.col(weight).cast("double").alias(weight))
+    ranges = Ranges(rows, [key])
+    rows = rows.withColumn("_part", ranges.part())
+    ends = {r["_part"]: r["s"] for r in rows.groupBy("_part").agg(F.sum(weight).alias("s")).collect()}  # one row a part
+    starts, total = [], 0.0
+    for p in range(ranges.parts):
+        starts.append(total)
+        total += ends.get(p) or 0.0
     w = Window.partitionBy("_part").orderBy(key)
-    rows = rows.withColumn("_hi", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.coalesce(F.lag("_hi").over(w), F.lit(0.0)))
-    # one row a part
-    ends = rows.groupBy("_part").agg(F.max("_hi").alias("_end"))
-    before = F.coalesce(F.sum("_end").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = rows.join(F.broadcast(ends.select("_part", before.alias("_before"))), "_part")
-    return rows.select(key, weight, (F.col("_before") + F.col("_lo")).alias("lo"), (F.col("_before") + F.col("_hi")).alias("hi"))
+    before = F.array(*[F.lit(x) for x in starts])[F.col("_part")]
+    hi = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    rows = rows.withColumn("_hi", hi).withColumn("lo", before + F.coalesce(F.lag("_hi").over(w), F.lit(0.0))).withColumn("hi", before + F.col("_hi"))
+    return rows.select(key, weight, "lo", "hi"), starts, total
+
+
+def cumulative_weights(weights: DataFrame, key: str = "usr", weight: str = "w") -> DataFrame:
+    """The interval [lo, hi) of each key on one line, in key order; a key is as long as its weight.
+
+    Keys are cut into ranges; sums run within a range and start from the sums of the
+    ranges before it. A null weight counts as none.
+    """
+    return _line(weights, key, weight)[0]
 
 
 def weighted_picks(weights: DataFrame, n: int, key: str = "usr", weight: str = "w", stream: str = "pick") -> DataFrame:
-    """``n`` draws of a key in proportion to its weight.
+    """``n`` draws (i, key) of a key in proportion to its weight, with replacement.
 
-    The line of intervals is cut into buckets, one for each 64 keys; draws meet
-    the intervals of their bucket. As a bucket's share of the draws is its share
-    of the line, a draw meets 65 intervals on average, however weights lie.
+    Intervals and draws are swept together: the line is cut where ranges of keys
+    start and at even steps, so a piece holds a bounded share of both, even where one
+    key is as long as all others. An interval enters each piece that it touches; within a
+    piece, sorted by place, a draw takes the key of the last interval that began.
     """
-    c = cumulative_weights(weights, key, weight)
-    total = c.agg(F.max("hi").alias("total"), F.ceil(F.count(F.lit(1)) / 64).cast("bigint").alias("buckets"))
-    points = weights.sparkSession.range(n).withColumnRenamed("id", "i").join(F.broadcast(total)).withColumn("x", draw(F.col("i"), stream) / 4294967296.0 * F.col("total"))
-    at = lambda v: F.least(F.col("buckets") - 1, F.floor(v / F.col("total") * F.col("buckets")))
-    wide = c.filter("lo < hi").join(F.broadcast(total)).withColumn("b", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
-    met = points.withColumn("b", at(F.col("x"))).join(wide.select(key, "lo", "hi", "b"), "b").filter("lo <= x AND x < hi")
-    return met.select("i", key)
+    c, starts, total = _line(weights, key, weight)
+    spark = weights.sparkSession
+    draws = spark.range(n).withColumnRenamed("id", "i")
+    if total <= 0:
+        return draws.filter("false").join(c.select(key).limit(0)).select("i", key)
+    steps = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 10_000))
+    cuts = sorted({x for x in [*starts, *[total * k / steps for k in range(1, steps)]] if 0 < x < total})
+    bounds = [F.lit(x) for x in cuts]
+    edges = F.array(F.lit(0.0), *bounds)
+    points = draws.select("i", (draw(F.col("i"), stream) / 4294967296.0 * total).alias("x")).withColumn("piece", place(bounds, F.col("x")))
+    spans = c.filter("lo < hi").withColumn("piece", F.explode(F.sequence(place(bounds, F.col("lo")), place(bounds, F.col("hi"))))).withColumn("x", F.greatest("lo", edges[F.col("piece")]))
+    both = spans.filter("x < hi").select("piece", "x", F.lit(None).cast("bigint").alias("i"), key, F.lit(True).alias("_begins")).unionByName(points.select("piece", "x", "i", F.lit(None).cast(c.schema[key].dataType).alias(key), F.lit(False).alias("_begins")))
+    swept = Window.partitionBy("piece").orderBy("x", F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_k", F.last(F.when(F.col("_begins"), F.struct(F.col(key).alias("k"))), ignorenulls=True).over(swept)).filter("i IS NOT NULL")
+    return found.select("i", F.col("_k.k").alias(key))
 
 
 def negative_pools(log: DataFrame, min_pool: int = 20) -> DataFrame:

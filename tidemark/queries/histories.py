@@ -260,3 +260,25 @@ def history_bucket_q(spark, d):
 def feature_set(spark, d):
     got = features.build(event_log(spark, d), ["activity", "decay_rate_2.5", "decay_pos_5"])
     return got.select("row_id", F.col("activity").cast("bigint").alias("activity"), r6(F.col("`decay_rate_2.5`"), "decay_rate"), r6("decay_pos_5", "decay_pos"))
+
+
+@query("undated_history", """, n AS (SELECT row_id, usr, y, CASE WHEN row_id % 7 <> 0 THEN day * CASE WHEN usr % 2 = 0 THEN 400 ELSE 1 END END AS day FROM log),
+k AS (SELECT usr, day, CAST(sum(y) AS BIGINT) AS pos, count(*) AS n FROM n WHERE day IS NOT NULL GROUP BY usr, day),
+h AS (SELECT a.usr, a.day, CAST(sum(b.n) AS BIGINT) AS activity, sum(b.pos * pow(0.5e0, (a.day - b.day) / 2.5e0)) AS decayed FROM k a JOIN k b ON a.usr = b.usr AND b.day < a.day GROUP BY a.usr, a.day)
+SELECT row_id, coalesce(activity, 0) AS activity, round(coalesce(decayed, 0e0), 6) AS decayed FROM n LEFT JOIN h ON n.usr = h.usr AND n.day = h.day""")
+def undated_history(spark, d):
+    """Some rows have no day; half of the users span thousands of half-lives."""
+    day = F.when(F.col("row_id") % 7 != 0, F.col("day") * F.when(F.col("usr") % 2 == 0, 400).otherwise(1))
+    h = history.day_history(event_log(spark, d).withColumn("day", day), ["usr"], {"activity": F.lit(1)}, {"decayed": (F.col("y"), 2.5)})
+    return h.select("row_id", F.col("activity").cast("bigint").alias("activity"), r6("decayed"))
+
+
+@query("long_span_mean", """, n AS (SELECT row_id, usr, t * 300 AS t, CASE WHEN row_id % 3 = 0 THEN NULL ELSE play END AS v FROM log),
+p AS (SELECT a.row_id, b.v, b.t, max(b.t) OVER (PARTITION BY a.row_id) AS m FROM n a JOIN n b ON a.usr = b.usr AND b.t < a.t AND b.v IS NOT NULL),
+g AS (SELECT row_id, sum(v * pow(0.5e0, (m - t) / 216e6)) / sum(pow(0.5e0, (m - t) / 216e6)) AS mean FROM p GROUP BY row_id)
+SELECT row_id, round(mean, 6) AS mean FROM n LEFT JOIN g USING (row_id)""")
+def long_span_mean(spark, d):
+    """Instants drawn apart, so that a key spans thousands of half-lives."""
+    log = event_log(spark, d).withColumn("t", F.col("t") * 300)
+    v = F.when(F.col("row_id") % 3 != 0, F.col("play"))
+    return history.exclusive_decayed_mean(log, ["usr"], v, 2.5, "mean").select("row_id", r6("mean"))

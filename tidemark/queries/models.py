@@ -17,18 +17,20 @@ from tidemark.sources import event_log, results, table
 
 @query("pair_sample")
 def pair_sample(spark, d):
-    return sampling.pairs(event_log(spark, d).filter("split = 'train'"), 5000)
+    tr = event_log(spark, d).filter("split = 'train'")
+    return sampling.pairs(tr, tr.filter("y = 1").count())
 
 
 @query("multi_negative_sample")
 def multi_negative_sample(spark, d):
-    return sampling.pairs(event_log(spark, d).filter("split = 'train'"), 1000, negatives=4)
+    tr = event_log(spark, d).filter("split = 'train'")
+    return sampling.pairs(tr, tr.filter("y = 1").count(), negatives=4)
 
 
 @query("weighted_user_pick")
 def weighted_user_pick(spark, d):
     tr = event_log(spark, d).filter("split = 'train'")
-    return sampling.weighted_picks(tr.groupBy("usr").agg(F.pow(F.sum("y") + F.lit(0.5), 0.75).alias("w")), 5000)
+    return sampling.weighted_picks(tr.groupBy("usr").agg(F.pow(F.sum("y") + F.lit(0.5), 0.75).alias("w")), tr.filter("y = 1").count())
 
 
 @query("hard_negative_pool", ", neg AS (SELECT ctx, count(*) AS n FROM log WHERE split = 'train' AND y = 0 GROUP BY ctx) SELECT ctx, n AS pool_rows FROM neg WHERE n >= 300 UNION ALL SELECT '*', CAST(sum(n) AS BIGINT) FROM neg")
