@@ -2,16 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bucket_left
-from tidemark.lineage import numbered
+from tidemark.lineage import Ranges, cut, numbered
+
+
+def quantiles(train: DataFrame, cols: dict[str, Column], n: int, interpolate: bool = True) -> dict[str, list[float]]:
+    """The n - 1 inner quantiles of each column over its values that are not null; none for a column without values.
+
+    Exact at any size: values are counted (a hot value is one row), the counts are cut
+    into ranges of (column, value), and only the ranges that hold a wanted rank are
+    looked into. Ranges' sums and at most two values a quantile reach the driver.
+    Without interpolation the value at the lower rank is taken.
+    """
+    names = list(cols)
+    cells = train.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), cols[k].cast("double").alias("v")) for i, k in enumerate(names)])).alias("x"))
+    counts = cut(cells.select("x.c", "x.v").filter("v IS NOT NULL").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    ranges = Ranges(counts, ["c", "v"])
+    counts = counts.withColumn("_p", ranges.part())
+    sizes = sorted((r["c"], r["_p"], r["n"]) for r in counts.groupBy("c", "_p").agg(F.sum("n").alias("n")).collect())  # a row a column and range
+    wanted, spots = [], {}
+    for c in range(len(names)):
+        mine = [(p, k) for x, p, k in sizes if x == c]
+        total = sum(k for _, k in mine)
+        for i in range(1, n) if total else ():
+            at = i / n * (total - 1)
+            spots[c, i] = at
+            for rank in {math.floor(at), math.ceil(at)} if interpolate else {math.floor(at)}:
+                before = 0
+                for p, k in mine:
+                    if before <= rank < before + k:
+                        wanted.append((c, p, rank, rank - before))
+                        break
+                    before += k
+    if not wanted:
+        return {k: [] for k in names}
+    asked = train.sparkSession.createDataFrame(wanted, "c int, _p int, rank bigint, within bigint")
+    upto = F.sum("n").over(Window.partitionBy("c", "_p").orderBy("v"))
+    some = counts.join(F.broadcast(asked.select("c", "_p").distinct()), ["c", "_p"], "left_semi").withColumn("hi", upto)
+    found = some.join(F.broadcast(asked), ["c", "_p"]).filter("hi - n <= within AND within < hi")
+    value = {(r["c"], r["rank"]): r["v"] for r in found.select("c", "rank", "v").collect()}  # two a quantile at most
+    out: dict[str, list[float]] = {k: [] for k in names}
+    for (c, _), at in spots.items():
+        lo, hi = math.floor(at), math.ceil(at) if interpolate else math.floor(at)
+        low, high = value[c, lo], value[c, hi]
+        out[names[c]].append(low if lo == hi or low == high else (hi - at) * low + (at - lo) * high)
+    return out
 
 
 def edges(train: DataFrame, col: Column, n: int) -> DataFrame:
-    """One row: the n - 1 inner quantile edges, linearly interpolated, duplicates kept."""
-    return train.agg(F.percentile(col, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("edges"))
+    """One row: the n - 1 inner quantile edges, linearly interpolated, duplicates kept; null without values."""
+    found = quantiles(train, {"v": col}, n)["v"]
+    return train.sparkSession.createDataFrame([(found or None,)], "edges array<double>")
 
 
 def with_buckets(rows: DataFrame, train: DataFrame, col: str, n: int, name: str = "bucket", where: Column | None = None) -> DataFrame:
