@@ -243,7 +243,7 @@ def test_signatures_estimate_the_similarity():
     y = circulant_minhash.mixed(a ^ circulant_minhash.SIGMA)
     assert len(np.unique(y)) == len(a)  # a permutation
     keys = circulant_minhash.band_keys(s)
-    assert (keys & np.uint64(63) == np.arange(circulant_minhash.BANDS)).all()
+    assert keys.shape == (2, circulant_minhash.BANDS) and len(np.unique(keys[0])) == circulant_minhash.BANDS
 
 
 def test_long_words_and_texts_beyond_a_slice(spark, monkeypatch):

@@ -7,7 +7,7 @@ min over the set of pi((sigma(x) - k) mod 2**64). Both are bijections of 64-bit
 numbers, so no table of a permutation is held.
 
 1. Documents with the same set collapse into a class.
-2. A class has ``BANDS`` band keys of ``ROWS`` coordinates (64 bands at most). The keys are sorted by
+2. A class has ``BANDS`` band keys of ``ROWS`` coordinates. The keys are sorted by
    range over the cluster; each class of a bucket is compared with the one before it
    and with the head of its piece of the bucket. Pairs whose sizes and parity
    bitmaps leave room for the similarity are verified on the texts' full sets, and links
@@ -44,8 +44,6 @@ from tidemark.llm.shingles import mixed, sets, text_batches
 
 WIDTH, PERCENT = 3, 85
 ROWS, BANDS = 6, 40
-#: Bands whose neighbours are verified before the others' are looked at.
-FIRST_BANDS = 4
 #: Classes of one block of a bucket with several components.
 BLOCK = 256
 #: Bitmaps are folded to this many bytes at most; a folded one still bounds the difference from below.
@@ -79,7 +77,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     key = np.broadcast_to(mixed(np.arange(1, BANDS + 1, dtype=np.uint64)), s.shape[:2]).copy()
     for r in range(ROWS):
         key = mixed(key * P1 + s[:, :, r])
-    return key & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)  # the band in the low bits
+    return key
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -238,22 +236,6 @@ def _met(scratch: Scratch, buckets: DataFrame, members: DataFrame) -> DataFrame:
     return both.mapInArrow(pairs, "u binary, v binary").distinct()
 
 
-def _chained(scratch: Scratch, buckets: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links between neighbours and heads of buckets, and the components they make: a few bands first, then the others where they tell more."""
-    later = buckets.filter("p IS NOT NULL")
-    pairs = lambda rows: rows.select(F.col("p").alias("u"), F.col("cid").alias("v")).unionByName(rows.select(F.col("h").alias("u"), F.col("cid").alias("v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    band = F.col("key").bitwiseAND(F.lit(63))
-    early = scratch.save(_close(pairs(later.filter(band < FIRST_BANDS)), classes))
-    links = scratch.save(verified(early, classes, docs, WIDTH, PERCENT))
-    label = scratch.save(components(links))
-    own = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    rest = pairs(later.filter(band >= FIRST_BANDS)).join(early, ["u", "v"], "left_anti")
-    rest = rest.join(own("u"), "u", "left").join(own("v"), "v", "left").filter("u_label IS NULL OR v_label IS NULL OR u_label <> v_label").select("u", "v")
-    more = scratch.save(verified(scratch.save(_close(rest, classes)), classes, docs, WIDTH, PERCENT))
-    links = links.unionByName(more)
-    return links, (components(links) if more.limit(1).count() else label)
-
-
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row a document."""
     scratch = Scratch(docs.sparkSession)
@@ -261,13 +243,18 @@ def link(docs: DataFrame) -> DataFrame:
     alike = rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct("th", "len")).alias("t"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = scratch.save(alike.select("cid", "n", "least", "t.th", "t.len", "bands", "bits"))
     buckets = scratch.save(_buckets(_postings(classes)))
-    links, label = _chained(scratch, buckets, classes, docs)
+    later = buckets.filter("p IS NOT NULL")
+    chain = later.select(F.col("p").alias("u"), F.col("cid").alias("v")).unionByName(later.select(F.col("h").alias("u"), F.col("cid").alias("v")))
+    chain = chain.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    first = scratch.save(verified(scratch.save(_close(chain, classes)), classes, docs, WIDTH, PERCENT))
+    label = scratch.save(components(first))
 
     members = scratch.save(classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "least", "bits", F.coalesce("label", "cid").alias("label")))
     cross = scratch.save(_met(scratch, buckets, members))
     more = scratch.save(verified(cross, classes, docs, WIDTH, PERCENT))
     if more.limit(1).count():
-        label = components(links.unionByName(more))
+        stars = label.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+        label = components(stars.unionByName(more))
 
     owned = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label"))
     named = owned.groupBy("label").agg(F.min("least").alias("component_id"))

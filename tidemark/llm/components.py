@@ -11,11 +11,12 @@ from tidemark.llm.common import cut
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # dealt once by u: the minimum and the join need no further shuffle
+    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition("u")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
