@@ -1,6 +1,9 @@
 """Each word occurrence, and each copy of a document, is varied anew."""
 
+import random
+
 import numpy as np
+import pytest
 
 from tidemark.llm import sentencepiece_dropout as sp
 
@@ -62,3 +65,29 @@ def test_ids_do_not_depend_on_the_batch(monkeypatch):
     for size in (40, 333):
         monkeypatch.setattr(sp, "BATCH_CHARS", size)
         assert sp.Encoder(sp.DEFAULT_MODEL, 0.3, 1).encode(["k", "j"], [text, "short one"]) == want
+
+
+@pytest.mark.parametrize("rounds", [1, 500])
+def test_long_chunks_equal_the_agenda(monkeypatch, rounds):
+    """Chunks of more than 64 characters: words run together, scripts without spaces, base64, runs and repeated patterns."""
+    from tidemark.llm import sentencepiece_dropout as sd
+
+    monkeypatch.setattr(sd, "ROUNDS", rounds)
+    model = sd.load(sd.DEFAULT_MODEL)
+    rng = random.Random(7)
+    words = [p for p in model.ids if len(p) > 2 and "▁" not in p]
+    kinds = [
+        lambda n: "".join(rng.choice(words) for _ in range(n // 4)),
+        lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n)),
+        lambda n: "".join(rng.choice("ABCDefgh0123+/xyz") for _ in range(n)),
+        lambda n: rng.choice(["x", "ab", "the", "=-", "aab", "1000", "=="]) * n,
+        lambda n: "   " + "".join(rng.choice(["日本", "the", "😀", "é", "aaaa", "▁", "\x00"]) for _ in range(n)),
+    ]
+    for k in range(60):
+        chunk = kinds[k % 5](rng.randint(65, 250))
+        for dropout in (0.0, 0.1, 0.6):
+            stream = np.array([k], dtype=np.uint64)
+            word = int(sd.word_keys([chunk], stream, 3)[0])
+            want = [b for s in sd.agenda(model, chunk, word, dropout) for b in ([s] if s >= 0 else model.byte_ids[list(chr(-1 - s).encode())].tolist())]
+            got = np.frombuffer(sd.segment_chunks(model, ["a", chunk], np.array([0, k], dtype=np.uint64), 3, dropout)[1], dtype=np.int32).tolist()
+            assert got == want, (k, dropout)

@@ -10,7 +10,9 @@ occurrence has a stream of its own, a 64-bit keyed hash of the document, its
 copy number and the word's place, so each occurrence is varied anew, while
 reruns agree. Without dropout the ids equal the library's.
 
-The agenda runs for many chunks of like length at once, in numpy: a dead
+The agenda runs for many chunks of like length at once, in numpy; a chunk of more
+than 64 characters is first cut where no piece of the vocabulary could cross, and what
+stays long merges many places at once. A dead
 candidate is dead from the start, as its hash depends on nothing else. The merges
 of a word without dropout are kept between batches; an occurrence for which they
 all survive takes their outcome, as no other candidate ever comes first, and
@@ -49,6 +51,8 @@ KEEP_BYTES = 32 << 20
 OCCURRENCES = 1 << 17
 #: Symbols of the chunks whose agendas run at once.
 BLOCK_SYMBOLS = 1 << 19
+#: Rounds of merges in long stretches before the rest goes through a queue.
+ROUNDS = 500
 DEAD = np.iinfo(np.int64).max
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -96,6 +100,10 @@ class Model:
         keys = np.array(sorted(pairs), dtype=np.int64)
         self.n, self.pair_keys = n, keys
         self.pair_ids = np.array([pairs[k] for k in keys.tolist()], dtype=np.int32)
+        # pairs of characters that stand side by side in some piece: no merge crosses any other border
+        self.longest = max(map(len, self.ids), default=1)
+        beside = {(ord(a) << 21) | ord(b) for p in self.ids for a, b in zip(p.replace(SPACE, " "), p.replace(SPACE, " ")[1:], strict=False)}
+        self.beside = np.array(sorted(beside), dtype=np.int64)
         self.bits = 1 << 21
         self.slot = np.zeros(self.bits, dtype=bool)
         self.slot[self._slot(keys)] = True
@@ -168,15 +176,17 @@ def agenda(model: Model, chunk: str, word: int, dropout: float) -> list[int]:
     return [int(ids[i]) for i in range(n) if not gone[i]]
 
 
-def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float, path: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float, path: np.ndarray | None = None, offset: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Agendas of many chunks of one length: symbols and how many of them each chunk keeps.
 
-    ``path`` takes the hashes of the merged places in turn.
+    ``path`` takes the hashes of the merged places in turn; ``offset`` is where each begins in a longer chunk.
     """
     n, size = codes.shape
     ids = model.chars[codes]
     ids = np.where(ids < 0, -1 - codes.astype(np.int32), ids)
     start = np.broadcast_to(np.arange(size + 1, dtype=np.int32), (n, size + 1)).copy()
+    if offset is not None:
+        start += offset[:, None].astype(np.int32)
     left = np.full(n, size)
 
     def keys(i, j, rows):
@@ -227,6 +237,141 @@ def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float, pa
                 key[r, a], made[r, a] = keys(a, a + 1, r)
 
 
+def _window_least(key: np.ndarray, back: int, ahead: int) -> np.ndarray:
+    """The least key from ``back`` places before to ``ahead`` after each place."""
+    width = back + ahead + 1
+    low = np.concatenate([np.full(back, DEAD), key, np.full(ahead, DEAD)])
+    span = 1
+    while 2 * span <= width:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    return np.minimum(low[: len(key)], low[width - span : width - span + len(key)])
+
+
+def _line(model: Model, codes: np.ndarray, word: np.ndarray, offset: np.ndarray, last: np.ndarray, dropout: float) -> np.ndarray:
+    """Agendas of long stretches that lie side by side: the symbol at each place, or DEAD where one goes on.
+
+    ``offset`` is a place's distance from the start of its chunk, ``last`` tells the last place of a stretch.
+    A candidate is merged as soon as none of a better rank lies within the longest piece around it, as
+    whatever could take one of its symbols first would have to begin with such a one. Of those of one rank
+    that overlap, every other one is merged, from the left. Only where a merge makes a candidate of its own
+    rank or a better one, or where one of the same rank is undecided, does what lies to the right of it, one
+    after the other without a wide gap, wait for the next round. So rounds merge many places of one stretch at once, with the outcome of the agenda; what
+    is left after ``ROUNDS`` rounds goes through a queue.
+    """
+    n = len(codes)
+    ids = model.chars[codes].astype(np.int64)
+    ids = np.where(ids < 0, -1 - codes, ids)
+    end = np.arange(1, n + 1)
+    begin = np.arange(-1, n)  # where the symbol that ends at a place begins
+    stop = np.concatenate([last, [True]])
+    rank = np.full(n, DEAD)
+    made = np.full(n, -1, dtype=np.int64)
+
+    def merges(first, start, mid, second, stops):
+        """Rank and piece of symbols side by side; DEAD where they do not merge."""
+        r, m = np.full(len(start), DEAD), np.full(len(start), -1, dtype=np.int64)
+        got = model.merged(first.astype(np.int32), second.astype(np.int32))
+        ok = np.flatnonzero(got >= 0)
+        shift = offset[start[ok]] - start[ok]
+        ok = ok[alive(word[start[ok]], start[ok] + shift, mid[ok] + shift, stops[ok] + shift, dropout)]
+        r[ok], m[ok] = model.rank[got[ok]], got[ok]
+        return r, m
+
+    def look(at: np.ndarray) -> None:
+        """Take candidates (at, next symbol) anew."""
+        rank[at] = DEAD
+        at = at[~stop[end[at] - 1]]
+        mid = end[at]
+        rank[at], made[at] = merges(ids[at], at, mid, ids[mid], end[mid])
+
+    def merge(at: np.ndarray) -> np.ndarray:
+        """Merge candidates that do not overlap; the places whose candidates are new."""
+        mid = end[at]
+        ids[at], ids[mid], rank[mid] = made[at], DEAD, DEAD
+        end[at] = end[mid]
+        begin[end[at]] = at
+        left = begin[at][(at > 0) & ~stop[np.maximum(at - 1, 0)]]
+        new = np.unique(np.concatenate([at, left]))
+        look(new)
+        return new
+
+    look(np.arange(n))
+    reach = 2 * model.longest
+    live = np.flatnonzero(rank != DEAD)
+    for _ in range(ROUNDS):
+        if not len(live):
+            return ids
+        best = rank == _window_least(rank, reach, reach)
+        at = live[best[live]]
+        joined = np.concatenate([[False], (at[1:] == end[at[:-1]]) & (rank[at[1:]] == rank[at[:-1]])])
+        run = np.cumsum(~joined) - 1
+        heads = at[~joined]
+        before = begin[heads]
+        known = ~((before >= 0) & (rank[np.maximum(before, 0)] == rank[heads]) & (end[np.maximum(before, 0)] == heads))
+        nth = np.arange(len(at)) - np.flatnonzero(~joined)[run]
+        waits = rank.copy()  # candidates that this round leaves undecided
+        waits[at[known[run]]] = DEAD
+        at = at[(nth % 2 == 0) & known[run]]
+        blocked = _window_least(waits, reach, 0)[at] <= rank[at]
+        # what the merges would make of their neighbours, from the left
+        stops = end[end[at]]
+        touching = np.concatenate([[False], at[1:] == stops[:-1]])
+        start = np.where(touching, np.concatenate([[0], at[:-1]]), begin[at])
+        inner = (at > 0) & ~stop[np.maximum(at - 1, 0)]
+        start = np.maximum(start, 0)
+        symbol = np.where(touching, np.concatenate([[0], made[at[:-1]]]), ids[start])
+        lower = np.full(len(at), DEAD)
+        lower[inner] = merges(symbol[inner], start[inner], at[inner], made[at][inner], stops[inner])[0]
+        open_ = ~stop[stops - 1]
+        upper = np.full(len(at), DEAD)
+        o = stops[open_]
+        upper[open_] = merges(made[at][open_], at[open_], o, ids[o], end[o])[0]
+        upsets = np.minimum(lower, upper) <= rank[at]
+        chain = np.cumsum(np.concatenate([[True], np.diff(at) > 2 * reach])) - 1 if len(at) else at
+        barred = np.cumsum(upsets | blocked) - (upsets & ~blocked)
+        first = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]])) if len(at) else at
+        merge(at[barred == (barred - blocked)[first][chain]])
+        live = np.flatnonzero(rank != DEAD)
+    queue = [(int(rank[p]), int(p), int(end[end[p]]), int(made[p])) for p in live.tolist()]
+    heapq.heapify(queue)
+    while queue:
+        r, p, e, m = heapq.heappop(queue)
+        if rank[p] == r and made[p] == m and end[end[p]] == e:
+            for x in merge(np.array([p])).tolist():
+                if rank[x] != DEAD:
+                    heapq.heappush(queue, (int(rank[x]), x, int(end[end[x]]), int(made[x])))
+    return ids
+
+
+def _long_chunks(model: Model, chunks: list[str], word: np.ndarray, dropout: float) -> list[np.ndarray]:
+    """Symbols of long chunks, cut where no piece of the vocabulary can cross."""
+    codes = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    size = np.array([len(c) for c in chunks])
+    base = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(chunks)), size)
+    offset = np.arange(len(codes)) - base[of]
+    pair = (codes[:-1] << 21) | codes[1:]
+    found = np.minimum(np.searchsorted(model.beside, pair), max(len(model.beside) - 1, 0))
+    ends = np.ones(len(codes), dtype=bool)
+    if len(model.beside):
+        ends[:-1] = (model.beside[found] != pair) | (of[1:] != of[:-1])
+    starts = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
+    length = np.diff(np.append(starts, len(codes)))
+    out = np.full(len(codes), DEAD)
+    for n in np.unique(length[length <= 64]).tolist():
+        every = starts[length == n]
+        for a in range(0, len(every), BLOCK_SYMBOLS // n):
+            at = every[a : a + BLOCK_SYMBOLS // n]
+            ids, left = _block(model, codes[at[:, None] + np.arange(n)], word[of[at]], dropout, offset=offset[at])
+            r, c = np.nonzero(np.arange(n) < left[:, None])
+            out[at[r] + c] = ids[r, c]
+    far = np.repeat(length > 64, length)
+    if far.any():
+        out[far] = _line(model, codes[far], word[of[far]], offset[far], ends[far], dropout)
+    return [x[x != DEAD] for x in np.split(out, base[1:])]
+
+
 def keyed(h: np.ndarray, streams: np.ndarray, seed: int) -> np.ndarray:
     return mixed(h ^ mixed(streams.astype(np.uint64) + np.uint64(seed * int(M1) % 2**64)))
 
@@ -236,6 +381,24 @@ def word_keys(chunks: list[str], streams: np.ndarray, seed: int) -> np.ndarray:
     return keyed(h, streams, seed)
 
 
+def spelled(model: Model, syms: np.ndarray) -> np.ndarray:
+    """Symbols outside the vocabulary as their UTF-8 bytes."""
+    code = np.where(syms < 0, -1 - syms, 0)
+    width = np.where(syms >= 0, 1, np.select([code < 0x80, code < 0x800, code < 0x10000], [1, 2, 3], 4))
+    at = np.cumsum(width) - width
+    out = np.repeat(syms, width).astype(np.int32)
+    for w in (1, 2, 3, 4):
+        odd = np.flatnonzero((syms < 0) & (width == w))
+        if not len(odd):
+            continue
+        c = code[odd]
+        for j in range(w):
+            bits = (c >> (6 * (w - 1 - j))) & 0x3F if j else c >> (6 * (w - 1))
+            lead = 0x80 if j else {1: 0, 2: 0xC0, 3: 0xE0, 4: 0xF0}[w]
+            out[at[odd] + j] = model.byte_ids[bits | lead]
+    return out
+
+
 def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: int, dropout: float, paths: list | None = None) -> list[bytes]:
     """Ids of each chunk as int32 bytes; ``paths`` takes the hashes of each chunk's merges, where blocks ran."""
     word = word_keys(chunks, streams, seed)
@@ -244,12 +407,16 @@ def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: i
 
     def put(k: int, syms: np.ndarray) -> None:
         if (syms < 0).any():
-            syms = np.concatenate([model.byte_ids[np.frombuffer(chr(-1 - s).encode(), np.uint8)] if s < 0 else np.array([s], dtype=np.int32) for s in syms.tolist()])
+            syms = spelled(model, syms)
         out[k] = syms.astype(np.int32).tobytes()
 
-    for n in np.unique(size).tolist():
+    far = np.flatnonzero(size > 64)
+    if len(far):
+        for k, syms in zip(far.tolist(), _long_chunks(model, [chunks[k] for k in far.tolist()], word[far], dropout), strict=True):
+            put(k, syms)
+    for n in np.unique(size[size <= 64]).tolist():
         at = np.flatnonzero(size == n)
-        if n > 64 or len(at) < 8:
+        if len(at) < 8:
             for k in at.tolist():
                 put(k, np.array(agenda(model, chunks[k], int(word[k]), dropout), dtype=np.int32))
             continue
