@@ -34,6 +34,18 @@ def test_quality_of_very_long_text(spark):
     assert (r["n_words"], r["n_repeat_words"]) == (140_003, 6)
 
 
+def test_quality_on_both_sides_of_a_power_of_two(spark):
+    """Texts just under and over 2**17 words count alike: no length changes how windows are compared."""
+    rows = []
+    for k, n in enumerate(((1 << 17) - 5, (1 << 17) + 5)):
+        w = [f"w{i * 7919 % 99991}x{i}" for i in range(n)]
+        w[1000:1004] = w[50:54]
+        w[n - 3 :] = w[50:53]
+        rows.append((k, " ".join(w)))
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.base_counts(spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("a"))).collect()}
+    assert got == {k: brute.quality(t)[4] for k, t in rows} == {0: 11, 1: 11}
+
+
 def test_hosts_that_fail_take_their_documents(spark):
     good = " ".join(f"word{i}" for i in range(60))
     rows = [(i, "bad", "short") for i in range(95)] + [(i, "bad", good) for i in range(95, 100)] + [(i, "fine", good) for i in range(100, 200)] + [(500, None, good)]

@@ -31,23 +31,15 @@ SALTS = 32
 def _repeat_words(df: DataFrame) -> DataFrame:
     """From ``_words`` the words covered by 3-word windows that the text holds twice.
 
-    Window hashes are compared per text. Only texts with a repeated hash are
-    sorted: hash and position share one long, so that the sort stays primitive;
-    texts beyond 2**17 words sort pairs instead, where the shortened hash would
-    be too weak.
+    Whole 64-bit window hashes are compared per text; only texts with a repeated
+    hash are sorted, as pairs of hash and place, at any length.
     """
     n = F.size("_tri")
     df = df.withColumn("_tri", F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_some", F.size(F.array_distinct("_tri")) < n).withColumn("_bits", F.ceil(F.log2(n + F.lit(2))).cast("int"))
-    packed = F.sort_array(F.transform("_tri", lambda h, i: F.expr("0L") + F.shiftleft(F.call_function("shiftright", h, F.col("_bits")), 0) * F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bits")) + i))
-    df = df.withColumn("_sorted", F.when(F.col("_some") & (n < (1 << 17)), packed))
-    df = df.withColumn("_pairs", F.when(F.col("_some") & (n >= (1 << 17)), F.array_sort(F.transform("_tri", lambda h, i: F.struct(h.alias("h"), i.cast("bigint").alias("i"))))))
-    head = lambda x: F.call_function("shiftright", x, F.col("_bits"))
-    same = lambda x, i: F.coalesce(head(F.get("_sorted", i - 1)) == head(x), F.lit(False)) | F.coalesce(head(F.get("_sorted", i + 1)) == head(x), F.lit(False))
-    wide = lambda x, i: F.coalesce(F.get("_pairs", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_pairs", i + 1)["h"] == x["h"], F.lit(False))
-    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bits"))
-    at = F.sort_array(F.coalesce(F.transform(F.filter("_sorted", same), lambda x: F.pmod(x, low)), F.transform(F.filter("_pairs", wide), lambda x: x["i"])))
-    df = df.withColumn("_at", at)
+    df = df.withColumn("_some", F.size(F.array_distinct("_tri")) < n)
+    df = df.withColumn("_pairs", F.when(F.col("_some"), F.sort_array(F.transform("_tri", lambda h, i: F.struct(h.alias("h"), i.cast("bigint").alias("i"))))))
+    twice = lambda x, i: F.coalesce(F.get("_pairs", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_pairs", i + 1)["h"] == x["h"], F.lit(False))
+    df = df.withColumn("_at", F.sort_array(F.transform(F.filter("_pairs", twice), lambda x: x["i"])))
     gaps = F.aggregate(F.sequence(F.lit(1), F.size("_at") - 1), F.lit(3).cast("bigint"), lambda acc, i: acc + F.least(F.lit(3).cast("bigint"), F.get("_at", i) - F.get("_at", i - 1)))
     return df.withColumn("n_repeat_words", F.when(F.col("_at").isNull() | (F.size("_at") < 1), F.lit(0).cast("bigint")).when(F.size("_at") == 1, F.lit(3).cast("bigint")).otherwise(gaps))
 
