@@ -1,8 +1,9 @@
-"""Reliable checkpoints, the folder for them, and row numbers over ranges."""
+"""Tables that cut a lineage, the folder for them, and row numbers over ranges."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,10 +22,33 @@ def shared_root(spark: SparkSession) -> str:
     return found.get()
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """Run once: a Parquet table in the shared folder, read back.
+
+    Unlike a checkpoint it does not carry the size estimates of the plan behind it, which
+    would multiply from round to round of an iteration. The table goes with ``drop``, or when
+    the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, at = _path(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("cut-"):
+                fs, at = _path(df.sparkSession, folder)
+                fs.delete(at, True)
 
 
 class Ranges:

@@ -1,7 +1,7 @@
 """Score normalisation, weighted blends and weight searches.
 
-Searches are one plan: rows meet a small grid table and the metric is grouped by
-grid point. A grid is fixed by its step, so its broadcast is bounded.
+Searches shuffle the log once, by user; each task evaluates its users at every grid
+point. A grid is fixed by its step, so its size is bounded.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.lineage import cut
-from tidemark.operators.metrics import evaluate
+from tidemark.operators.metrics import evaluate_grid
 from tidemark.operators.ranks import percentile
 
+METRICS = ["gauc", "ndcg", "users", "n_rows", "primary_score"]
+
 
 def minmax(df: DataFrame, cols: list[str]) -> DataFrame:
     """Global min-max of each column, by one one-row aggregate."""
@@ -38,14 +40,18 @@ def alpha_grid(spark: SparkSession, steps: int) -> DataFrame:
 
 
 def alpha_sweep(df: DataFrame, a: str, b: str, steps: int = 10, by: list[str] | None = None) -> DataFrame:
-    """The metric at each alpha of alpha * a + (1 - alpha) * b."""
-    rows = df.join(F.broadcast(alpha_grid(df.sparkSession, steps))).withColumn("score", F.col("alpha") * F.col(a) + (1 - F.col("alpha")) * F.col(b))
-    return evaluate(rows, by=[*(by or []), "grid", "alpha"])
+    """The metric at each alpha of alpha * a + (1 - alpha) * b.
+
+    Scores are formed with weights in whole steps, as ranks do not depend on their
+    scale; so ties of whole scores stay ties.
+    """
+    got = evaluate_grid(df, [a, b], [[float(g), float(steps - g)] for g in range(steps + 1)], by=by)
+    return got.select(*(by or []), F.col("point").alias("grid"), (F.col("point") / steps).alias("alpha"), *METRICS)
 
 
 def best(results: DataFrame, metric: str = "primary_score", key: str = "grid", by: list[str] | None = None) -> DataFrame:
-    """The best row; among equals the least key."""
-    top = F.max_by(F.struct(*[c for c in results.columns if c not in (by or [])]), F.struct(F.col(metric), -F.col(key)))
+    """The best row; among equals (to nine digits) the least key."""
+    top = F.max_by(F.struct(*[c for c in results.columns if c not in (by or [])]), F.struct(F.round(metric, 9), -F.col(key)))
     return results.groupBy(*(by or [])).agg(top.alias("_b")).select(*(by or []), "_b.*")
 
 
@@ -71,11 +77,17 @@ def local_grid(spark: SparkSession, centre: list[float], radius: int, step: floa
     return moved
 
 
-def weight_search(df: DataFrame, cols: list[str], grid: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The metric at each grid point."""
+def weight_search(df: DataFrame, cols: list[str], grid: DataFrame, by: list[str] | None = None, scale: int | None = None) -> DataFrame:
+    """The metric at each grid point; the grid, bounded by its step, is read by the driver.
+
+    With ``scale`` the weights are multiplied by it and rounded to whole numbers before
+    scores are formed: ranks stay, and ties of whole scores stay ties.
+    """
     ws = [f"w{k}" for k in range(len(cols))]
-    rows = df.join(F.broadcast(grid)).withColumn("score", weighted([F.col(c) for c in cols], [F.col(w) for w in ws]))
-    return evaluate(rows, by=[*(by or []), *ws])
+    points = [list(r) for r in grid.select(*ws).collect()]
+    got = evaluate_grid(df, cols, [[float(x) if scale is None else float(round(x * scale)) for x in p] for p in points], by=by)
+    named = df.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(points)], "point bigint, " + ", ".join(f"{w} {grid.schema[w].dataType.simpleString()}" for w in ws))
+    return got.join(F.broadcast(named), "point").select(*(by or []), *ws, *METRICS)
 
 
 def refined_grid(spark: SparkSession, centre: list[float], coarse: int = 10, radius: int = 5, step: float = 0.02, least: float = 0.0) -> DataFrame:
@@ -85,22 +97,22 @@ def refined_grid(spark: SparkSession, centre: list[float], coarse: int = 10, rad
     return points.select(*[F.round(c, 10).alias(c) for c in names]).dropDuplicates(names)
 
 
-def refined_search(df: DataFrame, cols: list[str], coarse: int = 10, radius: int = 5, step: float = 0.02, least: float = 0.0) -> DataFrame:
+def refined_search(df: DataFrame, cols: list[str], coarse: int = 10, radius: int = 5, step: float = 0.02, least: float = 0.0, scale: int | None = None) -> DataFrame:
     """The metric at each point of the coarse simplex and of the finer grid around its best point, for any number of scores.
 
     The coarse results are computed once; of equal points the one with the
     greatest first weights leads. Only that point reaches the driver.
     """
     spark, names = df.sparkSession, [f"w{k}" for k in range(len(cols))]
-    first = cut(weight_search(df, cols, simplex_grid(spark, coarse, len(cols))))
-    top = first.orderBy(F.desc("primary_score"), *[F.desc(c) for c in names]).first()
+    first = cut(weight_search(df, cols, simplex_grid(spark, coarse, len(cols)), scale=scale))
+    top = first.orderBy(F.round("primary_score", 9).desc(), *[F.desc(c) for c in names]).first()
     if top is None:
         return first
     finer = local_grid(spark, [top[c] for c in names], radius, step, least)
     same = [F.round(finer[c], 10) == F.round(first[c], 10) for c in names]
     for c in same[1:]:
         same[0] = same[0] & c
-    return first.unionByName(weight_search(df, cols, finer.join(F.broadcast(first.select(*names)), same[0], "left_anti")))
+    return first.unionByName(weight_search(df, cols, finer.join(F.broadcast(first.select(*names)), same[0], "left_anti"), scale=scale))
 
 
 def normalised(df: DataFrame, cols: list[str], how: str, group: list[str] | None = None) -> DataFrame:

@@ -41,12 +41,7 @@ ALPHA = ", lg AS (SELECT log.*, g AS grid, g * s1 + (10 - g) * s2 AS sc FROM log
 
 
 def _alpha(spark, d, by=None):
-    rows = scored(spark, d)
-    grid = blend.alpha_grid(spark, 10)
-    rows = rows.join(F.broadcast(grid)).withColumn("score", F.col("grid") * F.col("s1") + (10 - F.col("grid")) * F.col("s2"))
-    from tidemark.operators.metrics import evaluate
-
-    return evaluate(rows, by=[*(by or []), "grid"])
+    return blend.alpha_sweep(scored(spark, d), "s1", "s2", 10, by)
 
 
 @query("alpha_grid", ALPHA + metric_sql("lg", "sc", "grid") + f"SELECT grid, {SHOW} FROM met")
@@ -64,6 +59,17 @@ def segment_alpha(spark, d):
     return blend.best(shown(_alpha(spark, d, ["ctx"]), "ctx", "grid"), by=["ctx"]).select("ctx", "grid", "primary_score")
 
 
+@query("segment_alphas", ALPHA + metric_sql("lg", "sc", "hr, grid") + """, ov AS (SELECT row_number() OVER (ORDER BY round((gauc + ndcg) / 2, 9) DESC, grid) AS k, grid FROM ("""
+    + "WITH z AS (SELECT 1)" + metric_sql("lg", "sc", "grid") + """SELECT * FROM met)), sz AS (SELECT hr, count(*) AS n_rows FROM log GROUP BY hr),
+own AS (SELECT hr, grid, row_number() OVER (PARTITION BY hr ORDER BY round((gauc + ndcg) / 2, 9) DESC, grid) AS k FROM met)
+SELECT hr, CASE WHEN n_rows < (SELECT quantile_cont(n_rows, 0.5) FROM sz) THEN (SELECT grid FROM ov WHERE k = 1) ELSE grid END / 10e0 AS alpha, n_rows FROM own JOIN sz USING (hr) WHERE k = 1""")
+def segment_alphas(spark, d):
+    """Hours with fewer rows than the median hour take the weight of all."""
+    rows = scored(spark, d)
+    middle = rows.groupBy("hr").count().agg(F.ceil(F.percentile("count", F.lit(0.5)))).first()[0]
+    return blend.segment_alphas(rows, "s1", "s2", "hr", 10, int(middle or 0))
+
+
 @query("segment_blend", "SELECT row_id, round(CASE ctx WHEN 'click' THEN 0.2e0 WHEN 'view' THEN 0.7e0 ELSE 0.5e0 END * s1 + (1 - CASE ctx WHEN 'click' THEN 0.2e0 WHEN 'view' THEN 0.7e0 ELSE 0.5e0 END) * s2, 6) AS score FROM log")
 def segment_blend(spark, d):
     alphas = spark.sql("SELECT * FROM VALUES ('click', 0.2D), ('view', 0.7D) AS t(ctx, alpha)")
@@ -75,33 +81,52 @@ SIMPLEX = ", sg AS (SELECT a, b, 5 - a - b AS c FROM range(6) x(a), range(6) y(b
 
 @query("simplex_grid", SIMPLEX + metric_sql("lg", "sc", "a, b, c") + f"SELECT a, b, c, {SHOW} FROM met")
 def simplex_grid(spark, d):
-    from tidemark.operators.metrics import evaluate
+    g = _whole(spark, 5)
+    return shown(blend.weight_search(scored(spark, d), ["s1", "s2", "s3"], g).withColumnsRenamed({"w0": "a", "w1": "b", "w2": "c"}), "a", "b", "c")
+
+
+COARSE = ", sg AS (SELECT a AS w0, b AS w1, 10 - a - b AS w2 FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10), lg AS (SELECT log.*, w0, w1, w2, w0 * s1 + w1 * s2 + w2 * s3 AS sc FROM log, sg)"
+CENTRE = COARSE + metric_sql("lg", "sc", "w0, w1, w2") + ", ce AS (SELECT w0 / 10e0 AS c0, w1 / 10e0 AS c1, w2 / 10e0 AS c2 FROM met ORDER BY round((gauc + ndcg) / 2, 9) DESC, w0 DESC, w1 DESC, w2 DESC LIMIT 1)"
+AROUND = "SELECT round(c0 + a * 0.02e0, 10) AS w0, round(c1 + b * 0.02e0, 10) AS w1, round(c2 - (a + b) * 0.02e0, 10) AS w2 FROM ce, range(-{r}, {r} + 1) x(a), range(-{r}, {r} + 1) y(b) WHERE abs(a + b) <= {r} AND least(round(c0 + a * 0.02e0, 10), round(c1 + b * 0.02e0, 10), round(c2 - (a + b) * 0.02e0, 10)) >= {least}"
+
 
-    g = blend.simplex_grid(spark, 5).select(*[F.round(F.col(f"w{k}") * 5).cast("bigint").alias(n) for k, n in enumerate("abc")])
-    rows = scored(spark, d).join(F.broadcast(g)).withColumn("score", F.col("a") * F.col("s1") + F.col("b") * F.col("s2") + F.col("c") * F.col("s3"))
-    return shown(evaluate(rows, by=["a", "b", "c"]), "a", "b", "c")
+def _whole(spark, steps):
+    """The simplex in whole steps: whole scores tie alike in both engines."""
+    return blend.simplex_grid(spark, steps).select(*[F.round(F.col(f"w{k}") * steps).cast("bigint").alias(f"w{k}") for k in range(3)])
 
 
-@query("local_grid", "SELECT round(0.1e0 + a * 0.02e0, 6) AS w0, round(0.5e0 + b * 0.02e0, 6) AS w1, round(0.4e0 - (a + b) * 0.02e0, 6) AS w2 FROM range(-3, 4) x(a), range(-3, 4) y(b) WHERE abs(a + b) <= 3 AND 0.1e0 + a * 0.02e0 >= 0.05e0", log=False)
+@query("coarse_weight_search", COARSE + metric_sql("lg", "sc", "w0, w1, w2") + f"SELECT w0, w1, w2, {SHOW} FROM met")
+def coarse_weight_search(spark, d):
+    """All 66 points of the 0.1 simplex, in whole tenths."""
+    return shown(blend.weight_search(scored(spark, d), ["s1", "s2", "s3"], _whole(spark, 10)), "w0", "w1", "w2")
+
+
+def _centre(spark, d):
+    """The log's best point of the 0.1 simplex."""
+    found = blend.weight_search(scored(spark, d), ["s1", "s2", "s3"], _whole(spark, 10))
+    top = found.orderBy(F.round("primary_score", 9).desc(), F.desc("w0"), F.desc("w1"), F.desc("w2")).first()
+    return [top[f"w{k}"] / 10 for k in range(3)] if top else [0.1, 0.5, 0.4]
+
+
+@query("local_grid", CENTRE + AROUND.format(r=3, least=0))
 def local_grid(spark, d):
-    return blend.local_grid(spark, [0.1, 0.5, 0.4], 3, 0.02, 0.05).select(r6("w0"), r6("w1"), r6("w2"))
+    """The finer points around the log's best coarse point."""
+    return blend.local_grid(spark, _centre(spark, d), 3, 0.02).select(*[F.round(f"w{k}", 10).alias(f"w{k}") for k in range(3)])
 
 
-@query("refined_grid", """WITH c AS (SELECT round(a / 10e0, 6) AS w0, round(b / 10e0, 6) AS w1, round((10 - a - b) / 10e0, 6) AS w2 FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10),
-l AS (SELECT round(0.1e0 + a * 0.02e0, 6) AS w0, round(0.5e0 + b * 0.02e0, 6) AS w1, round(0.4e0 - (a + b) * 0.02e0, 6) AS w2 FROM range(-5, 5 + 1) x(a), range(-5, 5 + 1) y(b) WHERE abs(a + b) <= 5 AND 0.1e0 + a * 0.02e0 >= 0)
-SELECT * FROM c UNION SELECT * FROM l""", log=False)
+@query("refined_grid", CENTRE + ", co AS (SELECT w0 / 10e0 AS w0, w1 / 10e0 AS w1, w2 / 10e0 AS w2 FROM sg) SELECT * FROM co UNION " + AROUND.format(r=5, least=0))
 def refined_grid(spark, d):
-    return blend.refined_grid(spark, [0.1, 0.5, 0.4]).select(r6("w0"), r6("w1"), r6("w2"))
+    """The coarse simplex and the finer points around the log's best, each once."""
+    return blend.refined_grid(spark, _centre(spark, d))
 
 
-COARSE = ", sg AS (SELECT a AS w0, b AS w1, 10 - a - b AS w2 FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10), lg AS (SELECT log.*, w0, w1, w2, w0 * s1 + w1 * s2 + w2 * s3 AS sc FROM log, sg)"
+FINE = "fi AS (SELECT * FROM (SELECT w0 / 10e0 AS w0, w1 / 10e0 AS w1, w2 / 10e0 AS w2 FROM sg) UNION " + AROUND.format(r=2, least=0) + ")"
 
 
-@query("coarse_weight_search", COARSE + metric_sql("lg", "sc", "w0, w1, w2") + f"SELECT w0, w1, w2, {SHOW} FROM met")
-def coarse_weight_search(spark, d):
-    """All 66 points of the 0.1 simplex, in whole tenths."""
-    grid = blend.simplex_grid(spark, 10).select(*[F.round(F.col(f"w{k}") * 10).cast("bigint").alias(f"w{k}") for k in range(3)])
-    return shown(blend.weight_search(scored(spark, d), ["s1", "s2", "s3"], grid), "w0", "w1", "w2")
+@query("refined_search", CENTRE + f", {FINE}, l2 AS (SELECT log.*, w0, w1, w2, round(w0 * 50) * s1 + round(w1 * 50) * s2 + round(w2 * 50) * s3 AS sc FROM log, fi) SELECT w0, w1, w2, {SHOW} FROM (WITH z AS (SELECT 1)" + metric_sql("l2", "sc", "w0, w1, w2") + "SELECT * FROM met)")
+def refined_search(spark, d):
+    """The whole search, coarse and fine; scores are scaled so that whole fiftieths keep ties."""
+    return shown(blend.refined_search(scored(spark, d), ["s1", "s2", "s3"], radius=2, scale=50), "w0", "w1", "w2")
 
 
 @query("normaliser_switch", "SELECT row_id, round((s3 - min(s3) OVER ()) / (max(s3) OVER () - min(s3) OVER () + 1e-12), 6) AS g, round((s3 - avg(s3) OVER ()) / (stddev_pop(s3) OVER () + 1e-9), 6) AS z FROM log")
