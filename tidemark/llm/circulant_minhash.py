@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, cut
 from tidemark.llm.components import components
 from tidemark.llm.ngram_jaccard import parity, verified
 from tidemark.llm.shingles import mixed, sets, text_batches
@@ -262,6 +262,6 @@ def link(docs: DataFrame) -> DataFrame:
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(of, "cid", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-    out = out.checkpoint()
+    out = cut(out)
     scratch.drop()
     return out

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 #: Spark's setting for deleting an action's shuffle files as it ends.
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the bytes of one Arrow batch, and its value here: a Python worker holds a batch and what it makes of it.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def releasing(spark: SparkSession) -> Iterator[None]:
-    """Actions within delete their shuffle files as they end, not when the driver collects its garbage."""
-    before = spark.conf.get(RELEASE, "false")
+    """Actions within delete their shuffle files as they end, not when the driver collects its garbage, and keep Arrow batches small."""
+    before = {k: spark.conf.get(k, d) for k, d in ((RELEASE, "false"), (BATCH, "64m"))}
     spark.conf.set(RELEASE, "true")
+    spark.conf.set(BATCH, BATCH_BYTES)
     try:
         yield
     finally:
-        spark.conf.set(RELEASE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def gone_on_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends, if nothing deletes it before."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -67,6 +77,7 @@ class Scratch:
         with releasing(self.spark):
             df.select("*").write.parquet(path)
         self.paths.append(path)
+        gone_on_exit(self.spark, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

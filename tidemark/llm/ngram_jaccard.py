@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, cut
 from tidemark.llm.components import components
 from tidemark.llm.shingles import WIDTH, mixed, sets, text_batches
 
@@ -373,7 +373,8 @@ def link(docs: DataFrame) -> DataFrame:
     named = owned.groupBy("label").agg(F.min("least").alias("component_id"))
     of = owned.join(named, "label").select("cid", "label", "component_id")
     out = rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "cid", "th", "len").join(of, "cid", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "th", "len", "label").checkpoint()
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "th", "len", "label")
+    out = cut(out)
     scratch.drop()
     return out
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shared_dir
+from tidemark.llm.common import cut, gone_on_exit, shared_dir
 
 MIN_REVISIT = 1000
 #: Payload bytes of a file at most, unless a single capture is larger.
@@ -213,4 +213,6 @@ def with_referred(captures: DataFrame) -> DataFrame:
 def archive_path(spark: SparkSession) -> str:
     import uuid
 
-    return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    gone_on_exit(spark, path)
+    return path
