@@ -92,7 +92,31 @@ QUERIES = {
     "op13_circulant_minhash": op13_circulant_minhash,
 }
 
+
+
+def components_sql(width: int, percent: int, kept: bool) -> str:
+    """Set sizes and components as DuckDB SQL: every pair of sets that share a shingle, then all that is reachable."""
+    component = "CASE WHEN len(z.s) = 0 THEN z.doc_id ELSE m.component_id END"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+z AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i : i + {width} - 1], ' ')))) END AS s FROM d),
+k AS (SELECT row_number() OVER () AS c, s, len(s) AS n FROM (SELECT DISTINCT s FROM z WHERE len(s) > 0)),
+e AS (SELECT c, n, unnest(s) AS g FROM k),
+p AS (SELECT a.c AS u, b.c AS v FROM e a JOIN e b ON a.g = b.g AND a.c < b.c AND {percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+l AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+t AS (SELECT c AS a, c AS b FROM k UNION SELECT t.a, l.v FROM t JOIN l ON t.b = l.u),
+i AS (SELECT k.c, min(z.doc_id) AS doc_id FROM k JOIN z ON z.s = k.s GROUP BY k.c),
+m AS (SELECT k.s, o.component_id FROM k JOIN (SELECT t.a, min(i.doc_id) AS component_id FROM t JOIN i ON i.c = t.b GROUP BY t.a) o ON o.a = k.c)
+SELECT z.doc_id, CAST(len(z.s) AS BIGINT) AS n_shingles, {component} AS component_id{f", (z.doc_id IS NOT DISTINCT FROM {component}) AS kept" if kept else ""}
+FROM z LEFT JOIN m ON z.s = m.s
+"""
+
+
 ORACLES = {
+    "op2_ngram_jaccard": components_sql(5, 75, False),
+    "op13_circulant_minhash": components_sql(3, 85, True),
     "op12_centroids": centroids.oracle(),
     "op4_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
