@@ -17,7 +17,7 @@ from tidemark.queries import ORACLES, QUERIES
 from tidemark.streaming import running_decay, windowed_rates
 
 SF = "/root/testdata/sf0.001"
-SAMPLED = ["refined_grid", "coarse_weight_search", "normaliser_switch", "category_frame", "calendar_day_history", "six_digit_scores", "submission_duplicates", "second_log_history", "popularity_eval", "decay_tab_rate", "watch_last5_mean", "attention_pool", "vocab_encode", "simplex_grid", "submission_violations", "regime_blend", "rank_transforms"]
+SAMPLED = ["stump_first_split", "lambda_gradients", "multitask_gradient", "multi_negative_gradient", "listwise_gradient", "encoded_features", "undated_history", "long_span_mean", "sampling_weight_cum", "refined_search", "segment_alphas", "refined_grid", "coarse_weight_search", "normaliser_switch", "category_frame", "calendar_day_history", "six_digit_scores", "submission_duplicates", "second_log_history", "popularity_eval", "decay_tab_rate", "watch_last5_mean", "attention_pool", "vocab_encode", "simplex_grid", "submission_violations", "regime_blend", "rank_transforms"]
 
 
 @pytest.mark.parametrize("name", SAMPLED)
@@ -33,7 +33,7 @@ def test_query_equals_duckdb(spark, name):
 
 
 def test_every_query_has_an_oracle_or_is_a_draw_or_a_fit():
-    assert set(QUERIES) - set(ORACLES) == {"content_hash", "pair_sample", "multi_negative_sample", "weighted_user_pick", "hard_negatives", "mode_negatives", "listwise_cap", "fm_train", "isotonic", "stack_logreg", "stack_gbm", "bpr_train"}
+    assert set(QUERIES) - set(ORACLES) == {"content_hash", "pair_sample", "multi_negative_sample", "weighted_user_pick", "hard_negatives", "mode_negatives", "listwise_cap", "fm_train", "isotonic", "stack_logreg", "stack_gbm", "bpr_train", "lambda_stumps", "stump_gain_shares", "aux_fold_scores", "fm_pairs_train", "listwise_train", "hybrid_train", "multitask_train", "attention_pretrained"}
 
 
 def test_csv_log_keeps_file_order(spark, tmp_path):
@@ -182,3 +182,25 @@ def test_refined_search_goes_around_the_best_point(spark):
     assert sorted(round(r["w0"], 6) for r in got) == sorted(want)
     assert all(r["primary_score"] == pytest.approx(coarse[r["w0"]]) for r in got if r["w0"] in coarse)
     assert len(blend.refined_search(log, ["s1", "s2", "s3", "alt"], coarse=2, radius=1, step=0.1).collect()) >= 10
+
+
+def test_encoded_features_of_odd_rows(spark):
+    """Nulls and values outside train are unknown; a set without train rows is unknown throughout."""
+    from tidemark.plans import features
+
+    rows = [(1, 1, "a", 1, 1, 5.0, "train", 1), (2, 1, None, 2, 2, None, "train", 0), (3, 2, "b", 3, 3, 9.0, "valid", 1), (4, 1, "a", 3, 4, 7.0, "valid", 1)]
+    df = spark.createDataFrame(rows, "row_id long, usr long, ctx string, day long, t long, dur double, split string, y long").withColumns({"item": F.lit(1), "alt": F.lit(0)})
+    got = {r["row_id"]: (r["usr_id"], r["ctx_id"], r["dur_id"]) for r in features.encoded(df, ["usr", "ctx"], ["dur"], 2).collect()}
+    # usr: 1 and unknown; ctx: a and unknown; dur: bucket 0 (edge 5), UNK and unknown
+    assert got == {1: (0, 2, 4), 2: (0, 3, 5), 3: (1, 3, 6), 4: (0, 2, 6)}
+    none = features.encoded(df.withColumn("split", F.lit("test")), ["usr"], ["dur"], 2).collect()
+    assert {(r["usr_id"], r["dur_id"]) for r in none} == {(0, 1)}
+
+
+def test_negative_ages_are_errors(spark):
+    from tidemark.functions import age_days
+
+    df = spark.sql("SELECT DATE '2024-01-02' AS a, DATE '2024-01-05' AS b")
+    assert df.select(age_days(F.col("b"), F.col("a")).alias("d")).first()["d"] == 3
+    with pytest.raises(Exception, match="negative age"):
+        df.select(age_days(F.col("a"), F.col("b"))).collect()

@@ -131,3 +131,9 @@ def watch_fraction(play: Column, duration: Column) -> Column:
 def half_life_label(half_life: float) -> str:
     """A half-life in a feature's name: 5 rather than 5.0."""
     return f"{half_life:g}"
+
+
+def age_days(on: Column, since: Column) -> Column:
+    """Whole days from one date to a later one; an age below 0 is an error, null dates give null."""
+    age = F.datediff(on, since).cast("bigint")
+    return F.when(age < 0, F.raise_error(F.lit("a negative age")).cast("bigint")).otherwise(age)

@@ -92,6 +92,35 @@ def encoded(rows: DataFrame, train: DataFrame, cols: list[str], row_id: str = "r
     return out.drop(*[f"_{x}_{c}" for c in cols for x in "ino"])
 
 
+def set_vocabulary(train: DataFrame, cols: list[str], row_id: str = "row_id") -> tuple[DataFrame, dict[str, int]]:
+    """(col, value, id) of all columns in one numbering, and each column's id for what train has not.
+
+    Ids run on from column to column: the values of the first by first sight in train, its
+    unknown slot, the second's, and so on. One aggregate finds the values of every column. Nulls have no
+    id of their own; they count as unknown.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)]))
+    first = cut(train.select(row_id, cells.alias("x")).filter("x.value IS NOT NULL").groupBy("x.c", "x.value").agg(F.min(row_id).alias("_f")))
+    sizes = {r["c"]: r["n"] for r in first.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
+    unknown, end = {}, 0
+    for i, c in enumerate(cols):
+        end += sizes.get(i, 0) + 1
+        unknown[c] = end - 1
+    ids = numbered(first, ["c", "_f", "value"], "id")
+    return ids.select(F.array(*[F.lit(c) for c in cols])[F.col("c")].alias("col"), "value", (F.col("id") + F.col("c")).alias("id")), unknown
+
+
+def encoded_set(rows: DataFrame, train: DataFrame, cols: list[str], row_id: str = "row_id") -> DataFrame:
+    """``rows`` with ``{col}_id`` for each column, by ``set_vocabulary``."""
+    vocab, unknown = set_vocabulary(train, cols, row_id)
+    vocab = cut(vocab)
+    out = rows
+    for c in cols:
+        mine = vocab.filter(F.col("col") == c).select(F.col("value").alias(f"_v_{c}"), F.col("id").alias(f"{c}_id"))
+        out = out.join(mine, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}").withColumn(f"{c}_id", F.coalesce(f"{c}_id", F.lit(unknown[c]).cast("bigint")))
+    return out
+
+
 def sorted_vocabulary(train: DataFrame, col: str) -> DataFrame:
     """(value, id): ids from 2 in value order; 0 pads, 1 is unknown."""
     return numbered(train.select(F.col(col).alias("value")).distinct(), ["value"], "id").withColumn("id", F.col("id") + 2)

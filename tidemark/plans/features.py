@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import smoothed_rate
+from tidemark.functions import bucket_left, smoothed_rate
+from tidemark.operators import encode
+from tidemark.lineage import cut
 from tidemark.operators.history import day_history, momentum
 
 KEYS = {"decay": ["usr"], "ctx": ["usr", "ctx"], "item": ["usr", "item"]}
@@ -60,3 +62,22 @@ def build(log: DataFrame, names: list[str], alpha: float = 0.5) -> DataFrame:
     if any(p[0] == "momentum" for p in wanted.values()):
         out = momentum(out)
     return out.select("row_id", *[F.col(f"`{n}`") for n in names])
+
+
+def encoded(log: DataFrame, categories: list[str], numbers: list[str], n_buckets: int = 10, alpha: float = 0.5, split: str = "split") -> DataFrame:
+    """row_id, split and the global id of each named feature: buckets, vocabularies and offsets of a set in one plan.
+
+    Numbers become buckets by their train quantiles (edges rounded to six digits, so that no engine's last
+    bit decides), all found at once; a null, or a gap without a row before it, is ``UNK``. Buckets and
+    categories then share one numbering, by first sight in train, with an unknown slot after each feature.
+    """
+    names = [*categories, *numbers]
+    rows = cut(build(log, [split, *names], alpha))
+    train = rows.filter(F.col(split) == "train")
+    value = lambda n: F.when(F.col(n) >= 0, F.col(n)) if n == "gap_ms" else F.col(n)
+    found = encode.quantiles(train, {n: value(n) for n in numbers}, n_buckets)
+    code = lambda n: F.coalesce(bucket_left(F.array(*[F.lit(round(e, 6)) for e in found[n]]).cast("array<double>"), value(n).cast("double")).cast("string"), F.lit("UNK"))
+    known = lambda n: F.when(value(n).isNotNull(), code(n)).otherwise("UNK")
+    coded = rows.select("row_id", split, *categories, *[known(n).alias(n) for n in numbers])
+    got = encode.encoded_set(coded, coded.filter(F.col(split) == "train"), names)
+    return got.select("row_id", split, *[f"{n}_id" for n in names])

@@ -105,3 +105,29 @@ def rate_interactions(spark, d):
     h = history.day_history(event_log(spark, d), ["usr"], {"p": F.col("y"), "a": F.col("alt"), "n": F.lit(1)})
     r, q = smoothed_rate(F.col("p"), F.col("n")), smoothed_rate(F.col("a"), F.col("n"))
     return h.select("row_id", r6(r * q, "product"), r6(r / (q + 0.01), "ratio"), r6(r - q, "difference"), r6(r / (F.col("dur") + 1), "per_duration"), r6(r * F.log1p("n"), "by_activity"))
+
+
+_COLS = [("usr", "CAST(usr AS VARCHAR)"), ("ctx", "ctx"), ("last1", "CAST(last1 AS VARCHAR)")]
+_NUMBERS = ["dur", "activity", "gap_ms"]
+_EDGES = ", ".join(f"list_transform(quantile_cont({v}, [{', '.join(f'{i / 5}e0' for i in range(1, 5))}]), lambda e: round(e, 6)) AS e_{n}" for n, v in (("dur", "dur"), ("activity", "activity"), ("gap_ms", "CASE WHEN gap_ms >= 0 THEN gap_ms END")))
+_CODES = ", ".join(f"CASE WHEN {n} IS NULL OR {n} < 0 THEN 'UNK' ELSE CAST(len(list_filter(e_{n}, lambda e: e < {n})) AS VARCHAR) END AS {n}" for n in _NUMBERS)
+_ALL = [n for n, _ in _COLS] + _NUMBERS
+ENCODED = (
+    """, h AS (SELECT a.row_id, count(b.row_id) AS activity FROM log a LEFT JOIN log b ON a.usr = b.usr AND b.day < a.day GROUP BY a.row_id),
+f AS (SELECT row_id, split, usr, ctx, dur, activity, coalesce(lag(y) OVER w, -1) AS last1, coalesce(t - lag(t) OVER w, -1) AS gap_ms FROM log JOIN h USING (row_id) WINDOW w AS (PARTITION BY usr ORDER BY t, row_id)),
+"""
+    + f"ed AS (SELECT {_EDGES} FROM f WHERE split = 'train'),\n"
+    + f"c AS (SELECT row_id, split, {', '.join(f'{v} AS {n}' for n, v in _COLS)}, {_CODES} FROM f, ed),\n"
+    + "u AS (" + " UNION ALL ".join(f"SELECT {i} AS k, row_id, {n} AS value FROM c WHERE split = 'train'" for i, n in enumerate(_ALL)) + "),\n"
+    + "v AS (SELECT k, value, row_number() OVER (ORDER BY k, min(row_id), value) - 1 + k AS id FROM u GROUP BY k, value),\n"
+    + "z AS (SELECT k, max(id) + 1 AS id FROM v GROUP BY k)\nSELECT c.row_id, c.split, "
+    + ", ".join(f"CAST(coalesce((SELECT id FROM v WHERE k = {i} AND v.value = c.{n}), (SELECT id FROM z WHERE k = {i})) AS BIGINT) AS {n}_id" for i, n in enumerate(_ALL))
+    + " FROM c"
+)
+
+
+@query("encoded_features", ENCODED)
+def encoded_features(spark, d):
+    from tidemark.plans import features
+
+    return features.encoded(event_log(spark, d), [n for n, _ in _COLS], _NUMBERS, 5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import date_ordinal, or_missing, orientation, primary_token, six_digits
+from tidemark.functions.scalar import age_days as age_of
 from tidemark.operators import audit
 from tidemark.queries.base import query, r6, scored
 from tidemark.sources import content_hash, event_log, submission_rows, table, todo, violations, with_split
@@ -162,7 +163,7 @@ def alignment_check(spark, d):
 def age_days(spark, d):
     upload = F.date_sub(F.lit("2024-01-01").cast("date"), F.col("item").cast("int"))
     on = F.date_add(F.lit("2024-01-01").cast("date"), F.col("day").cast("int"))
-    return event_log(spark, d).select("row_id", F.datediff(on, upload).cast("bigint").alias("age"))
+    return event_log(spark, d).select("row_id", age_of(on, upload).alias("age"))
 
 
 @query("orientation", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'landscape' WHEN p_size < 25 THEN 'portrait' ELSE 'square' END AS orientation, round(p_size / 25e0, 6) AS aspect FROM part", log=False)
