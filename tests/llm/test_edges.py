@@ -47,3 +47,55 @@ def test_chat_turns_that_tie(spark):
     assert (got[1]["n_turns"], got[1]["loss_chars"], got[2]["n_turns"]) == (5, 1, 2)
     again = {r["conv_id"]: r for r in chat_format.digest(chat_format.format_chats(df.repartition(5, "text"))).collect()}
     assert {k: tuple(v) for k, v in again.items()} == {k: tuple(v) for k, v in got.items()}
+
+
+def test_toxicity_against_plain_python(spark):
+    """The whole score again without Spark: sampling, mining, dealing, the choice, the label model and the classifier."""
+    import math
+    import zlib
+
+    import numpy as np
+    from tidemark.llm import toxicity as tx
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r["doc_id"]: r for r in tx.score(docs, labels).collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in text}
+    assert {i: r["held_out"] for i, r in got.items()} == out and len(got) == len(text)
+    known = [(text[r["doc_id"]], r["toxic"]) for r in labels.collect() if r["doc_id"] in text and not out[r["doc_id"]] and r["toxic"] in (0, 1)]
+    side = {r["text"]: r["h"] for r in docs.select("text", (F.pmod(F.xxhash64("text"), F.lit(tx.INNER)) == 0).alias("h")).collect()}
+
+    def mined(rows):
+        n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+        a, b = Counter(), Counter()
+        for t, y in rows:
+            (a if y else b).update(tx._features(t))
+        tables = [{} for _ in tx.KINDS]
+        for (k, e), n in a.items():
+            o = math.log((n + 0.5) / (n1 + 1)) - math.log((b[k, e] + 0.5) / (n0 + 1))
+            if n >= tx.MIN_SUPPORT and o >= tx.MIN_LOG_ODDS:
+                tables[k][e] = (o, n / n1)
+        assert max(map(len, tables)) <= tx.MAX_ENTRIES
+        return tables
+
+    def learnt(tables, rows, choice):
+        voters = tx.Voters(tx.dealt(tables, *choice))
+        x = np.array([voters.graded(t) for t, _ in rows])
+        return voters, tx._logistic(x, tx.LabelModel(tx.Voters.votes(x)).posterior)
+
+    def scored(model, t):
+        voters, w = model
+        return 1 / (1 + math.exp(-max(-30, min(30, float(voters.graded(t) @ w[:-1] + w[-1])))))
+
+    rest, judge = [r for r in known if not side[r[0]]], [r for r in known if side[r[0]]]
+    inner = mined(rest)
+    loss = {}
+    for choice in [(s, n) for s in tx.SHARES for n in tx.LONGEST]:
+        model = learnt(inner, rest, choice)
+        p = [min(max(scored(model, t), 1e-6), 1 - 1e-6) for t, _ in judge]
+        loss[choice] = -sum(math.log(q if y else 1 - q) for q, (_, y) in zip(p, judge, strict=True)) / len(judge)
+    final = learnt(mined(known), known, min(loss, key=lambda c: round(loss[c], 5)))
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(scored(final, text[i]), abs=1e-3), i
+        assert r["predicted"] == int(r["score"] >= 0.3)

@@ -15,7 +15,8 @@
    model's posterior labels and scores every whole text.
 
 Learning uses at most MAX_LABELLED labelled rows, chosen by hash of their id,
-which are read once; scoring reads all. A score depends on the text alone.
+which are read once; what makes an entry strong and the longest beginning are chosen
+on a third of them that the rest was learnt without. Scoring reads all. A score depends on the text alone.
 
 Defined cases: a null or empty text has no votes and gets the score of a clean
 text; a null doc_id is carried through; repeated rows get equal scores, and an id
@@ -46,9 +47,12 @@ MIN_SUPPORT = 4
 MIN_LOG_ODDS = 4.0
 BEGINNINGS = (4, 5, 6, 7, 8)
 KINDS = ("word", *(f"p{n}" for n in BEGINNINGS))
-#: Lexicons of entries that so large a share of toxic texts hold, and of others.
+#: Lexicons of entries that a large share of toxic texts hold, and of others.
 STRONG, WEAK = 16, 8
-STRONG_SHARE = 0.02
+#: The share that makes an entry strong, and the longest beginnings: what is tried on a part of the learnable rows.
+STRONG_SHARE, SHARES, LONGEST = 0.02, (0.01, 0.02, 0.05), (6, 8)
+#: One part in so many of the learnable rows judges the choices.
+INNER = 3
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
@@ -77,7 +81,7 @@ def _features(text: str) -> set[tuple[int, str]]:
 
 
 def mine(sample: DataFrame) -> list[dict[str, tuple[float, bool]]]:
-    """A table a kind, entry -> (log odds, whether it is strong); ``sample`` has text and toxic."""
+    """A table a kind, entry -> (log odds, share of the toxic texts that hold it); ``sample`` has text and toxic."""
 
     def rows(batches):
         for b, texts in text_batches(batches):
@@ -97,18 +101,19 @@ def mine(sample: DataFrame) -> list[dict[str, tuple[float, bool]]]:
     out: list[dict[str, tuple[float, bool]]] = [{} for _ in KINDS]
     # MAX_ENTRIES a kind
     for r in strong.withColumn("place", place).filter(F.col("place") <= MAX_ENTRIES).orderBy("kind", "place").collect():
-        out[r["kind"]][r["entry"]] = (r["o"], r["a"] >= STRONG_SHARE * n1)
+        out[r["kind"]][r["entry"]] = (r["o"], r["a"] / n1)
     return out
 
 
-def dealt(mined: list[dict[str, tuple[float, bool]]]) -> list[dict[str, tuple[float, bool]]]:
+def dealt(mined: list[dict[str, tuple[float, float]]], share: float = STRONG_SHARE, longest: int = BEGINNINGS[-1]) -> list[dict[str, tuple[float, bool]]]:
     """STRONG + WEAK lexicons, entry -> (log odds, whether it is a whole word), those of one stem in one."""
     out: list[dict[str, tuple[float, bool]]] = [{} for _ in range(STRONG + WEAK)]
-    for k in (*range(1, len(KINDS)), 0):
-        for e, (o, strong) in mined[k].items():
-            if not any(e[:n] in mined[j] for j, n in enumerate(BEGINNINGS, 1) if (n < len(e) if k else n <= len(e))):
+    used = [(j, n) for j, n in enumerate(BEGINNINGS, 1) if n <= longest]
+    for k in (*(j for j, _ in used), 0):
+        for e, (o, held) in mined[k].items():
+            if not any(e[:n] in mined[j] for j, n in used if (n < len(e) if k else n <= len(e))):
                 h = zlib.crc32(e[: BEGINNINGS[0]].encode())
-                out[h % STRONG if strong else STRONG + h % WEAK][e] = (o, k == 0)
+                out[h % STRONG if held >= share else STRONG + h % WEAK][e] = (o, k == 0)
     return out
 
 
@@ -260,10 +265,42 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("text", "toxic")
 
 
+def chosen(sample: DataFrame) -> tuple[float, int]:
+    """The share and the longest beginning with the least log loss on a part of the learnable rows that the rest was learnt without.
+
+    Rows of one text fall in one part. Rows that are held out play no part, so their
+    labels shape nothing.
+    """
+    inner = F.pmod(F.xxhash64("text"), F.lit(INNER))
+    mined = mine(sample.filter(inner != 0))
+    choices = [(share, longest) for share in SHARES for longest in LONGEST]
+    lexicons = [dealt(mined, *c) for c in choices]
+
+    def rows(batches):
+        voters = [Voters(x) for x in lexicons]
+        for b, texts in text_batches(batches):
+            x = [np.concatenate([v.graded(t) for v in voters]).astype(np.float32).tobytes() for t in (t.decode("utf-8", "replace") for t in texts)]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("judge"), pa.array(x, pa.binary())], ["toxic", "judge", "x"])
+
+    # MAX_LABELLED rows at most
+    got = sample.select("text", "toxic", (inner == 0).alias("judge")).mapInArrow(rows, "toxic int, judge boolean, x binary").toPandas()
+    judge, y = got["judge"].to_numpy(dtype=bool), got["toxic"].to_numpy()
+    if not judge.any() or len({*y[judge]}) < 2 or len({*y[~judge]}) < 2:
+        return STRONG_SHARE, BEGINNINGS[-1]
+    every = np.frombuffer(b"".join(got["x"]), dtype=np.float32).reshape(len(got), len(choices), -1).astype(np.float64)
+    losses = []
+    for k in range(len(choices)):
+        x = every[:, k]
+        w = _logistic(x[~judge], LabelModel(Voters.votes(x[~judge])).posterior)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x[judge] @ w[:-1] + w[-1], -30, 30))), 1e-6, 1 - 1e-6)
+        losses.append(round(float(-np.mean(np.where(y[judge] == 1, np.log(p), np.log(1 - p)))), 6))
+    return choices[int(np.argmin(losses))]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[dict[str, tuple[float, bool]]], np.ndarray, LabelModel | None]:
     """Lexicons, classifier weights and label model from rows that are not held out."""
     sample = cut(labelled(docs, labels))
-    lexicons = dealt(mine(sample))
+    lexicons = dealt(mine(sample), *chosen(sample))
     graded = sample.select("text").mapInArrow(_grader(lexicons, []), "x array<double>").toPandas()
     if not len(graded):
         return lexicons, np.zeros(0), None
