@@ -97,6 +97,7 @@ def _shared_prefixes(rng, n):
 def test_ngram_short_texts_with_shared_prefixes(spark, monkeypatch, hot, flat):
     """Links within hot lists, within groups, and with the shingle order by hash alone, against brute force."""
     monkeypatch.setattr(ngram_jaccard, "HOT", hot)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 2 * hot)  # lists that stay hot are cut into several blocks
     if flat:
         monkeypatch.setattr(ngram_jaccard, "_levels", lambda total: np.zeros(len(total), dtype=np.uint8))
     rows = _shared_prefixes(random.Random(hot), 260)

@@ -49,6 +49,8 @@ SKETCH_BITS = 20
 SKETCH_ROW = 1 << 14
 #: Longer lists are dealt out again by a second shingle before they are paired.
 HOT = 128
+#: Groups of one block of a list that is hot still; every two blocks meet in a key of their own.
+BLOCK = 512
 #: More texts than this are fetched by a shuffle instead of a broadcast of their keys.
 BROADCAST_KEYS = 250_000
 
@@ -307,6 +309,23 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int =
     return both.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary, ok boolean").filter("ok").select("u", "v")
 
 
+def _two(rows: DataFrame, key: str, name: str, more: tuple[str, ...], long: bool) -> DataFrame:
+    """Every two rows of a key with different names, once, as ``a_`` and ``b_`` columns.
+
+    Where keys may be long, their rows are dealt to blocks of about BLOCK, and every two
+    blocks of a key meet in a key of their own.
+    """
+    cols, keys, once = (name, *more), [key], F.col(f"a_{name}") < F.col(f"b_{name}")
+    a, b = (rows.select(key, *[F.col(c).alias(f"{x}_{c}") for c in cols]) for x in "ab")
+    if long:
+        sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+        block = lambda x: F.pmod(F.xxhash64(f"{x}_{name}"), F.col("_blocks")).cast("int")
+        a = a.join(sizes, key).withColumn("_i", block("a")).withColumn("_j", F.explode(F.sequence("_i", F.col("_blocks") - 1))).drop("_blocks")
+        b = b.join(sizes, key).withColumn("_j", block("b")).withColumn("_i", F.explode(F.sequence(F.lit(0), "_j"))).drop("_blocks")
+        keys, once = [key, "_i", "_j"], (F.col("_i") < F.col("_j")) | once
+    return a.join(b, keys).filter(once & (F.col(f"a_{name}") != F.col(f"b_{name}")))
+
+
 def _others(scratch: Scratch, lists: DataFrame, groups: DataFrame, members: DataFrame, docs: DataFrame, shared) -> DataFrame:
     """Pairs (u, v) of classes of different components that share a prefix shingle and pass the filters."""
     kinds = members.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"))
@@ -316,27 +335,27 @@ def _others(scratch: Scratch, lists: DataFrame, groups: DataFrame, members: Data
     mixed_lists = counts.filter("m > 1 AND (x <> y OR one < m)").select("token", "m")
     named = scratch.save(named.join(mixed_lists, "token"))
 
-    def paired(rows: DataFrame) -> DataFrame:
-        a, b = (rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("g", "n", "pos", "label")]) for x in "ab")
+    def paired(rows: DataFrame, long: bool = False) -> DataFrame:
+        met = _two(rows, "token", "g", ("n", "pos", "label"), long)
         differ = F.coalesce(F.col("a_label") != F.col("b_label"), F.lit(True))
-        return a.join(b, "token").filter((F.col("a_g") < F.col("b_g")) & differ & _may("a_", "b_")).select(F.col("a_g").alias("x"), F.col("b_g").alias("y"))
+        return met.filter(differ & _may("a_", "b_")).select(F.least("a_g", "b_g").alias("x"), F.greatest("a_g", "b_g").alias("y"))
 
     met = paired(named.filter(F.col("m") <= HOT))
     hot = named.filter(F.col("m") > HOT)
     if hot.limit(1).count():
-        met = met.unionByName(paired(_by_second(hot.select("token", "g"), groups).join(own, "g")))
+        met = met.unionByName(paired(scratch.save(_by_second(hot.select("token", "g"), groups).join(own, "g")), True))
     met = met.distinct()
     of = lambda g, c: members.select(F.col("g").alias(g), F.col("cid").alias(c), F.col("label").alias(f"{c}_label"))
     between = met.join(of("x", "u"), "x").join(of("y", "v"), "y").filter("u_label <> v_label").select("u", "v")
 
     # classes of one group with several components
     several = members.join(members.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g", "k"), "g")
-    halves = [several.filter(F.col("k") <= HOT).select(F.col("g").alias("key"), "cid", "label")]
+    halves = [(several.filter(F.col("k") <= HOT).select(F.col("g").alias("key"), "cid", "label"), False)]
     if several.filter(F.col("k") > HOT).limit(1).count():
-        halves.append(_by_tail(several.filter(F.col("k") > HOT), docs, shared))
-    for rows in halves:
-        a, b = (rows.select("key", F.col("cid").alias(c), F.col("label").alias(f"{c}_label")) for c in "uv")
-        between = between.unionByName(a.join(b, "key").filter("u < v AND u_label <> v_label").select("u", "v"))
+        halves.append((scratch.save(_by_tail(several.filter(F.col("k") > HOT), docs, shared)), True))
+    for rows, long in halves:
+        both = _two(rows, "key", "cid", ("label",), long).filter("a_label <> b_label")
+        between = between.unionByName(both.select(F.col("a_cid").alias("u"), F.col("b_cid").alias("v")))
     return between.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
