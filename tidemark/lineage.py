@@ -119,12 +119,14 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.withColumn(name, F.array(*[F.lit(x).cast("bigint") for x in starts])[F.col("_p")] + within("_p")).drop("_p")
 
 
-def spread_numbers(df: DataFrame, keys: list[str], by: Column, name: str, parts: int = 64) -> DataFrame:
+def spread_numbers(df: DataFrame, keys: list[str], by: Column, name: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``name``, a number from 0 within its keys, and ``n``, the rows of the keys.
 
     A key's rows are numbered in ``parts`` parts by a hash of ``by`` (which must
-    identify a row) and offset, so a key of a third of all rows is no single task.
+    identify a row) and offset, so a key of a third of all rows is no single task. Without
+    ``parts`` there are as many as keep one below about a million rows, from one count.
     """
+    parts = parts or max(8, -(-df.count() // 1_000_000))
     rows = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).withColumn("_by", by)
     within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_by")) - 1
     sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))

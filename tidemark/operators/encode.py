@@ -72,16 +72,19 @@ def with_buckets(rows: DataFrame, train: DataFrame, col: str, n: int, name: str
 
 
 def vocabulary(train: DataFrame, col: str, row_id: str = "row_id") -> DataFrame:
-    """(value, id): ids from 0 in order of first sight in train.
+    """(value, id): ids from 0 in order of first sight in train; nulls have none.
 
     Distinct values are numbered after a partial aggregation, by ranges.
     """
-    first = train.groupBy(F.col(col).alias("value")).agg(F.min(row_id).alias("_f"))
+    first = train.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.min(row_id).alias("_f"))
     return numbered(first, ["_f"], "id").select("value", "id")
 
 
 def encoded(rows: DataFrame, train: DataFrame, cols: list[str], row_id: str = "row_id") -> DataFrame:
-    """Global ids of each column: first-seen vocabulary, one unknown slot at its end, offsets in column order."""
+    """Global ids of each column: first-seen vocabulary, one unknown slot at its end, offsets in column order.
+
+    Nulls, as values that train has not, get the unknown slot. Numbering counts rows when this is called.
+    """
     out, offset = rows, F.lit(0).cast("bigint")
     for c in cols:
         v = vocabulary(train, c, row_id)

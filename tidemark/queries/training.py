@@ -172,6 +172,11 @@ def fm_pairs_train(spark, d):
     return _scores(spark, d, lambda train: fm.pairwise(fm.drawn_pairs("fm", weights=fm.decayed_weights(train))), 4)
 
 
+@query("fm_pointwise_train")
+def fm_pointwise_train(spark, d):
+    return _scores(spark, d, lambda train: fm.pointwise(), 5)
+
+
 @query("listwise_train")
 def listwise_train(spark, d):
     return _scores(spark, d, lambda train: fm.listwise(cap=50), 4)
