@@ -38,6 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shingles import mixed
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 11
@@ -54,14 +56,7 @@ BLOCK_SYMBOLS = 1 << 19
 #: Rounds of merges in long stretches before the rest goes through a queue.
 ROUNDS = 500
 DEAD = np.iinfo(np.int64).max
-M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A well-mixed 64-bit hash of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * M2
-    x = (x ^ (x >> np.uint64(27))) * M3
-    return x ^ (x >> np.uint64(31))
+M1 = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Model:
