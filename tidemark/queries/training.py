@@ -65,13 +65,13 @@ def stump_gain_shares(spark, d):
     return spark.createDataFrame(sorted(model.shares().items()), "feature string, share double")
 
 
-#: Second labels of a row, each 0 or 1.
-AUX = {"alt": F.col("alt"), "clicked": (F.col("ctx") == "click").cast("bigint"), "long_play": (F.col("play") >= 75).cast("bigint"), "short_play": (F.col("play") < 10).cast("bigint"), "late": (F.col("hr") >= 18).cast("bigint")}
+#: Second labels of a row, as conditions.
+AUX = {"alt": "alt = 1", "clicked": "ctx = 'click'", "long_play": "play >= 75", "short_play": "play < 10", "late": "hr >= 18"}
 
 
 @query("aux_fold_scores")
 def aux_fold_scores(spark, d):
-    rows = features.build(scored(spark, d), ["usr", "y", "split", "alt", "ctx", "play", "hr", "s3", *HISTORY]).withColumns({f"l_{k}": v for k, v in AUX.items()})
+    rows = features.build(scored(spark, d), ["usr", "y", "split", "alt", "ctx", "play", "hr", "s3", *HISTORY]).withColumns({f"l_{k}": F.expr(v).cast("bigint") for k, v in AUX.items()})
     rows = rows.withColumn("fold", F.when(F.col("split") == "train", blend.user_folds(F.col("row_id"), 5)))
     models = boosting.fit_folds(rows.filter("split = 'train'"), [f"l_{k}" for k in AUX], [*HISTORY, "s3"], rounds=5)
     return boosting.fold_scores(rows, models).select("row_id", "split", "fold", *[f"aux_l_{k}" for k in AUX])
