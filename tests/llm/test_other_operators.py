@@ -348,5 +348,5 @@ def test_every_query_is_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
     assert "pipeline" in names and set(queries.ORACLES) <= set(names)
