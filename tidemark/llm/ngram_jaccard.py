@@ -19,7 +19,8 @@ first, by a count sketch of fixed size over all documents. Then
    common shingle is that list's must share a second one in prefixes longer by
    one, so its groups are dealt out again by pairs of shingles; a group of more
    than HOT classes is dealt out by its shingles behind the prefix in the
-   same way.
+   same way. Keys whose rows are all of one component are left out, and keys
+   that still have more than BLOCK rows are paired block by block.
 
 Pairs within a component are never emitted, so a group of near copies does not
 cost the square of its size, and no link between different components is lost.
@@ -309,21 +310,35 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int =
     return both.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary, ok boolean").filter("ok").select("u", "v")
 
 
+def _unsettled(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of keys that can make a pair, with their number ``m``: two rows at least, not all of one component (a null label stands for several)."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("label").alias("one"))
+    return rows.join(counts.filter("m > 1 AND (x <> y OR one < m)").select(key, "m"), key)
+
+
 def _two(rows: DataFrame, key: str, name: str, more: tuple[str, ...], long: bool) -> DataFrame:
     """Every two rows of a key with different names, once, as ``a_`` and ``b_`` columns.
 
-    Where keys may be long, their rows are dealt to blocks of about BLOCK, and every two
-    blocks of a key meet in a key of their own.
+    Where keys are long (``m`` rows), their rows are dealt to blocks of about BLOCK, and
+    every two blocks of a key meet in a key of their own.
     """
     cols, keys, once = (name, *more), [key], F.col(f"a_{name}") < F.col(f"b_{name}")
-    a, b = (rows.select(key, *[F.col(c).alias(f"{x}_{c}") for c in cols]) for x in "ab")
+    a, b = (rows.select(key, "m", *[F.col(c).alias(f"{x}_{c}") for c in cols]) for x in "ab")
     if long:
-        sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
-        block = lambda x: F.pmod(F.xxhash64(f"{x}_{name}"), F.col("_blocks")).cast("int")
-        a = a.join(sizes, key).withColumn("_i", block("a")).withColumn("_j", F.explode(F.sequence("_i", F.col("_blocks") - 1))).drop("_blocks")
-        b = b.join(sizes, key).withColumn("_j", block("b")).withColumn("_i", F.explode(F.sequence(F.lit(0), "_j"))).drop("_blocks")
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        block = lambda x: F.pmod(F.xxhash64(f"{x}_{name}"), blocks).cast("int")
+        a = a.withColumn("_i", block("a")).withColumn("_j", F.explode(F.sequence("_i", blocks - 1)))
+        b = b.withColumn("_j", block("b")).withColumn("_i", F.explode(F.sequence(F.lit(0), "_j")))
         keys, once = [key, "_i", "_j"], (F.col("_i") < F.col("_j")) | once
-    return a.join(b, keys).filter(once & (F.col(f"a_{name}") != F.col(f"b_{name}")))
+    return a.drop("m").join(b.drop("m"), keys).filter(once & (F.col(f"a_{name}") != F.col(f"b_{name}")))
+
+
+def _met(scratch: Scratch, rows: DataFrame, key: str, name: str, more: tuple[str, ...]) -> DataFrame:
+    """Every two rows of an unsettled key; only keys of more than BLOCK rows are cut into blocks."""
+    rows = scratch.save(_unsettled(rows, key))
+    short = _two(rows.filter(F.col("m") <= BLOCK), key, name, more, False)
+    long = rows.filter(F.col("m") > BLOCK)
+    return short.unionByName(_two(long, key, name, more, True).select(*short.columns)) if long.limit(1).count() else short
 
 
 def _others(scratch: Scratch, lists: DataFrame, groups: DataFrame, members: DataFrame, docs: DataFrame, shared) -> DataFrame:
@@ -331,31 +346,26 @@ def _others(scratch: Scratch, lists: DataFrame, groups: DataFrame, members: Data
     kinds = members.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     own = kinds.select("g", F.when(F.col("x") == F.col("y"), F.col("x")).alias("label"))
     named = lists.select("token", "g", "n", "pos").join(own, "g")
-    counts = named.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("label").alias("one"))
-    mixed_lists = counts.filter("m > 1 AND (x <> y OR one < m)").select("token", "m")
-    named = scratch.save(named.join(mixed_lists, "token"))
-
-    def paired(rows: DataFrame, long: bool = False) -> DataFrame:
-        met = _two(rows, "token", "g", ("n", "pos", "label"), long)
-        differ = F.coalesce(F.col("a_label") != F.col("b_label"), F.lit(True))
-        return met.filter(differ & _may("a_", "b_")).select(F.least("a_g", "b_g").alias("x"), F.greatest("a_g", "b_g").alias("y"))
-
-    met = paired(named.filter(F.col("m") <= HOT))
+    named = scratch.save(_unsettled(named, "token"))
+    parts = [_two(named.filter(F.col("m") <= HOT), "token", "g", ("n", "pos", "label"), False)]
     hot = named.filter(F.col("m") > HOT)
     if hot.limit(1).count():
-        met = met.unionByName(paired(scratch.save(_by_second(hot.select("token", "g"), groups).join(own, "g")), True))
-    met = met.distinct()
+        second = scratch.save(_by_second(hot.select("token", "g"), groups).join(own, "g"))
+        parts.append(_met(scratch, second, "token", "g", ("n", "pos", "label")))
+    differ = F.coalesce(F.col("a_label") != F.col("b_label"), F.lit(True))
+    parts = [x.filter(differ & _may("a_", "b_")).select(F.least("a_g", "b_g").alias("x"), F.greatest("a_g", "b_g").alias("y")) for x in parts]
+    met = (parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]).distinct()
     of = lambda g, c: members.select(F.col("g").alias(g), F.col("cid").alias(c), F.col("label").alias(f"{c}_label"))
     between = met.join(of("x", "u"), "x").join(of("y", "v"), "y").filter("u_label <> v_label").select("u", "v")
 
     # classes of one group with several components
-    several = members.join(members.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g", "k"), "g")
-    halves = [(several.filter(F.col("k") <= HOT).select(F.col("g").alias("key"), "cid", "label"), False)]
-    if several.filter(F.col("k") > HOT).limit(1).count():
-        halves.append((scratch.save(_by_tail(several.filter(F.col("k") > HOT), docs, shared)), True))
-    for rows, long in halves:
-        both = _two(rows, "key", "cid", ("label",), long).filter("a_label <> b_label")
-        between = between.unionByName(both.select(F.col("a_cid").alias("u"), F.col("b_cid").alias("v")))
+    several = _unsettled(members.select(F.col("g").alias("key"), "g", "cid", "th", "len", "label"), "key")
+    halves = [_two(several.filter(F.col("m") <= HOT), "key", "cid", ("label",), False)]
+    big = several.filter(F.col("m") > HOT)
+    if big.limit(1).count():
+        halves.append(_met(scratch, scratch.save(_by_tail(big, docs, shared)), "key", "cid", ("label",)))
+    for both in halves:
+        between = between.unionByName(both.filter("a_label <> b_label").select(F.col("a_cid").alias("u"), F.col("b_cid").alias("v")))
     return between.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
