@@ -251,7 +251,7 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _by_second(hot: DataFrame, groups: DataFrame) -> DataFrame:
-    """Postings (key, g, n, pos) of hot lists (token, g) by the listed shingle and each later one of the longer prefix."""
+    """Postings (key, g, n, pos, label) of hot lists (token, g, label) by the listed shingle and each later one of the longer prefix."""
 
     def rows(batches):
         for b in batches:
@@ -266,9 +266,9 @@ def _by_second(hot: DataFrame, groups: DataFrame) -> DataFrame:
             for a in range(0, len(of), 500_000):
                 part = of[a : a + 500_000]
                 key = np.concatenate(keys)[a : a + 500_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("g").take(pa.array(part)), b.column("n").take(pa.array(part)), pa.array(np.array(places, dtype=np.int32)[part])], ["token", "g", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("g").take(pa.array(part)), b.column("n").take(pa.array(part)), pa.array(np.array(places, dtype=np.int32)[part]), b.column("label").take(pa.array(part))], ["token", "g", "n", "pos", "label"])
 
-    return hot.join(groups.select("g", "n", "prefix"), "g").select("token", "g", "n", "prefix").mapInArrow(rows, "token bigint, g bigint, n int, pos int")
+    return hot.join(groups.select("g", "n", "prefix"), "g").select("token", "g", "n", "prefix", "label").mapInArrow(rows, "token bigint, g bigint, n int, pos int, label binary")
 
 
 def _by_tail(members: DataFrame, docs: DataFrame, shared) -> DataFrame:
@@ -350,7 +350,7 @@ def _others(scratch: Scratch, lists: DataFrame, groups: DataFrame, members: Data
     parts = [_two(named.filter(F.col("m") <= HOT), "token", "g", ("n", "pos", "label"), False)]
     hot = named.filter(F.col("m") > HOT)
     if hot.limit(1).count():
-        second = scratch.save(_by_second(hot.select("token", "g"), groups).join(own, "g"))
+        second = scratch.save(_by_second(hot.select("token", "g", "label"), groups))
         parts.append(_met(scratch, second, "token", "g", ("n", "pos", "label")))
     differ = F.coalesce(F.col("a_label") != F.col("b_label"), F.lit(True))
     parts = [x.filter(differ & _may("a_", "b_")).select(F.least("a_g", "b_g").alias("x"), F.greatest("a_g", "b_g").alias("y")) for x in parts]
