@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.lineage import shared_root
+from tidemark.lineage import cut, shared_root
 from tidemark.operators import audit, blend, models, sampling
 from tidemark.plans import features
 from tidemark.queries.base import query, r6, scored
@@ -111,7 +111,7 @@ def _features(spark, d):
 
 @query("fm_train")
 def fm_train(spark, d):
-    rows = _features(spark, d)
+    rows = cut(_features(spark, d))
     model = models.train_fm(rows.filter("split = 'train'"), ["prior_rate", "decay_rate_3", "item_rate_5", "lastk_sum"])
     from pyspark.ml.functions import vector_to_array
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.lineage import cut
 from tidemark.operators import blend, boosting, sampling, sequence
 from tidemark.operators import factorization as fm
 from tidemark.plans import features
@@ -49,7 +50,7 @@ HISTORY = ["prior_rate", "decay_rate_3", "item_rate_5", "lastk_sum"]
 
 
 def _ranker(spark, d):
-    rows = features.build(scored(spark, d), ["usr", "y", "split", "hr", "dur", *HISTORY])
+    rows = cut(features.build(scored(spark, d), ["usr", "y", "split", "hr", "dur", *HISTORY]))
     return rows, boosting.fit_ranker(rows.filter("split = 'train'"), rows.filter("split = 'valid'"), [*HISTORY, "hr", "dur"], rounds=8, patience=4)
 
 
@@ -72,7 +73,7 @@ AUX = {"alt": "alt = 1", "clicked": "ctx = 'click'", "long_play": "play >= 75",
 @query("aux_fold_scores")
 def aux_fold_scores(spark, d):
     rows = features.build(scored(spark, d), ["usr", "y", "split", "alt", "ctx", "play", "hr", "s3", *HISTORY]).withColumns({f"l_{k}": F.expr(v).cast("bigint") for k, v in AUX.items()})
-    rows = rows.withColumn("fold", F.when(F.col("split") == "train", blend.user_folds(F.col("row_id"), 5)))
+    rows = cut(rows.withColumn("fold", F.when(F.col("split") == "train", blend.user_folds(F.col("row_id"), 5))))
     models = boosting.fit_folds(rows.filter("split = 'train'"), [f"l_{k}" for k in AUX], [*HISTORY, "s3"], rounds=5)
     return boosting.fold_scores(rows, models).select("row_id", "split", "fold", *[f"aux_l_{k}" for k in AUX])
 
@@ -161,7 +162,7 @@ def multitask_gradient(spark, d):
 
 def _scores(spark, d, loss, epochs):
     """Scores of later rows by a machine on user, item, context and last label, stopped early on the validation split."""
-    rows = features.build(event_log(spark, d), ["usr", "item", "ctx", "day", "y", "alt", "split", "last1"])
+    rows = cut(features.build(event_log(spark, d), ["usr", "item", "ctx", "day", "y", "alt", "split", "last1"]))
     train = rows.filter("split = 'train'")
     m = fm.fit(train, rows.filter("split = 'valid'"), ["usr", "item", "ctx", "last1"], loss(train), epochs, patience=4)
     return fm.predict(rows.filter("split <> 'train'"), m).select("row_id", "y", "split", "score")
