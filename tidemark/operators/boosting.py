@@ -12,14 +12,21 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.lineage import cut, place
 from tidemark.operators.encode import quantiles
 from tidemark.operators.metrics import evaluate
 
 
+#: Steps a unit of summed gradients; 2**31 rows of gradients up to 1 fit a long.
+FIXED = 1 << 32
+
+
 @dataclass
 class Stumps:
     """An additive model: the edges of each feature and what each bin adds."""
@@ -75,32 +82,71 @@ def lambdas(rows: DataFrame, score: Column, user: str = "usr", label: str = "y",
     """``rows`` with ``g`` and ``h``: gradients of the pairwise nDCG loss within users.
 
     A pair of a positive and a negative counts if one of them is among the ``top``
-    rows of its user, with the weight of the nDCG that swapping them would change. Each row meets
-    the user's top rows as an array of bounded size; what the rows below give back to the top
-    rows is summed by (user, place), so no user's rows are ever paired as a whole.
+    rows of its user, with the weight of the nDCG that swapping them would change. A user's rows come
+    to one task in the order of the scores, as a stream: each row meets the top rows, which
+    are held until the user ends for what the rows below give back to them.
     """
-    by = Window.partitionBy(user)
+    by = Window.partitionBy(user).orderBy(F.col("_s").desc(), row_id)
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     y = F.coalesce(F.col(label), F.lit(0)).cast("double")
-    ranked = rows.withColumn("_s", score).withColumn("_p", F.row_number().over(by.orderBy(F.col("_s").desc(), row_id))).withColumn("_y", y)
-    best = F.collect_list(F.when(F.col("_p") <= top, F.struct(F.col("_p").alias("p"), F.col("_y").alias("y"), F.col("_s").alias("s")))).over(by)
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.sum("_y").over(by), F.lit(top)).cast("int"))), F.lit(0.0), lambda a, k: a + 1 / F.log2(k + 1.0))
-    ranked = ranked.withColumn("_top", best).withColumn("_ideal", ideal)
-
-    def pair(x: Column) -> tuple[Column, Column]:
-        """What the pair with ``x`` adds to this row's gradient and curvature."""
-        up = F.when(F.col("_y") > x["y"], 1.0).otherwise(-1.0)
-        rho = 1 / (1 + F.exp(up * sigma * (F.col("_s") - x["s"])))
-        weight = F.when(F.col("_y") != x["y"], F.abs(1 / F.log2(F.col("_p") + 1.0) - 1 / F.log2(x["p"] + 1.0)) / F.col("_ideal")).otherwise(0.0)
-        return -up * sigma * rho * weight, sigma * sigma * rho * (1 - rho) * weight
-
-    total = lambda k: F.aggregate(F.transform("_top", lambda x: pair(x)[k]), F.lit(0.0), lambda a, v: a + v)
-    own = ranked.withColumn("_g", total(0)).withColumn("_h", total(1))
-    back = ranked.filter(F.col("_p") > top).select(user, "_p", "_y", "_s", "_ideal", F.explode("_top").alias("x"))
-    g, h = pair(F.col("x"))
-    back = back.groupBy(F.col(user).alias("_u"), F.col("x.p").alias("_q")).agg(F.sum(-g).alias("_bg"), F.sum(h).alias("_bh"))
-    met = own.join(back, own[user].eqNullSafe(back["_u"]) & (own["_p"] == back["_q"]), "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0.0))
-    return met.select(*[own[c] for c in rows.columns], plus("_g", "_bg").alias("g"), plus("_h", "_bh").alias("h"))
+    ranked = rows.withColumn("_s", score.cast("double")).withColumn("_y", y)
+    ranked = ranked.withColumns({"_p": F.row_number().over(by), "_np": F.sum("_y").over(whole)})
+    names = rows.columns
+    ideals = np.concatenate([[1.0], np.cumsum(1 / np.log2(np.arange(1, top + 1) + 1.0))])
+    ideals[0] = ideals[1] if top else 1.0
+
+    def pairs(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Gradient and curvature of each row, what each top row gets from the rows below it, and where users start."""
+        s, y, p = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_s", "_y", "_p"))
+        ideal = ideals[np.clip(b.column("_np").to_numpy(zero_copy_only=False), 0, top).astype(np.int64)]
+        starts = np.flatnonzero(p == 1)
+        of = np.cumsum(p == 1) - 1
+        held = np.minimum(np.diff(np.append(starts, len(p))), top)
+        g, h, bg, bh = (np.zeros(len(p)) for _ in range(4))
+        for k in range(int(held.max(initial=0))):
+            at = starts[of] + k
+            some = np.flatnonzero(held[of] > k)
+            some = some[y[some] != y[at[some]]]
+            j = at[some]
+            up = np.where(y[some] > y[j], 1.0, -1.0)
+            with np.errstate(over="ignore"):
+                rho = 1 / (1 + np.exp(up * sigma * (s[some] - s[j])))
+            w = np.abs(1 / np.log2(p[some] + 1.0) - 1 / np.log2(p[j] + 1.0)) / ideal[some]
+            dg, dh = -up * sigma * rho * w, sigma * sigma * rho * (1 - rho) * w
+            g[some] += dg
+            h[some] += dh
+            below = p[some] > top
+            bg -= np.bincount(j[below], dg[below], len(p))
+            bh += np.bincount(j[below], dh[below], len(p))
+        return g, h, bg, bh, starts
+
+    def out(b, g, h, at):
+        part = pa.array(at)
+        yield pa.RecordBatch.from_arrays([*[b.column(c).take(part) for c in names], pa.array(g[at]), pa.array(h[at])], [*names, "g", "h"])
+
+    def stream(batches):
+        held = None  # the last user's top rows, and what they got so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept = np.zeros((2, 0))
+            if held is not None:
+                b, kept = pa.concat_batches([held[0], b.cast(held[0].schema)]), held[1]
+            g, h, bg, bh, starts = pairs(b)
+            bg[: kept.shape[1]] += kept[0]
+            bh[: kept.shape[1]] += kept[1]
+            a = starts[-1]
+            z = min(len(g), a + top)
+            at = np.concatenate([np.arange(a), np.arange(z, len(g))])
+            if len(at):
+                yield from out(b, g + bg, h + bh, at)
+            held = b.slice(a, z - a), np.stack([bg[a:z], bh[a:z]])
+        if held is not None and held[0].num_rows:
+            g, h, _, _, _ = pairs(held[0])
+            yield from out(held[0], g + held[1][0], h + held[1][1], np.arange(len(g)))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("g", T.DoubleType()), T.StructField("h", T.DoubleType())])
+    return ranked.mapInArrow(stream, schema)
 
 
 def histogram(rows: DataFrame, features: list[str], sums: dict[str, Column]) -> dict[str, list[dict]]:
@@ -172,7 +218,8 @@ def fit_folds(train: DataFrame, labels: list[str], features: list[str], fold: st
     """Logistic stumps for each label and left-out fold, and for each label without one (fold -1).
 
     All models grow together: a round is one pass over train, whose aggregate holds the
-    gradients of every label and fold at once. Labels are 0 or 1, null counts as 0.
+    gradients of every label and fold at once, in fixed point, so a model does not depend on the
+    order of its rows. Labels are 0 or 1, null counts as 0.
     """
     edges = edges_of(train, features, bins)
     keys = [(label, k) for label in labels for k in range(-1, folds)]
@@ -185,13 +232,14 @@ def fit_folds(train: DataFrame, labels: list[str], features: list[str], fold: st
     for _ in range(rounds):
         p = {key: 1 / (1 + F.exp(-models[key].score())) for key in keys}
         rows = train.withColumns({f"_q{i}": p[key] for i, key in enumerate(keys)})
-        sums = {}
+        fixed = lambda v: F.round(v * FIXED).cast("bigint")
+        sums = {f"n{k}": used(k, F.lit(1)) for k in range(-1, folds)}
         for i, (label, k) in enumerate(keys):
             q = F.col(f"_q{i}")
-            sums |= {f"g{i}": used(k, q - y(label)), f"h{i}": used(k, q * (1 - q)), f"n{i}": used(k, F.lit(1.0))}
-        cells = histogram(rows, features, sums)
+            sums |= {f"g{i}": fixed(used(k, q - y(label))), f"h{i}": fixed(used(k, q * (1 - q)))}
+        cells = {f: [{c: v / FIXED if c[0] in "gh" else v for c, v in b.items()} for b in bins] for f, bins in histogram(rows, features, sums).items()}
         for i, key in enumerate(keys):
-            split = best_split(cells, f"g{i}", f"h{i}", f"n{i}", least, ridge)
+            split = best_split(cells, f"g{i}", f"h{i}", f"n{key[1]}", least, ridge)
             if split is not None:
                 models[key].add(split, rate)
     return models
