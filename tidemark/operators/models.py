@@ -59,6 +59,7 @@ def stacked(rows: DataFrame, cols: list[str], fold: str = "fold", label: str = "
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    rows = cut(rows)  # every fit and every fold's scores read it
     x = VectorAssembler(inputCols=cols, outputCol="features").transform(rows)
     folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
     out = None
