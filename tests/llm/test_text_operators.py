@@ -1,6 +1,7 @@
 """Quality rules, n-gram join, line dedup and byte-string dedup against brute force, on odd rows."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidemark.llm import bwt_dedup, line_chunks, ngram_jaccard, quality_rules
+from tidemark.llm.common import Scratch
 from tidemark.llm.components import components
 
 
@@ -234,3 +236,49 @@ def test_rounds_order_suffixes():
     rows = sorted((bytes(np.take(t.text, np.arange(i, i + 50), mode="wrap")), k) for k, t in enumerate(shards) for i in range(t.n))
     assert v.z.tolist() == [k for _, k in rows]
     assert v.marks.tolist() == [True] + [a[0] != b[0] for a, b in zip(rows[:-1], rows[1:], strict=True)]
+
+
+def test_rounds_of_more_bytes_end_with_the_same_order():
+    """Dictionaries of 3, 4 and 6 bytes give the order of all suffixes in 16, 12 and 8 rounds."""
+    strings = [b"banana" * 12, b"bandana" * 10, b"ananas" * 12, b"a" * 80, b"nab" * 20]
+    shards = [bwt_dedup.Transform([s]) for s in strings]
+    rows = sorted((bytes(np.take(t.text, np.arange(i, i + 50), mode="wrap")), k) for k, t in enumerate(shards) for i in range(t.n))
+    blocks = bwt_dedup.Blocks([])
+    for width in bwt_dedup.WIDTHS:
+        grams = np.unique(np.concatenate([bwt_dedup._packed(np.resize(t.text, t.n + width), t.n, width) for t in shards]))
+        symbols = bwt_dedup.Blocks([], width, grams)
+        coded = [t.coded(blocks, symbols) for t in shards]
+        parts = []
+        for k, (_, own, _) in enumerate(coded):
+            first, counts = bwt_dedup._runs_of(own)
+            same = np.zeros(len(first), dtype=np.uint64)
+            parts.append((np.full(len(own), k, dtype=np.uint8), np.zeros(len(own), dtype=bool), own[first], counts, same, same))
+        v = bwt_dedup.assemble(parts, blocks)
+        before = np.concatenate([x for x, _, _ in coded])
+        for _ in range(48 // width):
+            v = bwt_dedup.assemble([bwt_dedup.refine(v, 0, before)], symbols)
+        assert v.z.tolist() == [k for _, k in rows]
+        assert v.marks.tolist() == [True] + [a[0] != b[0] for a, b in zip(rows[:-1], rows[1:], strict=True)]
+
+
+def test_the_dictionary_keeps_to_its_bound(spark, monkeypatch):
+    """Strings of as many bytes as fit the bound, whichever shards hold them; pairs, if none fit."""
+    rng = random.Random(4)
+    shards = spark.createDataFrame([([bytearray(rng.choices(b"abcde", k=400))],) for _ in range(6)], "strings array<binary>").repartition(3)
+    for most, want in ((1 << 18, 6), (700, 4), (200, 3), (20, 2)):
+        monkeypatch.setattr(bwt_dedup, "MOST_GRAMS", most)
+        width, grams = bwt_dedup._dictionary(Scratch(spark), shards)
+        texts = [bwt_dedup._joined([bytes(x) for x in r["strings"]]) for r in shards.collect()]
+        kinds = {bwt_dedup._packed(np.resize(t, len(t) + width), len(t), width)[i] for t in texts for i in range(len(t))}
+        assert width == want and (grams.tolist() == sorted(int(x) for x in kinds) if width > 2 else grams is None)
+
+
+def test_sorting_a_shard_holds_little_memory():
+    """Rows that differ early are not sorted on, and no table of eight bytes a suffix outlives its step."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 117, 1 << 20, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    t = bwt_dedup.Transform([text, text[:1000]])
+    most = tracemalloc.get_traced_memory()[1] / t.n
+    tracemalloc.stop()
+    assert most < 40 and (~t.parts).sum() > 900
