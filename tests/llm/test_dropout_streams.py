@@ -91,3 +91,26 @@ def test_long_chunks_equal_the_agenda(monkeypatch, rounds):
             want = [b for s in sd.agenda(model, chunk, word, dropout) for b in ([s] if s >= 0 else model.byte_ids[list(chr(-1 - s).encode())].tolist())]
             got = np.frombuffer(sd.segment_chunks(model, ["a", chunk], np.array([0, k], dtype=np.uint64), 3, dropout)[1], dtype=np.int32).tolist()
             assert got == want, (k, dropout)
+
+
+def test_words_outside_the_vocabulary_are_spelled_together(monkeypatch):
+    """A block's words with foreign characters are spelled in one go, with the ids of the plain agenda."""
+    m, calls, plain = sp.load(sp.DEFAULT_MODEL), [], sp.spelled
+    monkeypatch.setattr(sp, "spelled", lambda *a: calls.append(1) or plain(*a))
+    chunks = [f" {a}{b}ü\U00013000{c}" for a in "abcdefgh" for b in "klmnop" for c in "rstuv"]
+    got = sp.segment_chunks(m, chunks, np.arange(len(chunks)), 7, 0.2)
+    assert len(calls) == 1
+    word = sp.word_keys(chunks, np.arange(len(chunks)), 7)
+    for c, k, ids in zip(chunks, word.tolist(), got, strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == plain(m, np.array(sp.agenda(m, c, k, 0.2), dtype=np.int32)).tolist()
+
+
+def test_frequent_words_stay_as_rare_ones_pass(monkeypatch):
+    """Words that each batch has are merged without dropout once, however many others fill the cache."""
+    seen, plain = [], sp.segment_chunks
+    monkeypatch.setattr(sp, "segment_chunks", lambda m, chunks, *a: seen.extend(chunks if len(a) == 4 else []) or plain(m, chunks, *a))
+    monkeypatch.setattr(sp, "KEEP_BYTES", 100_000)
+    enc = sp.Encoder(sp.DEFAULT_MODEL, 0.1, 3)
+    for k in range(40):
+        enc.encode([k], ["often met words " + " ".join(f"rare{k}x{i}" for i in range(60))])
+    assert seen.count(" often") == 1 and enc.kept_bytes < 101_000

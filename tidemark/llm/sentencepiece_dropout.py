@@ -48,14 +48,18 @@ CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: Characters of text that are handled at once; ids do not depend on it.
 BATCH_CHARS = 1 << 20
 #: Bytes of words and their merges without dropout that a worker keeps between batches.
-KEEP_BYTES = 32 << 20
+KEEP_BYTES = 96 << 20
 #: Word occurrences that are varied at once.
 OCCURRENCES = 1 << 17
 #: Symbols of the chunks whose agendas run at once.
 BLOCK_SYMBOLS = 1 << 19
+#: Candidates that are looked up at once.
+LOOK = 1 << 15
 #: Rounds of merges in long stretches before the rest goes through a queue.
 ROUNDS = 500
 DEAD = np.iinfo(np.int64).max
+#: What stands at a place whose symbol has become part of the one before.
+GONE = np.iinfo(np.int32).min
 M1 = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,57 +183,56 @@ def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float, pa
     n, size = codes.shape
     ids = model.chars[codes]
     ids = np.where(ids < 0, -1 - codes.astype(np.int32), ids)
-    start = np.broadcast_to(np.arange(size + 1, dtype=np.int32), (n, size + 1)).copy()
-    if offset is not None:
-        start += offset[:, None].astype(np.int32)
     left = np.full(n, size)
-
-    def keys(i, j, rows):
-        got = model.merged(ids[rows, i], ids[rows, j])
-        key = np.full(len(rows), DEAD)
-        ok = np.flatnonzero(got >= 0)
-        r = rows[ok]
-        ok = ok[alive(word[r], start[r, i[ok]], start[r, j[ok]], start[r, j[ok] + 1], dropout)]
-        key[ok] = (model.rank[got[ok]] << 20) | i[ok]
-        return key, got
-
     if size < 2:
         return ids, left
-    every = np.arange(n)
-    key = np.full((n, size), DEAD)
+    # symbols stay at the place where they begin: ``nxt`` and ``prv`` are the symbols' ends and the symbols before them
+    nxt = np.broadcast_to(np.arange(1, size + 2, dtype=np.int16), (n, size + 1)).copy()
+    prv = np.broadcast_to(np.arange(-1, size, dtype=np.int16), (n, size + 1)).copy()
+    shift = np.zeros(n, dtype=np.int64) if offset is None else offset
+    never = np.iinfo(np.int32).max
+    rank = np.full((n, size), never, dtype=np.int32)
     made = np.full((n, size), -1, dtype=np.int32)
-    for i in range(size - 1):
-        key[:, i], made[:, i] = keys(np.full(n, i), np.full(n, i + 1), every)
-    rows = every
-    cols = np.arange(size)
+
+    def look(rows, i, j):
+        """Take the candidates of symbols ``i`` and ``j``, side by side, anew."""
+        got = model.merged(ids[rows, i], ids[rows, j])
+        ok = np.flatnonzero(got >= 0)
+        r, a, b = rows[ok], i[ok], j[ok]
+        if dropout > 0:
+            live = alive(word[r], a + shift[r], b + shift[r], nxt[r, b] + shift[r], dropout)
+            ok, r, a = ok[live], r[live], a[live]
+        rank[rows, i] = never
+        rank[r, a], made[r, a] = model.rank[got[ok]], got[ok]
+
+    rows, most = np.arange(n), max(1, LOOK // n)
+    for a in range(0, size - 1, most):
+        i = np.tile(np.arange(a, min(a + most, size - 1)), n)
+        look(np.repeat(rows, len(i) // n), i, i + 1)
     while True:
-        # the key holds the rank alone beside the place, which shifts with merges: compare ranks, then places
-        k = key[rows]
-        best = np.argmin(k, axis=1)
-        some = k[np.arange(len(rows)), best] != DEAD
+        k = rank[rows]
+        best = np.argmin(k, axis=1)  # the leftmost of the best
+        some = k[np.arange(len(rows)), best] != never
         rows, best = rows[some], best[some]
         if not len(rows):
-            return ids, left
+            break
+        mid = nxt[rows, best].astype(np.int64)
+        end = nxt[rows, mid].astype(np.int64)
         if path is not None:
-            path[rows, size - left[rows]] = borders(start[rows, best], start[rows, best + 1], start[rows, best + 2])
-        ids[rows, best] = made[rows, best]
-        take = np.minimum(cols + (cols > best[:, None]), size - 1)
-        ids[rows] = np.take_along_axis(ids[rows], take, 1)
-        take_s = np.minimum(np.arange(size + 1) + (np.arange(size + 1) > best[:, None]), size)
-        start[rows] = np.take_along_axis(start[rows], take_s, 1)
-        k = np.take_along_axis(key[rows], take, 1)
-        made[rows] = np.take_along_axis(made[rows], take, 1)
-        k = np.where(k == DEAD, DEAD, (k >> 20 << 20) | cols)
+            path[rows, size - left[rows]] = borders(best + shift[rows], mid + shift[rows], end + shift[rows])
+        ids[rows, best], rank[rows, mid], ids[rows, mid] = made[rows, best], never, GONE
+        nxt[rows, best], prv[rows, end] = end, best
         left[rows] -= 1
-        k[:, -1] = DEAD
-        key[rows] = k
-        last = left[rows]
-        key[rows, np.minimum(last - 1, size - 1)] = DEAD
-        for at in (best, best - 1):
-            ok = np.flatnonzero((at >= 0) & (at < last - 1))
-            if len(ok):
-                r, a = rows[ok], at[ok]
-                key[r, a], made[r, a] = keys(a, a + 1, r)
+        rank[rows, best] = never
+        on = np.flatnonzero(end < size)
+        look(rows[on], best[on], end[on])
+        before = prv[rows, best].astype(np.int64)
+        on = np.flatnonzero(before >= 0)
+        look(rows[on], before[on], best[on])
+    r, c = np.nonzero(ids != GONE)
+    out = np.zeros_like(ids)
+    out[r, np.arange(len(r)) - np.repeat(np.cumsum(left) - left, left)] = ids[r, c]
+    return out, left
 
 
 def _window_least(key: np.ndarray, back: int, ahead: int) -> np.ndarray:
@@ -372,14 +375,20 @@ def keyed(h: np.ndarray, streams: np.ndarray, seed: int) -> np.ndarray:
 
 
 def word_keys(chunks: list[str], streams: np.ndarray, seed: int) -> np.ndarray:
-    h = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in chunks), dtype=np.uint64, count=len(chunks))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chunks), dtype=np.uint64, count=len(chunks))
     return keyed(h, streams, seed)
 
 
+def spelled_width(syms: np.ndarray) -> np.ndarray:
+    """How many ids each symbol takes: those outside the vocabulary take one for each UTF-8 byte."""
+    code = np.where(syms < 0, -1 - syms, 0)
+    return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+
+
 def spelled(model: Model, syms: np.ndarray) -> np.ndarray:
     """Symbols outside the vocabulary as their UTF-8 bytes."""
     code = np.where(syms < 0, -1 - syms, 0)
-    width = np.where(syms >= 0, 1, np.select([code < 0x80, code < 0x800, code < 0x10000], [1, 2, 3], 4))
+    width = spelled_width(syms)
     at = np.cumsum(width) - width
     out = np.repeat(syms, width).astype(np.int32)
     for w in (1, 2, 3, 4):
@@ -411,7 +420,7 @@ def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: i
             put(k, syms)
     for n in np.unique(size[size <= 64]).tolist():
         at = np.flatnonzero(size == n)
-        if len(at) < 8:
+        if len(at) < 2:
             for k in at.tolist():
                 put(k, np.array(agenda(model, chunks[k], int(word[k]), dropout), dtype=np.int32))
             continue
@@ -424,14 +433,14 @@ def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: i
             if path is not None:
                 for j, (k, m) in enumerate(zip(part.tolist(), left.tolist(), strict=True)):
                     paths[k] = path[j, : n - m].copy()
-            ids = np.ascontiguousarray(ids, dtype=np.int32)
-            odd = (ids < 0).any(axis=1)
-            raw, width = ids.tobytes(), 4 * n
-            for j, (k, m) in enumerate(zip(part.tolist(), left.tolist(), strict=True)):
-                if odd[j]:
-                    put(k, ids[j, :m])
-                else:
-                    out[k] = raw[j * width : j * width + 4 * m]
+            held = np.arange(n) < left[:, None]
+            flat, size_of = ids[held], left
+            if (flat < 0).any():
+                size_of = np.add.reduceat(spelled_width(flat), np.cumsum(left) - left)
+                flat = spelled(model, flat)
+            raw, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(size_of)).tolist()
+            for k, lo, hi in zip(part.tolist(), [0, *ends], ends, strict=False):
+                out[k] = raw[lo:hi]
     return out
 
 
@@ -460,7 +469,9 @@ class Encoder:
 
     def __init__(self, path: str, dropout: float, seed: int, streams: int | None = None):
         self.model, self.dropout, self.seed, self.streams = load(path), dropout, seed, streams
+        #: Words met last, and those before them, of KEEP_BYTES / 2 each.
         self.kept: dict[str, tuple[bytes, np.ndarray | None]] = {}
+        self.older: dict[str, tuple[bytes, np.ndarray | None]] = {}
         self.kept_bytes = 0
 
     def encode(self, keys: list, texts: list[str | None]) -> list[bytes | None]:
@@ -528,18 +539,28 @@ class Encoder:
     def _plain(self, words: list[str]) -> list[tuple[bytes, np.ndarray | None]]:
         """Ids and merges of each word without dropout."""
         got = [self.kept.get(w) for w in words]
-        lost = [k for k, x in enumerate(got) if x is None]
+        lost = []
+        for k, x in enumerate(got):
+            if x is None:
+                got[k] = x = self.older.get(words[k])
+                if x is None:
+                    lost.append(k)
+                else:
+                    self._keep(words[k], x)
         if lost:
             paths: list = [None] * len(lost)
             new = segment_chunks(self.model, [words[k] for k in lost], np.zeros(len(lost)), self.seed, 0.0, paths)
             for k, b, p in zip(lost, new, paths, strict=True):
                 got[k] = b, p
-                if self.kept_bytes > KEEP_BYTES:
-                    self.kept, self.kept_bytes = {}, 0
-                self.kept[words[k]] = got[k]
-                self.kept_bytes += 300 + 4 * len(words[k]) + len(b) + (0 if p is None else p.nbytes)
+                self._keep(words[k], got[k])
         return got
 
+    def _keep(self, word: str, x: tuple[bytes, np.ndarray | None]) -> None:
+        if self.kept_bytes > KEEP_BYTES // 2:
+            self.kept, self.older, self.kept_bytes = {}, self.kept, 0
+        self.kept[word] = x
+        self.kept_bytes += 300 + 4 * len(word) + len(x[0]) + (0 if x[1] is None else x[1].nbytes)
+
     def _varied(self, words: list[str], paths: list, code: np.ndarray, stream: np.ndarray) -> np.ndarray:
         """Whether an occurrence skips one of its word's merges, or these are not known."""
         used, at = np.unique(code, return_inverse=True)
@@ -547,13 +568,16 @@ class Encoder:
         known = np.array([p is not None for p in mine])
         size = np.array([0 if p is None else len(p) for p in mine])
         flat = np.concatenate([np.zeros(0, dtype=np.uint64), *[p for p in mine if p is not None]])
-        h = np.fromiter((xxhash.xxh3_64_intdigest(words[c]) for c in used.tolist()), dtype=np.uint64, count=len(used))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, [words[c] for c in used.tolist()]), dtype=np.uint64, count=len(used))
         key = keyed(h[at], stream, self.seed)
         first, many = (np.cumsum(size) - size)[at], size[at]
-        out = ~known[at]
-        for step in range(int(many.max(initial=0))):
-            on = np.flatnonzero((many > step) & ~out)
-            out[on] = ~survives(key[on], flat[first[on] + step], self.dropout)
+        out, step = ~known[at], 0
+        live = np.flatnonzero(many > 0)
+        while len(live):
+            ok = survives(key[live], flat[first[live] + step], self.dropout)
+            out[live[~ok]] = True
+            step += 1
+            live = live[ok & (many[live] > step)]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
