@@ -282,3 +282,21 @@ def test_sorting_a_shard_holds_little_memory():
     most = tracemalloc.get_traced_memory()[1] / t.n
     tracemalloc.stop()
     assert most < 40 and (~t.parts).sum() > 900
+
+
+@pytest.mark.parametrize("keys", [250_000, 0])
+def test_prefixes_of_groups_outside_hot_lists_are_not_dealt_again(spark, monkeypatch, keys):
+    """A second split reads the prefixes of the groups in hot lists alone, by a broadcast of their keys or by a shuffle."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    common = [word() for _ in range(5)]
+    rows = [(i, " ".join([*common, *[word() for _ in range(7)]])) for i in range(12)] + [(i, " ".join(word() for _ in range(12))) for i in range(20, 80)]
+    seen, plain = [], ngram_jaccard._by_second
+    monkeypatch.setattr(ngram_jaccard, "_by_second", lambda hot, groups: seen.append((hot.select("g").distinct().count(), groups.count())) or plain(hot, groups))
+    monkeypatch.setattr(ngram_jaccard, "_levels", lambda total: np.zeros(len(total), dtype=np.uint8))
+    monkeypatch.setattr(ngram_jaccard, "prefix_length", lambda n: n)
+    for name, n in (("HOT", 3), ("BROADCAST_KEYS", keys)):
+        monkeypatch.setattr(ngram_jaccard, name, n)
+    got = ngram_jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(r["doc_id"] == r["component_id"] for r in got.collect())
+    assert seen == [(12, 12)]

@@ -141,6 +141,11 @@ def _described(docs: DataFrame, shared) -> DataFrame:
     return source.mapInArrow(rows, "doc_id bigint, th bigint, len int, n int, cid binary, g bigint, prefix binary, bits binary")
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """A row a group with its prefix, the widest thing that a group has."""
+    return rows.filter("n > 0").groupBy("g", "n").agg(F.first("prefix").alias("prefix"))
+
+
 def _postings(groups: DataFrame) -> DataFrame:
     def rows(batches):
         for b in batches:
@@ -341,7 +346,7 @@ def _met(scratch: Scratch, rows: DataFrame, key: str, name: str, more: tuple[str
     return short.unionByName(_two(long, key, name, more, True).select(*short.columns)) if long.limit(1).count() else short
 
 
-def _others(scratch: Scratch, lists: DataFrame, groups: DataFrame, members: DataFrame, docs: DataFrame, shared) -> DataFrame:
+def _others(scratch: Scratch, lists: DataFrame, rows: DataFrame, members: DataFrame, docs: DataFrame, shared) -> DataFrame:
     """Pairs (u, v) of classes of different components that share a prefix shingle and pass the filters."""
     kinds = members.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     own = kinds.select("g", F.when(F.col("x") == F.col("y"), F.col("x")).alias("label"))
@@ -350,7 +355,11 @@ def _others(scratch: Scratch, lists: DataFrame, groups: DataFrame, members: Data
     parts = [_two(named.filter(F.col("m") <= HOT), "token", "g", ("n", "pos", "label"), False)]
     hot = named.filter(F.col("m") > HOT)
     if hot.limit(1).count():
-        second = scratch.save(_by_second(hot.select("token", "g", "label"), groups))
+        # only the prefixes of groups in hot lists are shuffled again
+        wanted = hot.select("g").distinct()
+        few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        of_hot = rows.select("g", "n", "prefix").join(F.broadcast(wanted) if few else wanted, "g", "left_semi")
+        second = scratch.save(_by_second(hot.select("token", "g", "label"), _groups(of_hot)))
         parts.append(_met(scratch, second, "token", "g", ("n", "pos", "label")))
     differ = F.coalesce(F.col("a_label") != F.col("b_label"), F.lit(True))
     parts = [x.filter(differ & _may("a_", "b_")).select(F.least("a_g", "b_g").alias("x"), F.greatest("a_g", "b_g").alias("y")) for x in parts]
@@ -377,8 +386,7 @@ def link(docs: DataFrame) -> DataFrame:
     rows = scratch.save(_described(docs, shared))
     alike = rows.filter("n > 0").groupBy("cid", "g", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct("th", "len")).alias("t"), F.first("bits").alias("bits"))
     classes = scratch.save(alike.select("cid", "g", "n", "least", "t.th", "t.len", "bits"))
-    groups = rows.filter("n > 0").groupBy("g", "n").agg(F.first("prefix").alias("prefix"))
-    lists = scratch.save(_lists(_postings(groups)))
+    lists = scratch.save(_lists(_postings(_groups(rows))))
 
     # neighbours and heads in the lists, by one class of each group, and the classes of a group in a row
     heads = classes.groupBy("g").agg(F.min("cid").alias("c"))
@@ -393,7 +401,7 @@ def link(docs: DataFrame) -> DataFrame:
 
     # what is left: lists and groups that hold several components
     members = scratch.save(classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "g", "th", "len", F.coalesce("label", "cid").alias("label")))
-    cross = scratch.save(_close(_others(scratch, lists, groups, members, docs, shared).join(first, ["u", "v"], "left_anti"), classes))
+    cross = scratch.save(_close(_others(scratch, lists, rows, members, docs, shared).join(first, ["u", "v"], "left_anti"), classes))
     more = scratch.save(verified(cross, classes, docs))
     if more.limit(1).count():
         label = components(links.unionByName(more))
