@@ -15,8 +15,10 @@ than 64 characters is first cut where no piece of the vocabulary could cross, an
 stays long merges many places at once. A dead
 candidate is dead from the start, as its hash depends on nothing else. The merges
 of a word without dropout are kept between batches; an occurrence for which they
-all survive takes their outcome, as no other candidate ever comes first, and
-only the others run the agenda.
+all survive takes their outcome, as no other candidate ever comes first. Where
+some of them are dead, the merges with just these dead are kept in the same way and
+tried next, and so on, so occurrences that lose the same merges share one agenda.
+Only words met once and what is lost by few occurrences run agendas of their own.
 
 Defined cases: a null text stays null (no ids), an empty text has none; a
 character outside the vocabulary, and a literal U+2581, becomes its UTF-8 bytes,
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -45,12 +47,14 @@ DROPOUT = 0.1
 SEED = 11
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
+BLANK, LINE = ord(" "), ord("\n")
 #: Characters of text that are handled at once; ids do not depend on it.
 BATCH_CHARS = 1 << 20
-#: Bytes of words and their merges without dropout that a worker keeps between batches.
+#: Bytes of words and their merges that a worker keeps between batches.
 KEEP_BYTES = 96 << 20
-#: Word occurrences that are varied at once.
-OCCURRENCES = 1 << 17
+#: Times that a word was met from which every set of merges that it loses is kept, and most times in a row that one is looked up.
+OFTEN = 8
+DEEP = 4
 #: Symbols of the chunks whose agendas run at once.
 BLOCK_SYMBOLS = 1 << 19
 #: Candidates that are looked up at once.
@@ -104,8 +108,15 @@ class Model:
         beside = {(ord(a) << 21) | ord(b) for p in self.ids for a, b in zip(p.replace(SPACE, " "), p.replace(SPACE, " ")[1:], strict=False)}
         self.beside = np.array(sorted(beside), dtype=np.int64)
         self.bits = 1 << 21
-        self.slot = np.zeros(self.bits, dtype=bool)
-        self.slot[self._slot(keys)] = True
+        # the last pair of each slot; pairs that share one are found by search
+        slots = self._slot(keys)
+        self.slot = np.full(self.bits, -1, dtype=np.int32)
+        self.slot[slots] = np.arange(len(keys))
+        self.shared = np.bincount(slots, minlength=self.bits) > 1
+        #: The pieces' bytes side by side, and where each begins and how long it is.
+        self.out_bytes = np.frombuffer(b"".join(self.out), dtype=np.uint8)
+        self.out_n = np.array([len(x) for x in self.out], dtype=np.int64)
+        self.out_at = np.cumsum(self.out_n) - self.out_n
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * M1) >> np.uint64(43)).view(np.int64)
@@ -114,9 +125,12 @@ class Model:
         """Id of the piece that two symbols make, or -1; symbols outside the vocabulary are negative."""
         got = np.full(left.shape, -1, dtype=np.int32)
         keys = left.astype(np.int64) * self.n + right
-        may = np.flatnonzero((left >= 0) & (right >= 0) & self.slot[self._slot(keys)])
-        k = keys[may]
-        at = np.minimum(np.searchsorted(self.pair_keys, k), len(self.pair_keys) - 1)
+        slot = self._slot(keys)
+        at = self.slot[slot]
+        may = np.flatnonzero((left >= 0) & (right >= 0) & (at >= 0))
+        k, at = keys[may], at[may]
+        many = np.flatnonzero(self.shared[slot[may]])
+        at[many] = np.minimum(np.searchsorted(self.pair_keys, k[many]), len(self.pair_keys) - 1)
         hit = self.pair_keys[at] == k
         got[may[hit]] = self.pair_ids[at[hit]]
         return got
@@ -175,10 +189,11 @@ def agenda(model: Model, chunk: str, word: int, dropout: float) -> list[int]:
     return [int(ids[i]) for i in range(n) if not gone[i]]
 
 
-def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float, path: np.ndarray | None = None, offset: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float, path: np.ndarray | None = None, offset: np.ndarray | None = None, dead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Agendas of many chunks of one length: symbols and how many of them each chunk keeps.
 
-    ``path`` takes the hashes of the merged places in turn; ``offset`` is where each begins in a longer chunk.
+    ``path`` takes the hashes of the merged places in turn; ``offset`` is where each begins in a longer chunk;
+    ``dead`` holds hashes of places that are not merged, one column or more a chunk.
     """
     n, size = codes.shape
     ids = model.chars[codes]
@@ -202,6 +217,9 @@ def _block(model: Model, codes: np.ndarray, word: np.ndarray, dropout: float, pa
         if dropout > 0:
             live = alive(word[r], a + shift[r], b + shift[r], nxt[r, b] + shift[r], dropout)
             ok, r, a = ok[live], r[live], a[live]
+        elif dead is not None:
+            live = (borders(a, b, nxt[r, b])[:, None] != dead[r]).all(axis=1)
+            ok, r, a = ok[live], r[live], a[live]
         rank[rows, i] = never
         rank[r, a], made[r, a] = model.rank[got[ok]], got[ok]
 
@@ -403,9 +421,13 @@ def spelled(model: Model, syms: np.ndarray) -> np.ndarray:
     return out
 
 
-def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: int, dropout: float, paths: list | None = None) -> list[bytes]:
-    """Ids of each chunk as int32 bytes; ``paths`` takes the hashes of each chunk's merges, where blocks ran."""
-    word = word_keys(chunks, streams, seed)
+def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: int, dropout: float, take: Callable | None = None, dead: list[np.ndarray] | None = None) -> list[bytes]:
+    """Ids of each chunk as int32 bytes.
+
+    ``take`` gets those of chunks of at most 64 characters in blocks instead: which they are, ids and hashes of
+    merges side by side, and how many of both each has. ``dead`` lists hashes of places for each that are not merged.
+    """
+    word = word_keys(chunks, streams, seed) if dropout > 0 else np.zeros(len(chunks), dtype=np.uint64)
     size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
     out: list[bytes] = [b""] * len(chunks)
 
@@ -420,26 +442,31 @@ def segment_chunks(model: Model, chunks: list[str], streams: np.ndarray, seed: i
             put(k, syms)
     for n in np.unique(size[size <= 64]).tolist():
         at = np.flatnonzero(size == n)
-        if len(at) < 2:
+        if len(at) < 2 and take is None:
             for k in at.tolist():
                 put(k, np.array(agenda(model, chunks[k], int(word[k]), dropout), dtype=np.int32))
             continue
         step = BLOCK_SYMBOLS // n
         for a in range(0, len(at), step):
             part = at[a : a + step]
-            codes = np.frombuffer("".join([chunks[k] for k in part.tolist()]).encode("utf-32-le"), dtype=np.uint32).reshape(len(part), n).astype(np.int64)
-            path = None if paths is None else np.zeros((len(part), n), dtype=np.uint64)
-            ids, left = _block(model, codes, word[part], dropout, path)
-            if path is not None:
-                for j, (k, m) in enumerate(zip(part.tolist(), left.tolist(), strict=True)):
-                    paths[k] = path[j, : n - m].copy()
-            held = np.arange(n) < left[:, None]
-            flat, size_of = ids[held], left
+            some = part.tolist()
+            codes = np.frombuffer("".join([chunks[k] for k in some]).encode("utf-32-le"), dtype=np.uint32).reshape(len(part), n).astype(np.int64)
+            path, gone = None if take is None else np.zeros((len(part), n), dtype=np.uint64), None
+            if dead is not None:
+                mine = [dead[k] for k in some]
+                many = np.fromiter(map(len, mine), dtype=np.int64, count=len(mine))
+                gone = np.zeros((len(part), many.max()), dtype=np.uint64)
+                gone[np.arange(gone.shape[1]) < many[:, None]] = np.concatenate(mine)
+            ids, left = _block(model, codes, word[part], dropout, path, dead=gone)
+            flat, size_of = ids[np.arange(n) < left[:, None]], left
             if (flat < 0).any():
                 size_of = np.add.reduceat(spelled_width(flat), np.cumsum(left) - left)
                 flat = spelled(model, flat)
+            if take is not None:
+                take(part, flat, size_of, path[np.arange(n) < (n - left)[:, None]], n - left)
+                continue
             raw, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(size_of)).tolist()
-            for k, lo, hi in zip(part.tolist(), [0, *ends], ends, strict=False):
+            for k, lo, hi in zip(some, [0, *ends], ends, strict=False):
                 out[k] = raw[lo:hi]
     return out
 
@@ -457,22 +484,161 @@ def _slices(text: str) -> Iterator[str]:
 
 
 class _Codes(dict):
-    """Numbers for strings, in order of first sight."""
+    """Numbers for strings, in order of first sight, and the strings."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: list[str] = []
 
     def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
+        self[key] = n = len(self.names)
+        self.names.append(key)
         return n
 
 
+class _Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.empty(16, dtype=kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.all, np.empty(max(len(values), self.n // 2), dtype=self.held.dtype)])
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class _Kept:
+    """Words by number, and outcomes: a word's ids and merges when certain of its places are dead."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.numbers = _Codes()
+        #: For each word: hash, length, times met, and its outcome with no place dead, or -1.
+        self.hash, self.size, self.met, self.root = _Pool(np.uint64), _Pool(np.int32), _Pool(np.int64), _Pool(np.int32)
+        #: Ids and merges of all outcomes, where each outcome's begin, and how many they are.
+        self.ids, self.path = _Pool(np.int32), _Pool(np.uint64)
+        self.ids_at, self.ids_n, self.path_at, self.path_n = _Pool(np.int64), _Pool(np.int32), _Pool(np.int64), _Pool(np.int32)
+        #: (outcome, bits of its merges that are dead, too) -> outcome; and the dead places of each that has some.
+        self.next: dict[tuple[int, int], int] = {}
+        self.dead: dict[int, np.ndarray] = {}
+
+    def nbytes(self) -> int:
+        pools = (self.hash, self.size, self.met, self.root, self.ids, self.path, self.ids_at, self.ids_n, self.path_at, self.path_n)
+        return sum(p.held.nbytes for p in pools) + 160 * len(self.numbers) + 400 * len(self.next)
+
+    def without_rare(self, most: int) -> _Kept:
+        """The words met most often with their outcomes with no place dead, in about ``most`` bytes; they count half."""
+        out, root = _Kept(self.model), self.root.all
+        by = np.flatnonzero(root >= 0)
+        by = by[np.argsort(-self.met.all[by], kind="stable")]
+        each = 250 + 6 * self.ids_n.all[root[by]] + 12 * self.path_n.all[root[by]]
+        by = by[np.cumsum(each, dtype=np.int64) <= most]
+        for k in by.tolist():
+            out.numbers[self.numbers.names[k]]  # numbered anew
+        out.hash.add(self.hash.all[by])
+        out.size.add(self.size.all[by])
+        out.met.add(self.met.all[by] // 2)
+        out.root.add(np.arange(len(by)))
+        for (a, at, n), (b, at_, n_) in (((out.ids, out.ids_at, out.ids_n), (self.ids, self.ids_at, self.ids_n)), ((out.path, out.path_at, out.path_n), (self.path, self.path_at, self.path_n))):
+            first, many = at_.all[root[by]], n_.all[root[by]]
+            after = np.cumsum(many, dtype=np.int64)
+            a.add(b.all[np.repeat(first - after + many, many) + np.arange(many.sum())])
+            at.add(after - many)
+            n.add(many)
+        return out
+
+    def code(self, names: list[str], met: np.ndarray) -> np.ndarray:
+        """The numbers of different words, which are counted as met so often."""
+        code = np.fromiter(map(self.numbers.__getitem__, names), dtype=np.int64, count=len(names))
+        new = self.numbers.names[self.hash.n :]
+        self.hash.add(np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new)))
+        self.size.add(np.fromiter(map(len, new), dtype=np.int32, count=len(new)))
+        self.met.add(np.zeros(len(new), dtype=np.int64))
+        self.root.add(np.full(len(new), -1, dtype=np.int32))
+        self.met.all[code] += met
+        return code
+
+    def outcomes(self, words: np.ndarray, *dead: list[np.ndarray]) -> np.ndarray:
+        """New outcomes of words of at most 64 characters; ``dead`` lists dead places for each, if there are some."""
+        out = np.empty(len(words), dtype=np.int32)
+
+        def take(part, flat, ids_n, path, path_n):
+            out[part] = self.ids_at.n + np.arange(len(part))
+            for pool, begin, number, values, many in ((self.ids, self.ids_at, self.ids_n, flat, ids_n), (self.path, self.path_at, self.path_n, path, path_n)):
+                begin.add(pool.n + np.cumsum(many) - many)
+                number.add(many)
+                pool.add(values)
+
+        names = self.numbers.names
+        segment_chunks(self.model, [names[k] for k in words.tolist()], np.zeros(len(words)), 0, 0.0, take, *dead)
+        return out
+
+    def roots(self, code: np.ndarray, least: int) -> np.ndarray:
+        """The outcomes of words with no place dead; -1 for those met less often, or too long."""
+        used = np.unique(code)
+        new = used[(self.root.all[used] < 0) & (self.size.all[used] <= 64) & (self.met.all[used] >= least)]
+        self.root.all[new] = self.outcomes(new)
+        return self.root.all[code]
+
+    def vary(self, code: np.ndarray, stream: np.ndarray, seed: int, dropout: float) -> np.ndarray:
+        """The outcome of each occurrence, or -1 where it needs an agenda of its own."""
+        at = self.roots(code, 2)
+        key = keyed(self.hash.all[code], stream, seed)
+        live = np.flatnonzero(at >= 0)
+        for depth in range(DEEP):
+            # the merges of its outcome that are dead for an occurrence
+            first, many = self.path_at.all[at[live]], self.path_n.all[at[live]]
+            lost = np.zeros(len(live), dtype=np.uint64)
+            on, step = np.flatnonzero(many > 0), 0
+            while len(on):
+                ok = survives(key[live[on]], self.path.all[first[on] + step], dropout)
+                lost[on[~ok]] |= np.uint64(1 << step)
+                step += 1
+                on = on[many[on] > step]
+            some = np.flatnonzero(lost)
+            live, lost = live[some], lost[some]
+            if not len(live):
+                break
+            if depth == DEEP - 1:
+                at[live] = -1
+                break
+            by = np.lexsort((lost, at[live]))
+            live, lost = live[by], lost[by]
+            now = at[live]
+            head = np.flatnonzero(np.concatenate([[True], (now[1:] != now[:-1]) | (lost[1:] != lost[:-1])]))
+            count = np.diff(np.append(head, len(live)))
+            word = code[live[head]]
+            pairs = list(zip(now[head].tolist(), lost[head].tolist(), strict=True))
+            then = np.fromiter((self.next.get(x, -1) for x in pairs), dtype=np.int32, count=len(pairs))
+            new = np.flatnonzero((then < 0) & ((count > 1) | (self.met.all[word] >= OFTEN)))
+            if len(new):
+                dead = [self._lost(*pairs[k]) for k in new.tolist()]
+                then[new] = self.outcomes(word[new], dead)
+                for k, n, x in zip(new.tolist(), then[new].tolist(), dead, strict=True):
+                    self.next[pairs[k]], self.dead[n] = n, x
+            at[live] = np.repeat(then, count)
+            live = live[at[live] >= 0]
+        return at
+
+    def _lost(self, outcome: int, lost: int) -> np.ndarray:
+        """The dead places of an outcome with some of its merges."""
+        first = int(self.path_at.held[outcome])
+        more = self.path.held[[first + k for k in range(lost.bit_length()) if lost >> k & 1]]
+        return np.concatenate([self.dead[outcome], more]) if outcome in self.dead else more
+
+
 class Encoder:
     """``streams`` bounds the segmentations that a word can have; None sets no bound."""
 
     def __init__(self, path: str, dropout: float, seed: int, streams: int | None = None):
         self.model, self.dropout, self.seed, self.streams = load(path), dropout, seed, streams
-        #: Words met last, and those before them, of KEEP_BYTES / 2 each.
-        self.kept: dict[str, tuple[bytes, np.ndarray | None]] = {}
-        self.older: dict[str, tuple[bytes, np.ndarray | None]] = {}
-        self.kept_bytes = 0
+        self.kept = _Kept(self.model)
 
     def encode(self, keys: list, texts: list[str | None]) -> list[bytes | None]:
         """int32 ids of each text; ``keys`` choose the streams."""
@@ -508,82 +674,58 @@ class Encoder:
 
     def _batch(self, keys: list, texts: list[str], first: int = 0) -> tuple[list[bytes], int]:
         """Ids of each text, whose words' places count from ``first``, and the number of words."""
-        chunks: list[str] = []
-        ends = []
-        for t in texts:
-            chunks += CHUNK.findall(t)
-            ends.append(len(chunks))
-        if not chunks:
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        if not len(data):
             return [b""] * len(texts), 0
-        codes = _Codes()
-        code = np.fromiter(map(codes.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        words = list(codes)
-        plain = self._plain(words)
-        every = [plain[c][0] for c in code.tolist()]
+        # a chunk begins with a text, at and after a line end, and at a space that follows none
+        blank, line = data == BLANK, data == LINE
+        begins = line.copy()
+        begins[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        after = np.cumsum([len(x) for x in raw])
+        begins[[0, *after[after < len(data)].tolist()]] = True
+        begins = np.flatnonzero(begins)
+        ends = np.searchsorted(begins, after)
+        spans = np.append(begins, len(data)).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(spans), pa.py_buffer(data)]).dictionary_encode()
+        names, nth = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        if self.kept_bytes > 3 * KEEP_BYTES // 4:
+            self.kept = self.kept.without_rare(KEEP_BYTES // 4)
+        kept, code = self.kept, self.kept.code(names, np.bincount(nth))[nth]
+        stream = np.zeros(len(nth), dtype=np.uint64)
         if self.dropout > 0:
-            sizes = np.diff(np.array([0, *ends]))
+            sizes = np.diff(ends, prepend=0)
             doc = np.repeat(np.fromiter((xxhash.xxh3_64_intdigest(str(k), seed=self.seed & (2**63 - 1)) for k in keys), dtype=np.uint64, count=len(keys)), sizes)
-            place = first + np.arange(len(chunks)) - np.repeat(np.array([0, *ends[:-1]]), sizes)
+            place = first + np.arange(len(nth)) - np.repeat(ends - sizes, sizes)
             stream = mixed(doc ^ (place.astype(np.uint64) * M1))
             if self.streams:
                 stream %= np.uint64(self.streams)
-            paths = [p for _, p in plain]
-            for a in range(0, len(chunks), OCCURRENCES):
-                part = slice(a, a + OCCURRENCES)
-                varied = a + np.flatnonzero(self._varied(words, paths, code[part], stream[part]))
-                for k, b in zip(varied.tolist(), segment_chunks(self.model, [chunks[k] for k in varied.tolist()], stream[varied], self.seed, self.dropout), strict=True):
-                    every[k] = b
-        at = [0, *ends]
-        return [b"".join(every[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], len(chunks)
-
-    def _plain(self, words: list[str]) -> list[tuple[bytes, np.ndarray | None]]:
-        """Ids and merges of each word without dropout."""
-        got = [self.kept.get(w) for w in words]
-        lost = []
-        for k, x in enumerate(got):
-            if x is None:
-                got[k] = x = self.older.get(words[k])
-                if x is None:
-                    lost.append(k)
-                else:
-                    self._keep(words[k], x)
-        if lost:
-            paths: list = [None] * len(lost)
-            new = segment_chunks(self.model, [words[k] for k in lost], np.zeros(len(lost)), self.seed, 0.0, paths)
-            for k, b, p in zip(lost, new, paths, strict=True):
-                got[k] = b, p
-                self._keep(words[k], got[k])
-        return got
-
-    def _keep(self, word: str, x: tuple[bytes, np.ndarray | None]) -> None:
-        if self.kept_bytes > KEEP_BYTES // 2:
-            self.kept, self.older, self.kept_bytes = {}, self.kept, 0
-        self.kept[word] = x
-        self.kept_bytes += 300 + 4 * len(word) + len(x[0]) + (0 if x[1] is None else x[1].nbytes)
-
-    def _varied(self, words: list[str], paths: list, code: np.ndarray, stream: np.ndarray) -> np.ndarray:
-        """Whether an occurrence skips one of its word's merges, or these are not known."""
-        used, at = np.unique(code, return_inverse=True)
-        mine = [paths[c] for c in used.tolist()]
-        known = np.array([p is not None for p in mine])
-        size = np.array([0 if p is None else len(p) for p in mine])
-        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *[p for p in mine if p is not None]])
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, [words[c] for c in used.tolist()]), dtype=np.uint64, count=len(used))
-        key = keyed(h[at], stream, self.seed)
-        first, many = (np.cumsum(size) - size)[at], size[at]
-        out, step = ~known[at], 0
-        live = np.flatnonzero(many > 0)
-        while len(live):
-            ok = survives(key[live], flat[first[live] + step], self.dropout)
-            out[live[~ok]] = True
-            step += 1
-            live = live[ok & (many[live] > step)]
-        return out
+            at = kept.vary(code, stream, self.seed, self.dropout)
+        else:
+            at = kept.roots(code, 1)
+        alone = np.flatnonzero(at < 0)
+        own = segment_chunks(self.model, [names[k] for k in nth[alone].tolist()], stream[alone], self.seed, self.dropout)
+        # ids of outcomes, and after these those of occurrences on their own
+        pool = np.concatenate([kept.ids.all, np.frombuffer(b"".join(own), dtype=np.int32)])
+        start, size = (np.append(x.all, 0)[at] for x in (kept.ids_at, kept.ids_n))
+        size[alone] = many = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        start[alone] = kept.ids.n + np.cumsum(many) - many
+        after = np.cumsum(size, dtype=np.int64)
+        flat = pool[np.repeat(start - after + size, size) + np.arange(after[-1])]
+        edges = [0, *np.append(0, after)[ends].tolist()]
+        return [flat[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], len(nth)
+
+    @property
+    def kept_bytes(self) -> int:
+        return self.kept.nbytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, without the space that encoding puts in front."""
-        table = self.model.out
-        raw = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        if not len(ids):
+            return ""
+        n = self.model.out_n[ids]
+        after = np.cumsum(n)
+        raw = self.model.out_bytes[np.repeat(self.model.out_at[ids] - after + n, n) + np.arange(after[-1])].tobytes().decode("utf-8", "replace")
         return raw[1:] if raw[:1] == " " else raw
 
 
