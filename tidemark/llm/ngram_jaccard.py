@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, cut
+from tidemark.llm.common import Scratch, cut, releasing
 from tidemark.llm.components import components
 from tidemark.llm.shingles import WIDTH, mixed, sets, text_batches
 
@@ -80,7 +80,8 @@ def _sketch(docs: DataFrame) -> np.ndarray:
                 total[b] += np.frombuffer(c, np.uint16 if len(c) == 2 * SKETCH_ROW else np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["b", "c"])
 
-    got = docs.select("text").mapInArrow(count, "b int, c binary").repartition("b").mapInArrow(add, "b int, c binary").collect()
+    with releasing(docs.sparkSession):
+        got = docs.select("text").mapInArrow(count, "b int, c binary").repartition("b").mapInArrow(add, "b int, c binary").collect()
     total = np.zeros((-(-(1 << SKETCH_BITS) // SKETCH_ROW), SKETCH_ROW), dtype=np.int64)
     for r in got:
         total[r["b"]] = np.frombuffer(r["c"], np.int64)
