@@ -217,41 +217,84 @@ def predict(rows: DataFrame, model: Stumps, name: str = "score") -> DataFrame:
 def fit_folds(train: DataFrame, labels: list[str], features: list[str], fold: str = "fold", folds: int = 5, rounds: int = 10, rate: float = 0.3, bins: int = 16, least: int = 20, ridge: float = 1.0) -> dict[tuple[str, int], Stumps]:
     """Logistic stumps for each label and left-out fold, and for each label without one (fold -1).
 
-    All models grow together: a round is one pass over train, whose aggregate holds the
-    gradients of every label and fold at once, in fixed point, so a model does not depend on the
-    order of its rows. Labels are 0 or 1, null counts as 0.
+    All models grow together. As stumps see bins alone, rows are counted once by fold and bins, with
+    the sum of each label: a round is one pass over these counts, which are bounded by the kinds of bins,
+    not by the rows. A batch is scored by all models and summed in fixed point, so a model does
+    not depend on the order of its rows. Labels are 0 or 1, null counts as 0.
     """
     edges = edges_of(train, features, bins)
     keys = [(label, k) for label in labels for k in range(-1, folds)]
-    train = cut(binned(train, edges).select(F.col(fold).alias("_fold"), *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(f"_l{i}") for i, c in enumerate(labels)], *[f"_b_{f}" for f in features]))
-    y = lambda label: F.col(f"_l{labels.index(label)}")
+    kinds = [F.col(f"_b_{f}").cast("int").alias(f"_b_{f}") for f in features]
+    rows = binned(train, edges).select(F.col(fold).cast("bigint").alias("_fold"), *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(f"_l{i}") for i, c in enumerate(labels)], *kinds)
+    cells = cut(rows.groupBy("_fold", *[f"_b_{f}" for f in features]).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_l{i}").alias(f"s{i}") for i in range(len(labels))]))
     used = lambda k, v: v if k < 0 else F.when(F.col("_fold") != k, v)
-    first = train.agg(*[f(used(k, y(label))).alias(f"{n}{i}") for i, (label, k) in enumerate(keys) for n, f in (("s", F.sum), ("n", F.count))]).first()
-    rates = {key: (first[f"s{i}"] + 0.5 if first[f"s{i}"] is not None else 0.5) / (first[f"n{i}"] + 1) for i, key in enumerate(keys)}
+    first = cells.agg(*[F.sum(used(k, F.col(v))).alias(f"{n}{i}") for i, (label, k) in enumerate(keys) for n, v in (("s", f"s{labels.index(label)}"), ("n", "n"))]).first()
+    rates = {key: ((first[f"s{i}"] or 0) + 0.5) / ((first[f"n{i}"] or 0) + 1) for i, key in enumerate(keys)}
     models = {key: Stumps(edges, base=math.log(rates[key] / (1 - rates[key]))) for key in keys}
     for _ in range(rounds):
-        p = {key: 1 / (1 + F.exp(-models[key].score())) for key in keys}
-        rows = train.withColumns({f"_q{i}": p[key] for i, key in enumerate(keys)})
-        fixed = lambda v: F.round(v * FIXED).cast("bigint")
-        sums = {f"n{k}": used(k, F.lit(1)) for k in range(-1, folds)}
-        for i, (label, k) in enumerate(keys):
-            q = F.col(f"_q{i}")
-            sums |= {f"g{i}": fixed(used(k, q - y(label))), f"h{i}": fixed(used(k, q * (1 - q)))}
-        cells = {f: [{c: v / FIXED if c[0] in "gh" else v for c, v in b.items()} for b in bins] for f, bins in histogram(rows, features, sums).items()}
+        found = _cell_sums(cells, features, len(labels), [models[key] for key in keys], folds)
         for i, key in enumerate(keys):
-            split = best_split(cells, f"g{i}", f"h{i}", f"n{key[1]}", least, ridge)
+            split = best_split({f: [{"bin": b, "g": g / FIXED, "h": h / FIXED, "n": n} for b, g, h, n in found.get((i, j), [])] for j, f in enumerate(features)}, "g", "h", "n", least, ridge)
             if split is not None:
                 models[key].add(split, rate)
     return models
 
 
+def _cell_sums(cells: DataFrame, features: list[str], labels: int, models: list[Stumps], folds: int) -> dict[tuple[int, int], list[tuple]]:
+    """For each model and feature its bins in order, with the gradients and curvatures (in fixed point) and the rows that it learns from."""
+    base = np.array([m.base for m in models])
+    tables = {f: np.array([m.tables[f] for m in models]) for f in features}
+    fixed = lambda v: (np.sign(v) * np.floor(np.abs(v) * FIXED + 0.5)).astype(np.int64)
+
+    def sums(batches):
+        total = [np.zeros((3, *tables[f].shape), dtype=np.int64) for f in features]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b = {f: batch.column(f"_b_{f}").to_numpy() for f in features}
+            fold = batch.column("_fold").fill_null(folds).to_numpy()  # no fold's models learn from a row without one
+            n = batch.column("n").to_numpy()
+            score = np.repeat(base[:, None], len(n), 1)
+            for f in features:
+                score += tables[f][:, b[f]]
+            with np.errstate(over="ignore"):
+                q = 1 / (1 + np.exp(-score))
+            seen = np.array([np.full(len(n), True) if k < 0 else (fold != k) & (fold != folds) for k in range(-1, folds)])
+            seen = np.tile(seen, (labels, 1)) * n
+            s = np.repeat(np.array([batch.column(f"s{i}").to_numpy() for i in range(labels)]), folds + 1, 0) * (seen > 0)
+            each = np.stack([(seen - s) * fixed(q) + s * fixed(q - 1), seen * fixed(q * (1 - q)), seen])
+            for f, t in zip(features, total, strict=True):
+                by = np.argsort(b[f], kind="stable")
+                x = b[f][by]
+                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                t[:, :, x[first]] += np.add.reduceat(each[:, :, by], first, 2)
+        for j, t in enumerate(total):
+            i, at = (x.ravel() for x in np.indices(t.shape[1:]))
+            some = np.flatnonzero(t[2].ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (i, np.full(len(i), j), at, *(y.ravel() for y in t))], ["i", "f", "b", "g", "h", "n"])
+
+    got = cells.mapInArrow(sums, "i bigint, f bigint, b bigint, g bigint, h bigint, n bigint").groupBy("i", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    out: dict[tuple[int, int], list[tuple]] = {}
+    for r in sorted(got.collect()):  # models x features x bins rows
+        out.setdefault((r["i"], r["f"]), []).append((r["b"], r["g"], r["h"], r["n"]))
+    return out
+
+
 def fold_scores(rows: DataFrame, models: dict[tuple[str, int], Stumps], fold: str | None = "fold", prefix: str = "aux_") -> DataFrame:
-    """``rows`` with a probability a label: by the model that left the row's fold out, or by the whole one without a fold."""
+    """``rows`` with a probability a label: by the model that left the row's fold out, or by the whole one without a fold.
+
+    The models of a label are one array a feature, looked up by fold and bin.
+    """
     edges = next(iter(models.values())).edges
     out = binned(rows, edges)
     for label in {key[0]: None for key in models}:
-        score = models[label, -1].score()
-        for k in sorted(k for name, k in models if name == label and k >= 0) if fold else ():
-            score = F.when(F.col(fold) == k, models[label, k].score()).otherwise(score)
+        folds = sorted(k for name, k in models if name == label and k >= 0) if fold else []
+        mine = [models[label, k] for k in (-1, *folds)]
+        which = F.coalesce(*[F.when(F.col(fold) == k, i) for i, k in enumerate(folds, 1)], F.lit(0))
+        held = lambda values, at: F.array(*[F.lit(x) for x in values])[at]  # noqa: B023, E731
+        score = held([m.base for m in mine], which)
+        for f, e in edges.items():
+            if any(any(m.tables[f]) for m in mine):
+                score = score + held([x for m in mine for x in m.tables[f]], which * (len(e) + 2) + F.col(f"_b_{f}"))
         out = out.withColumn(f"{prefix}{label}", 1 / (1 + F.exp(-score)))
     return out.drop(*[f"_b_{f}" for f in edges])
