@@ -160,7 +160,7 @@ def multitask_gradient(spark, d):
     return _gradient(spark, d, fm.multitask(_fixed_pairs(1), ["alt", "late"], 0.1))
 
 
-def _scores(spark, d, loss, epochs):
+def _scores(spark, d, loss, epochs=40):
     """Scores of later rows by a machine on user, item, context and last label, stopped early on the validation split."""
     rows = cut(features.build(event_log(spark, d), ["usr", "item", "ctx", "day", "y", "alt", "split", "last1"]))
     train = rows.filter("split = 'train'")
@@ -170,7 +170,7 @@ def _scores(spark, d, loss, epochs):
 
 @query("fm_pairs_train")
 def fm_pairs_train(spark, d):
-    return _scores(spark, d, lambda train: fm.pairwise(fm.drawn_pairs("fm", weights=fm.decayed_weights(train))), 4)
+    return _scores(spark, d, lambda train: fm.pairwise(fm.drawn_pairs("fm", weights=fm.decayed_weights(train))))
 
 
 @query("fm_pointwise_train")
