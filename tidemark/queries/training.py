@@ -175,7 +175,7 @@ def fm_pairs_train(spark, d):
 
 @query("fm_pointwise_train")
 def fm_pointwise_train(spark, d):
-    return _scores(spark, d, lambda train: fm.pointwise(), 5)
+    return _scores(spark, d, lambda train: fm.pointwise())
 
 
 @query("listwise_train")
