@@ -180,7 +180,7 @@ def fm_pointwise_train(spark, d):
 
 @query("listwise_train")
 def listwise_train(spark, d):
-    return _scores(spark, d, lambda train: fm.listwise(cap=50), 4)
+    return _scores(spark, d, lambda train: fm.listwise())
 
 
 @query("hybrid_train")
