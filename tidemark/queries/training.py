@@ -190,7 +190,7 @@ def hybrid_train(spark, d):
 
 @query("multitask_train")
 def multitask_train(spark, d):
-    return _scores(spark, d, lambda train: fm.multitask(fm.drawn_pairs("tasks"), ["alt"]), 3)
+    return _scores(spark, d, lambda train: fm.multitask(fm.drawn_pairs("tasks"), ["alt"]))
 
 
 @query("attention_pretrained")
